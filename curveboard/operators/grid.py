@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from curveboard.functions.slices import first_rows, hash_position, position
+from curveboard.functions.slices import first_rows, hash_position
 from curveboard.schema import DENSE_CUTOFFS, DIMS, TRANSIENT_ERRORS
 
 
@@ -73,7 +73,6 @@ def refresh_grid(
     new: DataFrame,
     keys: Sequence[str],
     taken: Sequence[DataFrame] = (),
-    slices: int = 256,
 ) -> DataFrame:
     """Keep known ids, give fresh ones to new combinations.
 
@@ -91,12 +90,8 @@ def refresh_grid(
         lambda a, b: a.unionByName(b),
         [t.agg(F.max("run_id").alias("m")) for t in [old, *taken]],
     ).agg(F.coalesce(F.max("m"), F.lit(-1)))
-    fresh = position(
-        merged.filter(F.col("run_id").isNull()),
-        [],
-        F.pmod(F.crc32(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), F.lit(slices)),
-        keys,
-        "__at",
+    fresh = hash_position(
+        merged.filter(F.col("run_id").isNull()).drop("run_id"), [], [], keys, "__at"
     ).withColumn("run_id", last.scalar() + 1 + F.col("__at"))
     return merged.filter(F.col("run_id").isNotNull()).unionByName(fresh.drop("__at"))
 

@@ -146,6 +146,54 @@ def knn(
     )
 
 
+def _block_minimum(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    if not len(queries) or not len(candidates):
+        return pd.DataFrame({"sample_id": [], "distance": []})
+    left = np.stack(queries["features"].to_numpy())
+    right = np.stack(candidates["features"].to_numpy())
+    square = (
+        (left * left).sum(axis=1)[:, None] + (right * right).sum(axis=1)[None, :]
+        - 2.0 * left @ right.T
+    )
+    best = np.sqrt(np.maximum(square, 0.0)).min(axis=1)
+    return pd.DataFrame({"sample_id": queries["sample_id"].to_numpy(), "distance": best})
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Euclidean distance of each query to its nearest candidate: (sample_id, distance)."""
+    blocks = {
+        "__nq": queries.agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int")).scalar(),
+        "__nc": candidates.agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int")).scalar(),
+    }
+
+    def cut(df: DataFrame, own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        sized = df.select("sample_id", "features")
+        for name, count in blocks.items():
+            sized = sized.withColumn(name, count)
+        sized = sized.filter("__nq > 0 and __nc > 0")
+        return sized.select(
+            "sample_id",
+            "features",
+            F.pmod(F.xxhash64("sample_id"), F.col(own)).cast("int").alias(names[0]),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(names[1]),
+        )
+
+    left = cut(queries, "__nq", "__nc", ("__q", "__c"))
+    right = cut(candidates, "__nc", "__nq", ("__c", "__q"))
+    schema = T.StructType(
+        [
+            T.StructField("sample_id", queries.schema["sample_id"].dataType),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    parts = (
+        left.groupBy("__q", "__c")
+        .cogroup(right.groupBy("__q", "__c"))
+        .applyInPandas(_block_minimum, schema)
+    )
+    return parts.groupBy("sample_id").agg(F.min("distance").alias("distance"))
+
+
 def approximate_knn(
     samples: DataFrame, max_distance: float, bucket_length: float = 0.5, tables: int = 4
 ) -> DataFrame:

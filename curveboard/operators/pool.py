@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveboard.functions.vectors import dot, vector_sum, with_unit
-from curveboard.operators.neighbours import knn
+from curveboard.operators.neighbours import knn, nearest
 from curveboard.operators.scenarios import draw, fraction
 from curveboard.session import cut_lineage
 
@@ -109,18 +109,17 @@ def _distance_to(vector: Sequence[float]) -> Column:
 def k_center(pool: DataFrame, labelled: DataFrame, k: int, every: int = 8) -> DataFrame:
     """Greedy k-centre: k times the sample farthest from everything chosen so far.
 
-    One aggregate per round; a round's only driver state is the one new centre. The
-    first distances come from one pass over the labelled set, centre by centre.
+    The first distances come from blocked products with the labelled set. One aggregate
+    per round; a round's only driver state is the one new centre.
     """
     spark = pool.sparkSession
     rows = unlabelled(pool, labelled).select("sample_id", "features")
-    rows = rows.withColumn("__d", F.lit(float("inf")))
-    start = labelled.orderBy("sample_id").select("features").toLocalIterator()
-    for i, one in enumerate(start):
-        rows = rows.withColumn("__d", F.least("__d", _distance_to(one["features"])))
-        if i % every == every - 1:
-            rows = cut_lineage(rows)
-    rows = cut_lineage(rows)
+    begin = nearest(rows, labelled).withColumnRenamed("distance", "__d")
+    rows = cut_lineage(
+        rows.join(begin, "sample_id", "left").withColumn(
+            "__d", F.coalesce("__d", F.lit(float("inf")))
+        )
+    )
     chosen = []
     for i in range(k):
         far = rows.agg(

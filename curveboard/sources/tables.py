@@ -71,6 +71,11 @@ def read_xz_rows(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
         .select("path", "content")
     )
+    return decode_xz(files)
+
+
+def decode_xz(files: DataFrame) -> DataFrame:
+    """(path, content) of xz-compressed CSV files to (path, map of cells)."""
     return files.mapInPandas(_xz_rows, "path string, cells map<string,string>")
 
 
@@ -150,6 +155,11 @@ def file_health(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select("path", "content")
     )
+    return probe_files(files)
+
+
+def probe_files(files: DataFrame) -> DataFrame:
+    """(path, content) to (path, error)."""
     return files.mapInPandas(_probe, "path string, error string")
 
 
