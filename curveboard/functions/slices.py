@@ -177,7 +177,11 @@ def first_rows(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Colu
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.distinct()
-    rank = F.struct(*[_col(c) for c in order_by], *[F.col(c) for c in rest if c not in order_by])
+    named = [c for c in order_by if isinstance(c, str)]
+    rank = F.struct(
+        *[_col(c).alias(f"__o{i}") for i, c in enumerate(order_by)],
+        *[F.col(c) for c in rest if c not in named],
+    )
     return (
         df.groupBy(*keys)
         .agg(F.min_by(F.struct(*rest), rank).alias("__row"))

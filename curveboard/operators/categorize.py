@@ -251,7 +251,7 @@ def average_uncertainty(
     )
 
 
-def _grow_tree(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _grow_tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One isolation tree on a bounded sample: random axis, random cut, fixed height."""
     seed, tree = int(key[1]), int(key[2])
     rng = np.random.default_rng([seed, tree])
@@ -382,7 +382,7 @@ def outlierness(
         ]
     )
 
-    def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({"dataset": [], "sample_id": [], "value": []})
         features = np.stack(left["features"].to_numpy())

@@ -58,7 +58,7 @@ def mean_distance_to_all(samples: DataFrame, keys: Sequence[str] = ("dataset",))
     )
 
 
-def _best_of_block(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+def _best_of_block(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     out = {"__g": [], "query_id": [], "neighbour_id": [], "distance": []}
     if len(queries) and len(candidates):
         left = np.stack(queries["unit"].to_numpy())
@@ -146,7 +146,7 @@ def knn(
     )
 
 
-def _block_minimum(key, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+def _block_minimum(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     if not len(queries) or not len(candidates):
         return pd.DataFrame({"sample_id": [], "distance": []})
     left = np.stack(queries["features"].to_numpy())

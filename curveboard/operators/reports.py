@@ -94,7 +94,7 @@ def done_matrix(
     both = done.select(*cols).withColumn("__done", F.lit(1)).unionByName(
         open_runs.select(*cols).withColumn("__done", F.lit(0))
     )
-    runs = first_rows(both, ["run_id"], [F.desc("__done")])
+    runs = first_rows(both, ["run_id"], [-F.col("__done")])
     for name, values in (filters or {}).items():
         runs = runs.filter(F.col(name).isin(list(values)))
     cells = runs.groupBy("dataset", "strategy").agg(

@@ -43,7 +43,7 @@ def _(t: Tables):
 def _xz_files(t: Tables, broken: bool = False) -> DataFrame:
     """The run table as xz-compressed CSV files, one per strategy and nation."""
 
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         text = "run_id,learner\n" + "".join(
             f"{i},{s}\n" for i, s in zip(rows["run_id"], rows["learner"])
         )
@@ -762,7 +762,7 @@ def _(t: Tables):
     "C12_repair_short_rows",
     """select o_orderkey as run_id, c.cycle, round(c.v, 6) as value from orders,
   (values (0), (1), (2)) k(cycle),
-  lateral (select k.cycle as cycle, o_orderkey * 0.5 + k.cycle as v) c
+  lateral (select k.cycle as cycle, o_orderkey * 0.5::double + k.cycle as v) c
 where k.cycle < 2 or o_orderkey % 3 > 0""",
 )
 def _(t: Tables):
@@ -791,16 +791,13 @@ def _(t: Tables):
 
 @query(
     "C14_reduce_precision",
-    """select o_orderkey as run_id, round(o_totalprice, 1) as value,
-  round(o_totalprice, 1) as cell from orders""",
+    """select o_orderkey as run_id, round_even(o_totalprice, 1) as value,
+  round_even(o_totalprice, 1) as cell from orders""",
 )
 def _(t: Tables):
-    # prices have two decimals, and none lies on a tie of the first after this shift
     value = F.col("o_totalprice")
     rows = t.given("orders").select(
-        F.col("o_orderkey").alias("run_id"),
-        (value + 0.001).alias("value"),
-        F.array(value + 0.001).alias("cell"),
+        F.col("o_orderkey").alias("run_id"), value.alias("value"), F.array(value).alias("cell")
     )
     return curate.reduce_precision(rows, 1).withColumn("cell", F.col("cell")[0])
 
