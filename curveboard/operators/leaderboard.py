@@ -9,7 +9,6 @@ values, because padding and affine scaling act on these alone. ``by`` adds slice
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,15 +100,35 @@ def robust_scaled(
     )
 
 
+def _rule(name: str) -> tuple[Column, Column, Column]:
+    """Cell mean, minimum and maximum under an interpolation rule; ``m`` is the full length."""
+    mean = F.try_divide("s", "n")
+    short = F.col("n") < F.col("m")
+    lo, hi, zero = F.col("lo"), F.col("hi"), F.lit(0.0)
+    if name in ("none", "average_of_same_strategy"):
+        # padding with the cell's own mean leaves mean, minimum and maximum unchanged
+        return mean, lo, hi
+    if name == "remove":
+        return F.when(~short, mean), F.when(~short, lo), F.when(~short, hi)
+    if name == "zero":
+        return (
+            F.coalesce("s", zero) / F.greatest(F.col("n"), F.col("m")),
+            F.when(short, F.least(F.coalesce(lo, zero), zero)).otherwise(lo),
+            F.when(short, F.greatest(F.coalesce(hi, zero), zero)).otherwise(hi),
+        )
+    raise ValueError(f"unknown interpolation: {name}")
+
+
 def interpolated(
     cells: DataFrame,
-    interpolation: str,
+    interpolations: str | Sequence[str],
     by: Sequence[str] = (),
     pad_to: DataFrame | int | None = None,
 ) -> DataFrame:
-    """Cell means under an interpolation rule, with the cell's minimum and maximum.
+    """Cell means under one or several interpolation rules, with minimum and maximum.
 
-    Short cells are padded to the longest cell of the board, or to ``pad_to``.
+    Short cells are padded to the longest cell of the board, or to ``pad_to``. With
+    several rules the result has a column ``rule``.
     """
     by = list(by)
     if pad_to is None:
@@ -119,41 +138,32 @@ def interpolated(
         rows = cells.withColumn("m", F.lit(pad_to))
     else:
         rows = cells.withColumn("m", pad_to.scalar())
-    mean = F.try_divide("s", "n")
-    short = F.col("n") < F.col("m")
-    none = F.lit(None).cast("double")
-    if interpolation in ("none", "average_of_same_strategy"):
-        # padding with the cell's own mean leaves mean, minimum and maximum unchanged
-        score, lo, hi = mean, F.col("lo"), F.col("hi")
-    elif interpolation == "remove":
-        score = F.when(~short, mean)
-        lo, hi = F.when(~short, F.col("lo")), F.when(~short, F.col("hi"))
-    elif interpolation == "zero":
-        total = F.coalesce("s", F.lit(0.0))
-        score = total / F.greatest(F.col("n"), F.col("m"))
-        lo = F.when(short, F.least(F.coalesce("lo", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("lo"))
-        hi = F.when(short, F.greatest(F.coalesce("hi", F.lit(0.0)), F.lit(0.0))).otherwise(
-            F.col("hi")
+    many = not isinstance(interpolations, str)
+    variants = []
+    for name in interpolations if many else [interpolations]:
+        score, lo, hi = _rule(name)
+        variants.append(
+            F.struct(
+                F.lit(name).alias("rule"),
+                score.cast("double").alias("score"),
+                lo.alias("lo"),
+                hi.alias("hi"),
+            )
         )
-    else:
-        raise ValueError(f"unknown interpolation: {interpolation}")
-    return rows.select(
-        *by,
-        "dataset",
-        "strategy",
-        "n",
-        F.coalesce(score, none).alias("score"),
-        lo.alias("lo"),
-        hi.alias("hi"),
+    out = rows.select(*by, "dataset", "strategy", "n", F.explode(F.array(*variants)).alias("v"))
+    return out.select(
+        *by, *(["v.rule"] if many else []), "dataset", "strategy", "n", "v.score", "v.lo", "v.hi"
     )
 
 
-def minmax_scaled(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def minmax_scaled(
+    scored: DataFrame, by: Sequence[str] = (), name: str = "score"
+) -> DataFrame:
     """(v - min) / (max - min) per dataset over all values; acts on cell means directly."""
     board = W.partitionBy(*by, "dataset")
     low, high = F.min("lo").over(board), F.max("hi").over(board)
     width = F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0))
-    return scored.withColumn("score", (F.col("score") - low) / width)
+    return scored.withColumn(name, (F.col("score") - low) / width)
 
 
 def max_tie_rank(value: str | Column, partition: Sequence[str]) -> Column:
@@ -231,30 +241,31 @@ def board_family(
     fingerprint: Sequence[str],
     interpolations: Sequence[str] = INTERPOLATIONS,
 ) -> DataFrame:
-    """Total vectors of {min-max, rank, percentage} x {sparse x interpolations, dense}."""
-    kinds = {
-        "dataset_normalized_percentages": ("minmax", "percentages"),
-        "rank": ("none", "ranks"),
-        "percentages": ("none", "percentages"),
-    }
-    parts = []
-    for kind, (normalisation, form) in kinds.items():
-        for grid, rows, rules in (
-            ("sparse", scores, interpolations),
-            ("dense", dense_scores(scores, fingerprint), ("none",)),
-        ):
-            for rule in rules:
-                vector = totals(
-                    board(rows, interpolation=rule, normalisation=normalisation, form=form)
-                )
-                parts.append(
-                    vector.select(
-                        F.concat_ws("_", F.lit(grid), F.lit(rule), F.lit(kind)).alias("setting"),
-                        "strategy",
-                        "total",
-                    )
-                )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Total vectors of {min-max, rank, percentage} x {sparse x interpolations, dense}.
+
+    One aggregate builds all cells; every rule and form follows from the cells.
+    """
+    sparse = scores.select("dataset", "strategy", "value", F.lit("sparse").alias("grid"))
+    dense = dense_scores(scores, fingerprint).select(
+        "dataset", "strategy", "value", F.lit("dense").alias("grid")
+    )
+    cells = cells_of(sparse.unionByName(dense), ["grid"])
+    rules = ["grid", "rule"]
+    scored = interpolated(cells, interpolations, ["grid"]).filter(
+        (F.col("grid") == "sparse") | (F.col("rule") == "none")
+    )
+    shown = minmax_scaled(scored, rules, "normalised").select(
+        *rules,
+        "strategy",
+        F.col("normalised").alias("dataset_normalized_percentages"),
+        max_tie_rank("score", [*rules, "dataset"]).cast("double").alias("rank"),
+        F.col("score").alias("percentages"),
+    )
+    kinds = ["dataset_normalized_percentages", "rank", "percentages"]
+    means = shown.groupBy(*rules, "strategy").agg(*[F.avg(k).alias(k) for k in kinds])
+    return means.unpivot([*rules, "strategy"], kinds, "kind", "total").select(
+        F.concat_ws("_", "grid", "rule", "kind").alias("setting"), "strategy", "total"
+    )
 
 
 def sliced_boards(
