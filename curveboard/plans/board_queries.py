@@ -77,19 +77,19 @@ def board_ctes(
 def _board_sql(name: str, *tables: str, extra: str = "", **options) -> str:
     ctes = (extra + ",\n" if extra else "") + board_ctes(name, **options)
     return sql(
-        "select dataset, strategy, round(score, 9) as score from board", *tables, extra=ctes
+        "select dataset, strategy, round(score, 6) as score from board", *tables, extra=ctes
     )
 
 
 # the run table as scores: one value per run on a 25 x 5 board of uneven cells
-VALUES = "scores as (select * exclude (value), value / 1000 as value from runs)"
+VALUES = "scores as (select * exclude (value), value / 997 as value from runs)"
 # a board with empty cells: strategies missing on some datasets
-HOLES = """scores as (select * exclude (value), value / 1000 as value from runs
+HOLES = """scores as (select * exclude (value), value / 997 as value from runs
   where not (dataset % 5 = 0 and strategy = '1-URGENT'))"""
 
 
 def _scores(t: Tables) -> DataFrame:
-    return t.runs.withColumn("value", F.col("value") / 1000)
+    return t.runs.withColumn("value", F.col("value") / 997)
 
 
 def _holes(t: Tables) -> DataFrame:
@@ -182,12 +182,11 @@ def _(t: Tables):
 @query(
     "L4_matrix",
     sql(
-        """pivot (select dataset, strategy, round(score, 9) as score from board)
+        """pivot (select dataset, strategy, round(score, 6) as score from board)
 on strategy using first(score) group by dataset""",
         "runs",
         extra=HOLES + ",\n" + board_ctes("scores", interpolation="none"),
     ),
-    digits=9,
 )
 def _(t: Tables):
     return lb.matrix(lb.board(_holes(t), interpolation="none"))
@@ -206,7 +205,6 @@ for _id, _rule in (
     query(
         f"{_id}_interpolation_{_rule}",
         _board_sql("scores", "runs", extra=HOLES, interpolation=_rule),
-        digits=9,
     )(_interpolated)
 
 
@@ -226,7 +224,6 @@ def _(t: Tables):
 @query(
     "L10_percentages",
     _board_sql("dense", "runs", extra=VALUES + ",\n" + SHARED, interpolation="none"),
-    digits=9,
 )
 def _(t: Tables):
     return lb.board(lb.dense_scores(_scores(t), ["batch", "learner"]), interpolation="none")
@@ -242,7 +239,6 @@ for _rule in ("none", "remove", "zero", "average_of_same_strategy"):
         _board_sql(
             "scores", "runs", extra=HOLES, interpolation=_rule, normalisation="minmax"
         ),
-        digits=9,
     )(_minmax)
 
 
@@ -255,7 +251,6 @@ for _rule in ("none", "remove", "zero", "average_of_same_strategy"):
         interpolation="average_of_same_strategy",
         normalisation="robust",
     ),
-    digits=9,
 )
 def _(t: Tables):
     return lb.board(
