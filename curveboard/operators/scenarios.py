@@ -79,15 +79,15 @@ def value_scenarios(
     ``fixed`` restricts the scores first; a scenario with null k takes all of them.
     """
     rows = scores if fixed is None else scores.filter(fixed)
-    picks = sample_values(scenarios.filter("k is not null"), scores, dimension, seed)
-    picked = rows.join(picks, dimension)
+    picks = sample_values(scenarios.filter("k is not null"), scores, dimension, seed).drop("k")
     if fixed is not None:
-        everything = scenarios.filter("k is null").agg(F.collect_list("scenario"))
-        whole = rows.withColumn("scenario", F.explode(everything.scalar())).withColumn(
-            "k", F.lit(None).cast(picks.schema["k"].dataType)
+        options = scores.agg(F.collect_set(dimension))
+        everything = scenarios.filter("k is null").select(
+            "scenario", F.explode(options.scalar()).alias(dimension)
         )
-        picked = picked.unionByName(whole.select(*picked.columns))
-    return scenario_board(picked, ["scenario", "k"])
+        picks = picks.unionByName(everything)
+    boards = scenario_board(rows.join(picks, dimension), ["scenario"])
+    return boards.join(scenarios, "scenario")
 
 
 def sample_groups(

@@ -1,6 +1,11 @@
 """All registered queries; importing the families fills the catalogue."""
 
-from curveboard.plans import board_queries, curve_queries, run_queries  # noqa: F401
+from curveboard.plans import (  # noqa: F401
+    board_queries,
+    curve_queries,
+    run_queries,
+    similarity_queries,
+)
 from curveboard.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
