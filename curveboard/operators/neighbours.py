@@ -58,16 +58,21 @@ def mean_distance_to_all(samples: DataFrame, keys: Sequence[str] = ("dataset",))
     )
 
 
+def _renamed(df: DataFrame) -> DataFrame:
+    """Own column names for the candidate side, which may stem from the same table."""
+    return df.select(*[F.col(c).alias(f"c_{c}") for c in df.columns])
+
+
 def _best_of_block(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     out = {"__g": [], "query_id": [], "neighbour_id": [], "distance": []}
     if len(queries) and len(candidates):
         left = np.stack(queries["unit"].to_numpy())
-        right = np.stack(candidates["unit"].to_numpy())
+        right = np.stack(candidates["c_unit"].to_numpy())
         distance = 1.0 - left @ right.T
         q_ids = queries["sample_id"].to_numpy()
-        c_ids = candidates["sample_id"].to_numpy()
+        c_ids = candidates["c_sample_id"].to_numpy()
         q_label = queries["label"].to_numpy()
-        c_label = candidates["label"].to_numpy()
+        c_label = candidates["c_label"].to_numpy()
         scope = queries["scope"].iloc[0]
         barred = q_ids[:, None] == c_ids[None, :]
         if scope == "other":
@@ -120,7 +125,9 @@ def knn(
     every = F.sequence(F.lit(0), F.col("__blocks") - 1)
     cols = [key, "sample_id", "label", "unit", "k", "scope"]
     queries = units.select(*cols, F.col("__block").alias("__q"), F.explode(every).alias("__c"))
-    candidates = units.select(*cols, F.explode(every).alias("__q"), F.col("__block").alias("__c"))
+    candidates = _renamed(
+        units.select(*cols, F.explode(every).alias("__q"), F.col("__block").alias("__c"))
+    )
     id_type = samples.schema["sample_id"].dataType
     out = T.StructType(
         [
@@ -133,7 +140,7 @@ def knn(
     cell = [*groups, "__q", "__c"]
     partial = (
         queries.groupBy(*cell)
-        .cogroup(candidates.groupBy(*cell))
+        .cogroup(candidates.groupBy(*[f"c_{c}" for c in cell]))
         .applyInPandas(_best_of_block, out)
         .withColumnRenamed("__g", key)
     )
@@ -150,7 +157,7 @@ def _block_minimum(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame)
     if not len(queries) or not len(candidates):
         return pd.DataFrame({"sample_id": [], "distance": []})
     left = np.stack(queries["features"].to_numpy())
-    right = np.stack(candidates["features"].to_numpy())
+    right = np.stack(candidates["c_features"].to_numpy())
     square = (
         (left * left).sum(axis=1)[:, None] + (right * right).sum(axis=1)[None, :]
         - 2.0 * left @ right.T
@@ -179,7 +186,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, block_rows: int = BLOCK_R
         )
 
     left = cut(queries, "__nq", "__nc", ("__q", "__c"))
-    right = cut(candidates, "__nc", "__nq", ("__c", "__q"))
+    right = _renamed(cut(candidates, "__nc", "__nq", ("__c", "__q")))
     schema = T.StructType(
         [
             T.StructField("sample_id", queries.schema["sample_id"].dataType),
@@ -188,7 +195,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, block_rows: int = BLOCK_R
     )
     parts = (
         left.groupBy("__q", "__c")
-        .cogroup(right.groupBy("__q", "__c"))
+        .cogroup(right.groupBy("c___q", "c___c"))
         .applyInPandas(_block_minimum, schema)
     )
     return parts.groupBy("sample_id").agg(F.min("distance").alias("distance"))

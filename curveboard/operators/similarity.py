@@ -213,60 +213,91 @@ def curve_rank_correlation(
 # --- Kendall ---------------------------------------------------------------
 
 
-def kendall(
-    pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", chunk: int = 65536
-) -> DataFrame:
+def kendall(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Tie-aware Kendall tau-b of (x, y) per key, exact in n log n without item pairs.
 
-    With items in x order and y as integer ranks, a discordant pair differs first at
-    one bit of y: the earlier item has the bit set, the later has not. So each bit
-    level is a running count of set bits among items that agree above it.
+    For vectors with one entry per strategy or other short list. With items in x order
+    and y as integer ranks, a discordant pair differs first at one bit of y: the
+    earlier item has the bit set, the later has not. So each bit level is a running
+    count of set bits among items that agree above it. All windows share one exchange.
     """
     keys = list(keys)
     rows = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).alias("x"), F.col(y).alias("y")
     )
-    merged = rows.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    ranked = merged.select(
+    every = W.partitionBy(*keys)
+    ties = lambda *c: F.count(F.lit(1)).over(W.partitionBy(*keys, *c))
+    ranked = rows.select(
         *keys,
-        "c",
-        (F.dense_rank().over(W.partitionBy(*keys).orderBy("x")) - 1).cast("long").alias("rx"),
-        (F.dense_rank().over(W.partitionBy(*keys).orderBy("y")) - 1).cast("long").alias("ry"),
+        F.dense_rank().over(every.orderBy("x")).alias("rx"),
+        (F.dense_rank().over(every.orderBy("y")) - 1).cast("long").alias("ry"),
+        ties().alias("n"),
+        ties("x").alias("tx"),
+        ties("y").alias("ty"),
+        ties("x", "y").alias("txy"),
+    ).withColumn("top", F.max("ry").over(every))
+    bits = ranked.select(
+        *keys, "rx", "ry", "n", "tx", "ty", "txy", F.explode(_bit_levels("top")).alias("level")
+    ).select(
+        "*",
+        F.expr("shiftright(ry, level + 1)").alias("prefix"),
+        F.expr("shiftright(ry, level) & 1").alias("bit"),
+    )
+    ahead = (
+        W.partitionBy(*keys, "level", "prefix")
+        .orderBy("rx", "ry")
+        .rowsBetween(W.unboundedPreceding, 0)
+    )
+    # one row per item for the tie counts, one row per item and bit for the discord
+    once = lambda c: F.sum(F.when(F.col("level") == 0, F.col(c) - 1)) / 2
+    sums = (
+        bits.withColumn("before", F.sum("bit").over(ahead))
+        .groupBy(*keys)
+        .agg(
+            F.max("n").alias("n"),
+            F.sum(F.when(F.col("bit") == 0, F.col("before")).otherwise(0)).alias("discord"),
+            once("tx").alias("ties_x"),
+            once("ty").alias("ties_y"),
+            once("txy").alias("ties_both"),
+        )
+    )
+    return sums.select(*keys, "n", _tau_b().alias("tau"))
+
+
+def _bit_levels(top: str) -> Column:
+    last = F.ceil(F.log2(F.col(top) + 1)).cast("int") - 1
+    return F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+
+
+def _tau_b() -> Column:
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    score = (
+        pairs - F.col("ties_x") - F.col("ties_y") + F.col("ties_both") - 2 * F.col("discord")
     )
-    return _tau_from_ranks(ranked, keys, chunk)
+    scale = F.sqrt(pairs - F.col("ties_x")) * F.sqrt(pairs - F.col("ties_y"))
+    return F.try_divide(score, scale)
 
 
 def _tau_from_ranks(ranked: DataFrame, keys: list[str], chunk: int) -> DataFrame:
-    """tau-b from (keys, rx, ry, c): integer ranks in order of x and y, c equal items."""
-    two = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    """tau-b of long vectors from (keys, rx, ry, c): integer ranks, c equal items.
+
+    As ``kendall``, with every running count cut into chunks of x.
+    """
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     sizes = ranked.groupBy(*keys).agg(
-        F.sum("c").alias("n"),
-        F.max("ry").alias("__top"),
-        F.sum(two("c")).alias("__both"),
-    )
-    tie_x = ranked.groupBy(*keys, "rx").agg(F.sum("c").alias("t")).groupBy(*keys).agg(
-        F.sum(two("t")).alias("__tx")
-    )
-    tie_y = ranked.groupBy(*keys, "ry").agg(F.sum("c").alias("t")).groupBy(*keys).agg(
-        F.sum(two("t")).alias("__ty")
-    )
-    levels = F.sequence(
-        F.lit(0), F.greatest(F.ceil(F.log2(F.col("__top") + 1)).cast("int") - 1, F.lit(0))
+        F.sum("c").alias("n"), F.max("ry").alias("top"), two("c").alias("ties_both")
     )
+
+    def tied(rank: str, name: str) -> DataFrame:
+        counts = ranked.groupBy(*keys, rank).agg(F.sum("c").alias("t"))
+        return counts.groupBy(*keys).agg(two("t").alias(name))
+
     bits = (
-        ranked.join(sizes.select(*keys, "__top"), keys)
-        .select(*keys, "rx", "ry", "c", F.explode(levels).alias("level"))
-        .withColumn("__bit", F.expr("shiftright(ry, level) & 1"))
-        .select(
-            *keys,
-            "level",
-            F.expr("shiftright(ry, level + 1)").alias("prefix"),
-            "rx",
-            "ry",
-            "c",
-            (F.col("__bit") * F.col("c")).alias("ones"),
-            "__bit",
-        )
+        ranked.join(sizes.select(*keys, "top"), keys)
+        .select(*keys, "rx", "ry", "c", F.explode(_bit_levels("top")).alias("level"))
+        .withColumn("bit", F.expr("shiftright(ry, level) & 1"))
+        .withColumn("prefix", F.expr("shiftright(ry, level + 1)"))
+        .withColumn("ones", F.col("bit") * F.col("c"))
     )
     counted = running(
         bits,
@@ -275,17 +306,32 @@ def _tau_from_ranks(ranked: DataFrame, keys: list[str], chunk: int) -> DataFrame
         ["rx", "ry"],
         {"before": ("sum", "ones")},
     )
-    discordant = counted.groupBy(*keys).agg(
-        F.sum(F.when(F.col("__bit") == 0, F.col("before") * F.col("c")).otherwise(0)).alias("__d")
+    discord = counted.groupBy(*keys).agg(
+        F.sum(F.when(F.col("bit") == 0, F.col("before") * F.col("c")).otherwise(0)).alias(
+            "discord"
+        )
     )
-    all_pairs = two("n")
-    score = all_pairs - F.col("__tx") - F.col("__ty") + F.col("__both") - 2 * F.col("__d")
-    scale = F.sqrt(all_pairs - F.col("__tx")) * F.sqrt(all_pairs - F.col("__ty"))
     return (
-        sizes.join(tie_x, keys)
-        .join(tie_y, keys)
-        .join(discordant, keys)
-        .select(*keys, "n", F.try_divide(score, scale).alias("tau"))
+        sizes.join(tied("rx", "ties_x"), keys)
+        .join(tied("ry", "ties_y"), keys)
+        .join(discord, keys)
+        .select(*keys, "n", _tau_b().alias("tau"))
+    )
+
+
+def _mirrored(half: DataFrame, a: str, b: str) -> DataFrame:
+    """Both directions of every unordered pair of a half matrix."""
+    both = F.when(
+        F.col(a) == F.col(b), F.array(F.struct(F.col(a).alias("p"), F.col(b).alias("q")))
+    ).otherwise(
+        F.array(
+            F.struct(F.col(a).alias("p"), F.col(b).alias("q")),
+            F.struct(F.col(b).alias("p"), F.col(a).alias("q")),
+        )
+    )
+    rest = [c for c in half.columns if c not in (a, b)]
+    return half.select(F.explode(both).alias("__m"), *rest).select(
+        F.col("__m.p").alias(a), F.col("__m.q").alias(b), *rest
     )
 
 
@@ -302,14 +348,7 @@ def kendall_matrix(
     right = rows.select(*by, item, F.col(of).alias("y_name"), F.col(value).alias("y"))
     pairs = left.join(right, [*by, item]).filter(F.col("x_name") <= F.col("y_name"))
     half = kendall(pairs, [*by, "x_name", "y_name"])
-    mirrored = half.filter("x_name <> y_name").select(
-        *by,
-        F.col("y_name").alias("x_name"),
-        F.col("x_name").alias("y_name"),
-        "n",
-        "tau",
-    )
-    return half.unionByName(mirrored)
+    return _mirrored(half, "x_name", "y_name").select(*by, "x_name", "y_name", "n", "tau")
 
 
 def agreement_with(
@@ -377,7 +416,7 @@ def bootstrap_tau(
     """
     datasets = first.select("dataset").distinct()
     indexed = position(
-        datasets, [], F.pmod(F.hash("dataset"), F.lit(16)), ["dataset"], "__at"
+        datasets, [], F.lit(0), ["dataset"], "__at"
     )
     count = datasets.agg(F.count(F.lit(1)))
     digest = F.md5(
@@ -401,7 +440,8 @@ def bootstrap_tau(
         return (
             draws.join(valued, "dataset")
             .groupBy("replicate", "strategy")
-            .agg((F.sum(F.col("__w") * F.col("score")) / F.sum("__w")).alias("score"))
+            # rounded, so that equal means tie whatever the order of summation
+            .agg(F.round(F.sum(F.col("__w") * F.col("score")) / F.sum("__w"), 9).alias("score"))
         )
 
     return tau_between(resampled(first), resampled(second), ["replicate"])
@@ -474,9 +514,7 @@ def jaccard_matrix(
         "b",
         F.try_divide(F.coalesce("__sum", F.lit(0.0)), prints.scalar()).alias("jaccard"),
     )
-    return half.unionByName(
-        half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard")
-    )
+    return _mirrored(half, "a", "b")
 
 
 def sequence_kendall(
@@ -549,11 +587,7 @@ def multiset_jaccard(selected: DataFrame) -> DataFrame:
         .groupBy("dataset", "a", "b")
         .agg((F.sum("both") / F.sum("either")).alias("jaccard"))
     )
-    return half.unionByName(
-        half.filter("a <> b").select(
-            "dataset", F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"
-        )
-    )
+    return _mirrored(half, "a", "b")
 
 
 def strategy_similarity(

@@ -4,6 +4,7 @@ from curveboard.plans import (  # noqa: F401
     board_queries,
     curve_queries,
     run_queries,
+    sample_queries,
     similarity_queries,
 )
 from curveboard.plans.catalog import ORACLES, QUERIES

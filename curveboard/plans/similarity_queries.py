@@ -167,7 +167,7 @@ def _(t: Tables):
     ordered = sel.ordered_selections(
         t.picks.select("bucket", "run_id", "cycle", "sample_id"), ["bucket", "run_id"]
     )
-    return sim.sequence_kendall(ordered, "run_id", ["bucket"])
+    return sim.sequence_kendall(ordered, "run_id", ["bucket"], chunk=64)
 
 
 @query(
@@ -278,7 +278,7 @@ def _(t: Tables):
         F.col("l_quantity").alias("x"),
         F.col("l_linenumber").alias("y"),
     )
-    return sim.kendall(rows, ["x_name"], chunk=8)
+    return sim.kendall(rows, ["x_name"])
 
 
 @query(
@@ -367,12 +367,12 @@ def _(t: Tables):
 
 
 REPLICATES = 200
-BOOT = f"""ds as (select dataset, row_number() over (order by dataset) - 1 as at,
+BOOT = f"""ds as (select dataset, row_number() over (order by dataset) - 1 as spot,
   count(*) over () as n from (select distinct dataset from metric_scores)),
-draws as (select r.replicate, ('0x' || (md5('0|' || r.replicate || '|' || at))[1:12])::bigint % n as at
+draws as (select r.replicate, ('0x' || (md5('0|' || r.replicate || '|' || spot))[1:12])::bigint % n as spot
   from ds cross join (select unnest(range({REPLICATES})) as replicate) r),
-means_of as (select d.replicate, b.metric, b.strategy, avg(score) as score
-  from draws d join ds using (at) join (select dataset, strategy, metric, avg(value) as score
+means_of as (select d.replicate, b.metric, b.strategy, round(avg(score), 9) as score
+  from draws d join ds using (spot) join (select dataset, strategy, metric, avg(value) as score
     from metric_scores group by 1, 2, 3) b using (dataset) group by 1, 2, 3),
 places as (select *, row_number() over (partition by replicate, metric order by score, strategy)
   as place from means_of),
