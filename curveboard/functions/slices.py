@@ -196,85 +196,81 @@ def percentiles(
     value: str,
     probs: dict[str, float],
     margin: float = 0.002,
-    accuracy: int = 10000,
+    accuracy: int = 2000,
+    whole_rows: int = 20000,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles; ``probs`` maps output names to fractions.
 
-    A quantile sketch brackets each wanted rank. Equal values are merged first, rows
-    outside the brackets are only counted, and only the few slices that hold a wanted
-    rank are sorted, so a group of any size stays spread.
+    A quantile sketch brackets each wanted rank within ``margin``, four times its error
+    bound. One further aggregate counts the values outside the brackets and keeps the
+    distinct values inside with their counts, so rows are never shuffled and a group of
+    any size is spread over slices. Groups up to ``whole_rows`` keep all their values,
+    because a bracket of a few rows could miss a neighbouring rank.
     """
     keys = list(keys)
-    grid = sorted(
-        {
-            min(1.0, max(0.0, p + margin * step / 4))
-            for p in probs.values()
-            for step in range(-4, 5)
-        }
-    )
-    seen = df.filter(F.col(value).isNotNull())
+    steps = (-1.0, -0.5, 0.0, 0.5, 1.0)
+    ends = {
+        name: [min(1.0, max(0.0, p + margin * step)) for step in steps]
+        for name, p in probs.items()
+    }
+    grid = sorted({g for points in ends.values() for g in points})
+    seen = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
     bounds = seen.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx(value, grid, accuracy).alias("__cuts"),
+        F.percentile_approx("__v", grid, accuracy).alias("__cuts"),
     )
-    merged = seen.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     if keys:
-        cut = merged.join(bounds, keys)
+        cut = seen.join(bounds, keys)
     else:
-        cut = merged.withColumn("__b", bounds.select(F.struct("__n", "__cuts")).scalar()).select(
-            value, "__c", "__b.__n", "__b.__cuts"
+        whole = bounds.select(F.struct("__n", "__cuts"))
+        cut = seen.withColumn("__b", whole.scalar()).select("__v", "__b.*")
+    at = lambda g: F.col("__cuts")[grid.index(g)]
+    inside = F.col("__n") <= whole_rows
+    for points in ends.values():
+        inside = inside | F.col("__v").between(at(points[0]), at(points[-1]))
+    slice_by = F.lit(0)
+    for g in grid:
+        slice_by = slice_by + F.when(at(g) < F.col("__v"), 1).otherwise(0)
+    counted = (
+        cut.select(
+            *keys, "__n", slice_by.alias(SLICE), F.when(inside, F.col("__v")).alias("__v")
         )
-    cut = cut.withColumn(
-        SLICE, F.size(F.filter("__cuts", lambda x: x < F.col(value)))
-    ).drop("__cuts")
-    sizes = cut.groupBy(*keys, SLICE).agg(
-        F.sum("__c").alias("__rows"), F.first("__n").alias("__n")
+        .groupBy(*keys, SLICE, "__v")
+        .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
     )
-    sizes = sizes.select(
+    sizes = counted.groupBy(*keys, SLICE).agg(F.sum("__c").alias("__rows"))
+    before = sizes.select(
         *keys,
         SLICE,
-        "__n",
         F.coalesce(F.sum("__rows").over(_strictly_before(keys)), F.lit(0)).alias("__before"),
-        "__rows",
     )
-
-    def ranks(p: float) -> tuple[Column, Column, Column]:
-        at = F.lit(p) * (F.col("__n") - 1)
-        # 1e-9 keeps an integral rank from sliding below itself in floating point
-        low = F.floor(at + F.lit(1e-9))
-        return low, F.least(low + 1, F.col("__n") - 1), F.greatest(at - low, F.lit(0.0))
-
-    def holds(start: Column, length: Column) -> Column:
-        hit = F.lit(False)
-        for p in probs.values():
-            low, high, _ = ranks(p)
-            for r in (low, high):
-                hit = hit | ((start <= r) & (r < start + length))
-        return hit
-
-    wanted = sizes.filter(holds(F.col("__before"), F.col("__rows"))).drop("__rows", "__n")
-    close = cut.join(wanted, [*keys, SLICE])
+    # counted-only values of a slice are smaller than its kept ones, so nulls come first
     local = (
-        W.partitionBy(*keys, SLICE).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        W.partitionBy(*keys, SLICE)
+        .orderBy(F.col("__v").asc_nulls_first())
+        .rowsBetween(W.unboundedPreceding, 0)
     )
-    close = close.withColumn(
-        "__start", F.col("__before") + F.sum("__c").over(local) - F.col("__c")
+    placed = (
+        counted.withColumn("__upto", F.sum("__c").over(local))
+        .join(before, [*keys, SLICE])
+        .withColumn("__start", F.col("__before") + F.col("__upto") - F.col("__c"))
+        .filter("__v is not null")
     )
-    picks = []
+    picks, out = [], []
     for name, p in probs.items():
-        low, high, part = ranks(p)
-        for tag, r in (("lo", low), ("hi", high)):
-            inside = (F.col("__start") <= r) & (r < F.col("__start") + F.col("__c"))
-            picks.append(F.max(F.when(inside, F.col(value))).alias(f"__{tag}_{name}"))
-        picks.append(F.first(part).alias(f"__part_{name}"))
-    found = close.groupBy(*keys).agg(*picks)
-    return found.select(
-        *keys,
-        *[
-            (
-                F.col(f"__lo_{name}")
-                + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * F.col(f"__part_{name}")
-            ).alias(name)
-            for name in probs
-        ],
-    )
+        exact = F.lit(p) * (F.col("__n") - 1)
+        # 1e-9 keeps an integral rank from sliding below itself in floating point
+        low = F.floor(exact + F.lit(1e-9))
+        high = F.least(low + 1, F.col("__n") - 1)
+        for tag, rank in (("lo", low), ("hi", high)):
+            holds = (F.col("__start") <= rank) & (rank < F.col("__start") + F.col("__c"))
+            picks.append(F.max(F.when(holds, F.col("__v"))).alias(f"__{tag}_{name}"))
+        picks.append(F.first(F.greatest(exact - low, F.lit(0.0))).alias(f"__part_{name}"))
+        lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        missed = F.raise_error(F.lit("a percentile fell outside its bracket")).cast("double")
+        out.append(
+            F.when(lo.isNull() | hi.isNull(), missed)
+            .otherwise(lo + (hi - lo) * F.col(f"__part_{name}"))
+            .alias(name)
+        )
+    return placed.groupBy(*keys).agg(*picks).select(*keys, *out)
