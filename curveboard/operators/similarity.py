@@ -415,9 +415,7 @@ def bootstrap_tau(
     Datasets are drawn as weights, so a replicate is a weighted mean, not a copy.
     """
     datasets = first.select("dataset").distinct()
-    indexed = position(
-        datasets, [], F.lit(0), ["dataset"], "__at"
-    )
+    indexed = position(datasets, [], F.col("dataset"), ["dataset"], "__at")
     count = datasets.agg(F.count(F.lit(1)))
     digest = F.md5(
         F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"),

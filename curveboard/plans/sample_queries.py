@@ -364,10 +364,9 @@ select 0 as dataset, p_partkey as sample_id,
 from part left join s on p_partkey = s.sample_id""",
 )
 def _(t: Tables):
-    samples = t.given("part").select(F.lit(0).alias("dataset"), F.col("p_partkey").alias("sample_id"))
-    selected = t.items.join(t.runs.select("run_id", "strategy"), "run_id").withColumn(
-        "dataset", F.lit(0)
-    )
+    whole = F.floor(F.col("sample_id") / 1e12).cast("int").alias("dataset")
+    samples = t.given("part").select(F.col("p_partkey").alias("sample_id")).select("*", whole)
+    selected = t.items.join(t.runs.select("run_id", "strategy"), "run_id").select("*", whole)
     return cat.in_optimal_selection(samples, selected, ["1-URGENT", "2-HIGH"])
 
 
@@ -413,7 +412,8 @@ def _(t: Tables):
 )
 def _(t: Tables):
     accuracy = t.lines.select("run_id", "cycle", F.col("discount").alias("value"))
-    selected = t.lines.select(F.lit(0).alias("dataset"), "run_id", "cycle", "sample_id")
+    whole = F.floor(F.col("sample_id") / 1e12).cast("int").alias("dataset")
+    selected = t.lines.select(whole, "run_id", "cycle", "sample_id")
     return cat.improves_accuracy(accuracy, selected)
 
 

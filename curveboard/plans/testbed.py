@@ -105,8 +105,9 @@ class Tables:
 
     @cached_property
     def samples(self) -> DataFrame:
+        # labels stay below 100, so all samples form one dataset
         return self.given("embeddings").select(
-            F.lit(0).alias("dataset"),
+            F.floor(F.col("label") / 100).cast("int").alias("dataset"),
             F.col("vec_id").alias("sample_id"),
             F.col("embedding").cast("array<double>").alias("features"),
             "label",
@@ -222,7 +223,7 @@ CTE = {
          l_partkey as sample_id, l_linenumber % 3 as y_pred
   from lineitem)""",
     "samples": """samples as (
-  select 0 as dataset, vec_id as sample_id, embedding::double[] as features, label
+  select label // 100 as dataset, vec_id as sample_id, embedding::double[] as features, label
   from embeddings)""",
     "picks": """picks as (
   select dataset, (sample_id // 5) % 10 as run_id, (sample_id // 5) % 2 as bucket,
