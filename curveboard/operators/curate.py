@@ -109,24 +109,26 @@ def drop_stray_index(df: DataFrame, name: str = "Unnamed: 0") -> DataFrame:
 
 
 def repair_short_rows(lines: DataFrame, header_width: int, column: str = "value") -> DataFrame:
-    """(run_id, cycle, value) from raw lines whose last filled cell is the id.
+    """(run_id, cycle, value) from raw lines, also where a short line misplaced its id.
 
-    A line shorter than the header holds its id in a cycle column; the last filled
-    cell is taken as the id of every line and the cells before it as its cycles.
+    A line whose id column is missing or empty holds its id in the last filled cell;
+    the cells before it are its cycles. Empty cycles are left out.
     """
-    cells = F.split(F.col(column), ",", -1)
-    filled = lines.select(F.filter(cells, lambda x: F.trim(x) != "").alias("__filled"),
-                          cells.alias("__cells"))
-    full = F.size("__cells") >= header_width
-    last = F.when(full, F.element_at("__cells", -1)).otherwise(F.element_at("__filled", -1))
-    body = F.when(full, F.slice("__cells", 1, header_width - 1)).otherwise(
-        F.slice("__filled", 1, F.greatest(F.size("__filled") - 1, F.lit(0)))
+    cells = F.split(column, ",", -1)
+    full = (F.size(cells) >= header_width) & (F.trim(F.get(cells, F.lit(header_width - 1))) != "")
+    used = F.when(full, F.slice(cells, 1, header_width)).otherwise(
+        F.split(F.regexp_replace(column, r"[,\s]+$", ""), ",", -1)
+    )
+    rows = lines.select(used.alias("__used"))
+    body = F.slice("__used", F.lit(1), F.size("__used") - 1)
+    return (
+        rows.select(
+            F.element_at("__used", -1).try_cast("double").cast("long").alias("run_id"),
+            F.posexplode(body).alias("cycle", "__v"),
+        )
+        .select("run_id", "cycle", F.col("__v").try_cast("double").alias("value"))
+        .filter("value is not null")
     )
-    return filled.select(
-        last.try_cast("double").cast("long").alias("run_id"), F.posexplode(body)
-    ).select(
-        "run_id", F.col("pos").alias("cycle"), F.col("col").try_cast("double").alias("value")
-    ).filter("value is not null")
 
 
 def drop_double_logged(curve: DataFrame, min_cycles: int = 22, keys=("run_id",)) -> DataFrame:

@@ -149,10 +149,8 @@ def ramp_cutoffs(
         *keys, "pos", "n", "value"
     )
     own = F.floor(F.col("pos") / chunk)
-    copied = (F.col("pos") >= chunk) & (F.col("pos") % chunk < window - 1)
-    halo = spots.withColumn(
-        "__part", F.explode(F.when(copied, F.array(own, own - 1)).otherwise(F.array(own)))
-    )
+    first = F.greatest(F.floor((F.col("pos") - (window - 1)) / chunk), F.lit(0))
+    halo = spots.withColumn("__part", F.explode(F.sequence(first, own)))
     ahead = W.partitionBy(*keys, "__part").orderBy("pos").rowsBetween(0, window - 1)
     means = halo.withColumn("__mean", F.avg("value").over(ahead)).filter(
         F.col("__part") == F.floor(F.col("pos") / chunk)

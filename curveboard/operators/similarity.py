@@ -98,16 +98,20 @@ def pearson_matrix(
     """
     by = list(by)
     keys = [key] if isinstance(key, str) else list(key)
-    names = rows.groupBy().agg(F.sort_array(F.collect_set(of)).alias("names"))
+    # settings in order with a typical value each, which is taken off before any product
+    typical = rows.groupBy(F.col(of).alias("name")).agg(F.avg(value).alias("mean"))
+    names = typical.agg(F.sort_array(F.collect_list(F.struct("name", "mean"))))
     listed = rows.filter(F.col(value).isNotNull()).withColumn("__names", names.scalar())
+    place = F.array_position(F.transform("__names", lambda x: x["name"]), F.col(of))
     vectors = (
-        listed.select(
+        listed.withColumn("__at", (place - 1).cast("int"))
+        .select(
             *by,
             *keys,
             F.size("__names").alias("width"),
             F.struct(
-                (F.array_position("__names", F.col(of)) - 1).cast("int").alias("i"),
-                F.col(value).cast("double").alias("v"),
+                F.col("__at").alias("i"),
+                (F.col(value).cast("double") - F.col("__names")[F.col("__at")]["mean"]).alias("v"),
             ).alias("cell"),
         )
         .groupBy(*by, *keys)
@@ -138,12 +142,18 @@ def pearson_matrix(
     var_x = F.col("cxx") + F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     var_y = F.col("cyy") + F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     name_at = lambda c: F.get(F.col("__names"), F.col(c))
+
+    def varies(variance: Column, setting: str) -> Column:
+        noise = F.abs(name_at(setting)["mean"]) * 1e-13
+        return variance > F.col("n") * noise * noise
+
+    r = cov / F.sqrt(var_x * var_y)
     return merged.withColumn("__names", names.scalar()).select(
         *by,
-        name_at("i").alias("x"),
-        name_at("j").alias("y"),
+        name_at("i")["name"].alias("x"),
+        name_at("j")["name"].alias("y"),
         F.col("n").cast("long").alias("n"),
-        F.when((var_x > 1e-12) & (var_y > 1e-12), cov / F.sqrt(var_x * var_y)).alias("r"),
+        F.when(varies(var_x, "i") & varies(var_y, "j"), r).alias("r"),
     )
 
 
