@@ -273,8 +273,8 @@ def sliced_boards(
 ) -> DataFrame:
     """Total vector per value of each named parameter, all slices in one job.
 
-    ``parameters`` may hold run settings (learner, batch, ...) or ``metric``. Rows are
-    reduced to one per cell and slice before any slice is formed.
+    ``parameters`` may hold run settings (learner, batch, ...) or ``metric``. A row enters
+    one slice per parameter; rows combine on the map side, so only cells are shuffled.
     """
     slices = F.explode(
         F.array(

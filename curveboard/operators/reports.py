@@ -48,10 +48,9 @@ def runtime_by_strategy(
 
 
 def _grouped(rows: DataFrame, dims: Sequence[str], sets: Sequence[Sequence[str]], sums: dict):
-    """Sums per grouping set, formed from rows merged at the finest grain first."""
-    fine = rows.groupBy(*dims).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    grouped = fine.groupingSets([[F.col(c) for c in s] for s in sets], *dims).agg(
-        *[F.sum(n).alias(n) for n in sums], F.grouping_id().alias("__gid")
+    """Sums per grouping set; rows combine on the map side, so only groups are shuffled."""
+    grouped = rows.groupingSets([[F.col(c) for c in s] for s in sets], *dims).agg(
+        *[F.sum(c).alias(n) for n, c in sums.items()], F.grouping_id().alias("__gid")
     )
     names = F.when(F.lit(False), "")
     for s in sets:

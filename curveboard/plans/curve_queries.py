@@ -124,42 +124,24 @@ def _(t: Tables):
 
 # --- curve metrics ----------------------------------------------------------
 
-LISTS = """cells as (
-  select user_id as run_id, event_type, list(value order by event_id) as v
-  from events group by 1, 2)"""
-
-
 def _list_cells(t: Tables):
-    """List-literal cells: one text per user and event type, small values as nan."""
-    parts = F.sort_array(F.collect_list(F.struct("event_id", "value")))
+    """A list literal per event; values below 2 are nan."""
+    shown = lambda c: F.when(c < 2, F.lit("nan")).otherwise(c.cast("string"))
+    value, place = F.col("value"), (F.col("event_id") % 10).cast("double")
     text = F.concat(
-        F.lit("["),
-        F.array_join(
-            F.transform(
-                parts,
-                lambda x: F.when(x["value"] < 2, F.lit("nan")).otherwise(x["value"].cast("string")),
-            ),
-            ", ",
-        ),
-        F.lit("]"),
-    )
-    return t.given("events").groupBy(F.col("user_id").alias("run_id"), "event_type").agg(
-        text.alias("cell")
+        F.lit("["), F.concat_ws(", ", shown(value), shown(value / 2), shown(place)), F.lit("]")
     )
+    return t.given("events").select("event_id", text.alias("cell"))
 
 
 @query(
     "A0_list_cell_mean",
-    sql(
-        """select run_id, event_type,
-  round(coalesce(list_sum(list_filter(v, lambda x: x >= 2)), 0) / len(v), 6) as mean
-from cells""",
-        extra=LISTS,
-    ),
+    """select event_id, round(list_sum(list_transform([value, value / 2, event_id % 10],
+  lambda x: case when x >= 2 then x else 0 end)) / 3, 6) as mean from events""",
 )
 def _(t: Tables):
     cells = _list_cells(t).withColumn("v", parse_list(F.col("cell")))
-    return cells.select("run_id", "event_type", list_mean(F.col("v")).alias("mean"))
+    return cells.select("event_id", list_mean(F.col("v")).alias("mean"))
 
 
 EVALUATED = """evaluated as (
@@ -674,16 +656,13 @@ def _(t: Tables):
 
 @query(
     "U5_expand_cycles",
-    sql(
-        "select run_id, event_type, cast(generate_subscripts(v, 1) - 1 as integer) as cycle, "
-        "round(unnest(v), 6) as value from cells",
-        extra=LISTS,
-    ),
+    """select event_id, cast(unnest([0, 1, 2]) as integer) as cycle,
+  round(unnest([value, value * 2, value / 4]), 6) as value from events""",
 )
 def _(t: Tables):
-    parts = F.sort_array(F.collect_list(F.struct("event_id", "value")))
-    cells = t.given("events").groupBy(F.col("user_id").alias("run_id"), "event_type").agg(
-        F.transform(parts, lambda x: x["value"]).alias("values")
+    value = F.col("value")
+    cells = t.given("events").select(
+        "event_id", F.array(value, value * 2, value / 4).alias("values")
     )
     return expand_cycles(cells)
 

@@ -41,21 +41,23 @@ def _(t: Tables):
 
 
 def _xz_files(t: Tables, broken: bool = False) -> DataFrame:
-    """The run table as xz-compressed CSV files, one per strategy and nation."""
+    """The run table as xz-compressed CSV files of up to a thousand runs each."""
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         text = "run_id,learner\n" + "".join(
             f"{i},{s}\n" for i, s in zip(rows["run_id"], rows["learner"])
         )
         content = lzma.compress(text.encode())
-        if broken and int(key[0]) % 5 == 0:
+        if broken and int(key[1]) % 5 == 0:
             content = content[: len(content) // 2]
-        path = f"/results/{key[1]}/{key[0]}/accuracy.csv.xz"
+        path = f"/results/{key[0]}/{key[1]}/part-{key[2]}.csv.xz"
         return pd.DataFrame({"path": [path], "content": [content]})
 
-    return t.runs.select("dataset", "strategy", "run_id", "learner").groupBy(
-        "dataset", "strategy"
-    ).applyInPandas(pack, "path string, content binary")
+    rows = t.runs.select("strategy", "dataset", "run_id", "learner")
+    part = F.floor(F.col("run_id") / 1000).alias("part")
+    return rows.groupBy("strategy", "dataset", part).applyInPandas(
+        pack, "path string, content binary"
+    )
 
 
 @query("S2_xz_csv", sql("select run_id, learner from runs", "runs"))
@@ -126,8 +128,8 @@ def _(t: Tables):
 @query(
     "S6_corrupt_files",
     sql(
-        """select distinct '/results/' || strategy || '/' || dataset || '/accuracy.csv.xz' as path,
-  dataset % 5 = 0 as broken from runs""",
+        """select distinct '/results/' || strategy || '/' || dataset || '/part-' ||
+  run_id // 1000 || '.csv.xz' as path, dataset % 5 = 0 as broken from runs""",
         "runs",
     ),
 )
@@ -136,46 +138,37 @@ def _(t: Tables):
     return health.select("path", F.col("error").isNotNull().alias("broken"))
 
 
-def _part_cells(t: Tables) -> DataFrame:
-    """Per order the parts as a list literal; every seventh part is nan."""
-    ids = F.sort_array(F.collect_list("l_partkey"))
-    text = F.concat(
-        F.lit("["),
-        F.array_join(
-            F.transform(
-                ids, lambda x: F.when(x % 7 == 0, F.lit("nan")).otherwise(x.cast("string"))
-            ),
-            ", ",
-        ),
-        F.lit("]"),
-    )
-    return t.given("lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(text.alias("cell"))
+def _item_cells(t: Tables) -> DataFrame:
+    """Per line a list literal of part, supplier and number; every seventh part is nan."""
+    part = F.when(F.col("l_partkey") % 7 == 0, "nan").otherwise(F.col("l_partkey").cast("string"))
+    text = F.concat(F.lit("["), F.concat_ws(", ", part, "l_suppkey", "l_linenumber"), F.lit("]"))
+    return t.given("lineitem").select(F.col("l_orderkey").alias("run_id"), text.alias("cell"))
 
 
-PARTS = """select l_orderkey as run_id, count(*) as n,
-  count(case when l_partkey % 7 > 0 then 1 end) as filled,
-  cast(coalesce(sum(case when l_partkey % 7 > 0 then l_partkey end), 0) as bigint) as total
-from lineitem group by 1"""
+ITEM_LISTS = """select l_orderkey as run_id, 3 as n,
+  2 + case when l_partkey % 7 > 0 then 1 else 0 end as filled,
+  l_suppkey + l_linenumber + case when l_partkey % 7 > 0 then l_partkey else 0 end as total
+from lineitem"""
 
 
 def _list_facts(df: DataFrame, column: str) -> DataFrame:
     known = F.filter(column, lambda x: x.isNotNull())
     return df.select(
         "run_id",
-        F.size(column).cast("long").alias("n"),
-        F.size(known).cast("long").alias("filled"),
+        F.size(column).alias("n"),
+        F.size(known).alias("filled"),
         F.aggregate(known, F.lit(0).cast("long"), lambda s, x: s + x.cast("long")).alias("total"),
     )
 
 
-@query("S7_parse_list", PARTS)
+@query("S7_parse_list", ITEM_LISTS)
 def _(t: Tables):
-    return _list_facts(_part_cells(t).select("run_id", parse_list(F.col("cell")).alias("v")), "v")
+    return _list_facts(_item_cells(t).select("run_id", parse_list(F.col("cell")).alias("v")), "v")
 
 
-@query("S8_lists_to_arrays", PARTS)
+@query("S8_lists_to_arrays", ITEM_LISTS)
 def _(t: Tables):
-    arrays = src.wide_list_to_arrays(_part_cells(t), ["run_id"], "int")
+    arrays = src.wide_list_to_arrays(_item_cells(t), ["run_id"], "int")
     # a second pass leaves native arrays alone
     return _list_facts(src.repair_list_columns(arrays), "cell")
 
@@ -958,18 +951,21 @@ def _(t: Tables):
 
 @query(
     "P7_merge_list_cells",
-    """select user_id as run_id, event_type, round(avg(value), 6) as mean,
-  round(median(value), 6) as median from events group by 1, 2""",
+    """select l_orderkey as run_id, l_linenumber,
+  round((l_quantity + l_discount + l_tax) / 3, 6) as mean,
+  round(list_median([l_quantity, l_discount, l_tax]), 6) as median from lineitem""",
 )
 def _(t: Tables):
     from curveboard.functions.lists import merge_cells
 
-    cells = t.given("events").groupBy(F.col("user_id").alias("run_id"), "event_type").agg(
-        F.collect_list("value").alias("cell")
+    cells = t.given("lineitem").select(
+        F.col("l_orderkey").alias("run_id"),
+        "l_linenumber",
+        F.array("l_quantity", "l_discount", "l_tax").alias("cell"),
     )
     return cells.select(
         "run_id",
-        "event_type",
+        "l_linenumber",
         merge_cells(F.col("cell"), "original_mean").alias("mean"),
         merge_cells(F.col("cell"), "median_list").alias("median"),
     )
@@ -977,17 +973,17 @@ def _(t: Tables):
 
 @query(
     "P7_merged_lists",
-    """select run_id, string_agg(m, ',' order by cycle) as medians from (
-  select user_id as run_id, day(ts) as cycle, cast(cast(round(median(value) * 1000)
-    as bigint) as varchar) as m from events group by 1, 2) group by run_id""",
+    sql(
+        """select run_id, string_agg(cast(cast(list_median([value, discount, 7.0]) as bigint)
+  as varchar), ',' order by cycle) as medians from lines group by run_id""",
+        "lines",
+    ),
 )
 def _(t: Tables):
-    cells = t.given("events").groupBy(
-        F.col("user_id").alias("run_id"), F.dayofmonth("ts").alias("cycle")
-    ).agg(F.collect_list("value").alias("cell"))
+    cells = t.lines.select("run_id", "cycle", F.array("value", "discount", F.lit(7.0)).alias("cell"))
     merged = reports.merged_lists(cells, "median_list")
-    scaled = F.transform("values", lambda x: F.round(x * 1000).cast("long"))
-    return merged.select("run_id", show_list(scaled).alias("medians"))
+    whole = F.transform("values", lambda x: x.cast("long"))
+    return merged.select("run_id", show_list(whole).alias("medians"))
 
 
 @query(

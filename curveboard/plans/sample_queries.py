@@ -176,7 +176,7 @@ def _(t: Tables):
         """select run_id, phase, pos, sample_id from (
   select *, row_number() over (partition by run_id order by cycle, sample_id) - 1 as pos,
          count(*) over (partition by run_id) as n from picks)
-join (select run_id % 10 as run_id, max(cutoff) as cut from cutoffs group by 1) using (run_id)
+join (select fingerprint as run_id, max(cutoff) as cut from cutoffs group by 1) using (run_id)
 join (values ('ramp_up'), ('plateau'), ('first_5'), ('last_5')) p(phase)
   on case phase when 'ramp_up' then pos < cut when 'plateau' then pos >= cut
        when 'first_5' then pos < 5 else pos >= n - 5 end""",
@@ -186,7 +186,7 @@ join (values ('ramp_up'), ('plateau'), ('first_5'), ('last_5')) p(phase)
     ),
 )
 def _(t: Tables):
-    cutoffs = ramp_cutoffs(t.gappy).groupBy((F.col("run_id") % 10).alias("run_id")).agg(
+    cutoffs = ramp_cutoffs(t.gappy).groupBy(F.floor(F.col("run_id") / 10).alias("run_id")).agg(
         F.max("cutoff").alias("cutoff")
     )
     ordered = sel.ordered_selections(t.picks.select("run_id", "cycle", "sample_id"))
@@ -199,7 +199,7 @@ def _(t: Tables):
         """select run_id, v[1:5] as f, v[greatest(len(v) - 4, 1):] as l, v[1:cut] as r,
   v[cut + 1:] as p from (
   select run_id, list(sample_id order by cycle, sample_id) as v from picks group by 1)
-join (select run_id % 10 as run_id, cast(max(cutoff) as bigint) as cut from cutoffs group by 1)
+join (select fingerprint as run_id, cast(max(cutoff) as bigint) as cut from cutoffs group by 1)
   using (run_id)""",
         "picks",
         "gappy",
@@ -213,7 +213,7 @@ join (select run_id % 10 as run_id, cast(max(cutoff) as bigint) as cut from cuto
 def _(t: Tables):
     from curveboard.operators.series import selection_phases
 
-    cutoffs = ramp_cutoffs(t.gappy).groupBy((F.col("run_id") % 10).alias("run_id")).agg(
+    cutoffs = ramp_cutoffs(t.gappy).groupBy(F.floor(F.col("run_id") / 10).alias("run_id")).agg(
         F.max("cutoff").alias("cutoff")
     )
     flat = sel.flattened(t.picks.select("run_id", "cycle", "sample_id"))
@@ -462,9 +462,13 @@ def _(t: Tables):
     rows = t.predictions.withColumn("bucket", F.lit(0))
     order = F.sort_array(F.collect_list(F.struct("sample_id", "y_pred")))
     keys = ["dataset", "bucket", "run_id", "cycle", "part"]
-    # one split per (dataset, run, cycle): predictions come as arrays in split order
-    name = F.concat_ws("/", "dataset", "run_id", F.col("cycle").cast("string"))
-    packed = rows.groupBy(*keys).agg(order.alias("o")).withColumn("split", name)
+    # predictions come as short arrays in split order: 64 ids to a split
+    block = F.floor(F.col("sample_id") / 64)
+    name = F.concat_ws(
+        "/", "dataset", "run_id", F.col("cycle").cast("string"), F.col("block").cast("string")
+    )
+    packed = rows.groupBy(*keys, block.alias("block")).agg(order.alias("o"))
+    packed = packed.withColumn("split", name)
     arrays = packed.select(
         F.col("split").alias("dataset"),
         "bucket",
@@ -655,8 +659,9 @@ def _(t: Tables):
 @query(
     "E10_predefined_splits",
     sql(
-        """select dataset, bucket, part, cast(row_number() over (partition by bucket, part
-  order by sample_id) - 1 as integer) as pos, sample_id from splits""",
+        """select sample_id // 64 as dataset, bucket, part, cast(row_number() over
+  (partition by sample_id // 64, bucket, part order by sample_id) - 1 as integer) as pos,
+  sample_id from splits""",
         "samples",
         extra=SPLITS,
     ),
@@ -666,7 +671,9 @@ def _(t: Tables):
     ids = lambda part: F.sort_array(
         F.collect_list(F.when(F.col("part") == part, F.col("sample_id")))
     )
-    lists = splits.groupBy("dataset", "bucket").agg(
+    # given splits are lists of a short dataset each: 64 samples to a dataset
+    small = F.floor(F.col("sample_id") / 64).alias("dataset")
+    lists = splits.groupBy(small, "bucket").agg(
         ids("train").alias("train"), ids("test").alias("test")
     )
     return prep.predefined_splits(lists)
@@ -898,8 +905,7 @@ def _(t: Tables):
   select run_id, cycle, 'wrong batch size', n from (
     select run_id, cycle, count(*) as n, max(cycle) over (partition by run_id) as last
     from p where cycle > 0 group by 1, 2)
-  where n > (select count(*) // 50 from samples)
-    or n < (select count(*) // 50 from samples) and cycle < last)""",
+  where n > 10 or n < 10 and cycle < last)""",
         "picks",
         "train",
         extra="""p as (select run_id, bucket, cycle, sample_id from picks
@@ -912,8 +918,7 @@ def _(t: Tables):
     selected = rows.unionByName(again).select("run_id", "cycle", "sample_id")
     sets = rows.select("run_id", "bucket").distinct()
     train = sets.join(t.train.select("bucket", "sample_id"), "bucket").select("run_id", "sample_id")
-    size = t.samples.agg(F.floor(F.count(F.lit(1)) / 50))
-    batch = sets.select("run_id").withColumn("batch_size", size.scalar())
+    batch = sets.select("run_id").withColumn("batch_size", F.lit(10))
     return pl.pool_violations(selected, train, batch)
 
 

@@ -134,40 +134,45 @@ def _(t: Tables):
     return sim.jaccard_matrix(_chosen(t), "strategy", ["dataset"])
 
 
-# equal-length sequences: five cycles per run and half of the sample picks
+# equal-length sequences: five runs share a fingerprint
 ORDERED = """ordered as (
-  select bucket, run_id, sample_id, count(*) over (partition by bucket, run_id) as n,
-         row_number() over (partition by bucket, run_id order by cycle, sample_id) - 1 as pos
+  select run_id // 5 as fingerprint, run_id % 5 as run_id, sample_id,
+         count(*) over (partition by run_id) as n,
+         row_number() over (partition by run_id order by cycle, sample_id) - 1 as pos
   from picks)"""
 
 
 @query(
     "R7_sequence_kendall",
     sql(
-        """select p.bucket, p.a, p.b, t.n, t.tau from
-(select distinct x.bucket, x.run_id as a, y.run_id as b from ordered x join ordered y
-  using (bucket, pos) where x.run_id < y.run_id) p
-left join (select bucket, a, b, any_value(n) as n,
+        """select p.fingerprint, p.a, p.b, t.n, t.tau from
+(select distinct x.fingerprint, x.run_id as a, y.run_id as b from ordered x join ordered y
+  using (fingerprint, pos) where x.run_id < y.run_id) p
+left join (select fingerprint, a, b, any_value(n) as n,
     round(sum(sign(x1 - x2) * sign(y1 - y2)) / sqrt(sum(abs(sign(x1 - x2))) * 1.0
       * sum(abs(sign(y1 - y2)))), 6) as tau
   from (select i.*, j.x2, j.y2 from
-    (select x.bucket, x.run_id as a, y.run_id as b, x.n, x.pos, x.sample_id as x1,
-       y.sample_id as y1 from ordered x join ordered y using (bucket, pos)
+    (select x.fingerprint, x.run_id as a, y.run_id as b, x.n, x.pos, x.sample_id as x1,
+       y.sample_id as y1 from ordered x join ordered y using (fingerprint, pos)
      where x.run_id < y.run_id and x.n = y.n) i join
-    (select x.bucket, x.run_id as a, y.run_id as b, x.pos as p2, x.sample_id as x2,
-       y.sample_id as y2 from ordered x join ordered y using (bucket, pos)
+    (select x.fingerprint, x.run_id as a, y.run_id as b, x.pos as p2, x.sample_id as x2,
+       y.sample_id as y2 from ordered x join ordered y using (fingerprint, pos)
      where x.run_id < y.run_id) j
-    on i.bucket = j.bucket and i.a = j.a and i.b = j.b and i.pos < j.p2)
-  group by 1, 2, 3) t using (bucket, a, b)""",
+    on i.fingerprint = j.fingerprint and i.a = j.a and i.b = j.b and i.pos < j.p2)
+  group by 1, 2, 3) t using (fingerprint, a, b)""",
         "picks",
         extra=ORDERED,
     ),
 )
 def _(t: Tables):
-    ordered = sel.ordered_selections(
-        t.picks.select("bucket", "run_id", "cycle", "sample_id"), ["bucket", "run_id"]
+    rows = t.picks.select(
+        F.floor(F.col("run_id") / 5).alias("fingerprint"),
+        (F.col("run_id") % 5).alias("run_id"),
+        "cycle",
+        "sample_id",
     )
-    return sim.sequence_kendall(ordered, "run_id", ["bucket"], chunk=64)
+    ordered = sel.ordered_selections(rows, ["fingerprint", "run_id"])
+    return sim.sequence_kendall(ordered, "run_id", ["fingerprint"], chunk=64)
 
 
 @query(

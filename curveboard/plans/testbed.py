@@ -115,11 +115,11 @@ class Tables:
 
     @cached_property
     def picks(self) -> DataFrame:
-        """Selections from the samples: ten runs of five cycles over two train sets."""
+        """Selections from the samples: runs of five cycles of ten over two train sets."""
         return self.samples.select(
             "dataset",
-            (F.floor(F.col("sample_id") / 5) % 10).alias("run_id"),
-            (F.floor(F.col("sample_id") / 5) % 2).alias("bucket"),
+            F.floor(F.col("sample_id") / 50).alias("run_id"),
+            (F.floor(F.col("sample_id") / 50) % 2).alias("bucket"),
             (F.col("sample_id") % 5).alias("cycle"),
             "sample_id",
             "features",
@@ -226,7 +226,7 @@ CTE = {
   select label // 100 as dataset, vec_id as sample_id, embedding::double[] as features, label
   from embeddings)""",
     "picks": """picks as (
-  select dataset, (sample_id // 5) % 10 as run_id, (sample_id // 5) % 2 as bucket,
+  select dataset, sample_id // 50 as run_id, (sample_id // 50) % 2 as bucket,
          sample_id % 5 as cycle, sample_id, features, label
   from samples)""",
     "train": """train as (
