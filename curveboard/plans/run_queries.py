@@ -436,14 +436,13 @@ def _(t: Tables):
     "W15_merge_results",
     sql(
         """select run_id, case when any_value(bucket) < 1999 then 'first' else 'second' end as origin
-from runs where bucket <> 2001 group by run_id""",
+from runs group by run_id""",
         "runs",
     ),
 )
 def _(t: Tables):
-    rows = t.runs.filter("bucket <> 2001")
-    first = rows.filter("bucket < 1999").select("run_id", F.lit("first").alias("origin"))
-    second = rows.select("run_id", F.lit("second").alias("origin"))
+    first = t.runs.filter("bucket < 1999").select("run_id", F.lit("first").alias("origin"))
+    second = t.runs.select("run_id", F.lit("second").alias("origin"))
     return grid.merge_results(first, second)
 
 
