@@ -652,7 +652,7 @@ def _metric_rows(t: Tables) -> DataFrame:
 @query(
     "C3_missing_from_some_metric",
     sql(
-        """select strategy, run_id, count(distinct metric) as present, 3 as expected
+        """select strategy, run_id, count(distinct metric) as present, 3::bigint as expected
 from metric_rows group by 1, 2 having count(distinct metric) < 3""",
         extra=METRIC_ROWS,
     ),

@@ -375,7 +375,7 @@ REPLICATES = 200
 BOOT = f"""ds as (select dataset, row_number() over (order by dataset) - 1 as spot,
   count(*) over () as n from (select distinct dataset from metric_scores)),
 draws as (select r.replicate, ('0x' || (md5('0|' || r.replicate || '|' || spot))[1:12])::bigint % n as spot
-  from ds cross join (select unnest(range({REPLICATES})) as replicate) r),
+  from ds cross join (select cast(unnest(range({REPLICATES})) as integer) as replicate) r),
 means_of as (select d.replicate, b.metric, b.strategy, round(avg(score), 9) as score
   from draws d join ds using (spot) join (select dataset, strategy, metric, avg(value) as score
     from metric_scores group by 1, 2, 3) b using (dataset) group by 1, 2, 3),
@@ -656,7 +656,7 @@ def _scenarios(t: Tables, largest: int) -> DataFrame:
 
 
 def _scenario_cte(largest: int) -> str:
-    return f"""scenarios as (select n_nationkey * {largest} + k - 1 as scenario,
+    return f"""scenarios as (select cast(n_nationkey * {largest} + k - 1 as integer) as scenario,
   cast(k as integer) as k from nation, (select unnest(generate_series(1, {largest})) as k))"""
 
 
