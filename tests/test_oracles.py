@@ -35,3 +35,22 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 5
+
+
+def test_python_tasks_need_no_package_on_the_executors(tmp_path):
+    """From another folder the workers cannot import the package; its functions travel along."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as e\n"
+        "from curveboard.session import local_session\n"
+        f"print('rows', e.queries()['E12_knn'](local_session(2), {SMALL!r}).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run(
+        [sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180
+    )
+    assert "rows" in out.stdout, out.stderr[-2000:]
