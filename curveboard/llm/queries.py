@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveboard.llm import language, packing, quality, sharding, toxicity
+from curveboard.llm import language, packing, pieces, quality, sharding, toxicity
 from curveboard.llm.labelled import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op10_centroid_language(spark, sf_dir):
     held_out = crc_of("doc_id") % 4 == 2
     found = language.languages(table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op2_sampled_pieces(spark, sf_dir):
+    """Sampled SentencePiece ids of every document."""
+    return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
