@@ -153,7 +153,7 @@ def plan(histogram: dict[int, int], width: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(pieces: DataFrame, width: int = 2048, slice_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, width: int = 2048, slice_rows: int = 2000) -> DataFrame:
     """Add sequence_id and offset to pieces of (doc_id, piece, length).
 
     Only the histogram of lengths (at most ``width`` rows) reaches the driver, and only the runs

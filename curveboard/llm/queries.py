@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveboard.llm import language, packing, pieces, quality, sharding, toxicity
+from curveboard.llm import language, minhash, packing, pieces, quality, sharding, toxicity
 from curveboard.llm.labelled import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op10_centroid_language(spark, sf_dir):
 def op2_sampled_pieces(spark, sf_dir):
     """Sampled SentencePiece ids of every document."""
     return pieces.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op3_bag_minhash(spark, sf_dir):
+    """Near-duplicate class of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
