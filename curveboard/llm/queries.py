@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveboard.llm import language, minhash, packing, pieces, quality, sharding, toxicity
+from curveboard.llm import language, minhash, packing, pieces, quality, sharding, suffixes, toxicity
 from curveboard.llm.labelled import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op2_sampled_pieces(spark, sf_dir):
 def op3_bag_minhash(spark, sf_dir):
     """Near-duplicate class of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_suffix_array_dedup(spark, sf_dir):
+    """Bytes of every document that no earlier 100-byte string covers."""
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
