@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveboard.llm import language, minhash, packing, pieces, quality, sharding, suffixes, toxicity
+from curveboard.llm import hyperplanes, language, minhash, packing, pieces, quality, sharding, suffixes, toxicity
 from curveboard.llm.labelled import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op3_bag_minhash(spark, sf_dir):
 def op1_suffix_array_dedup(spark, sf_dir):
     """Bytes of every document that no earlier 100-byte string covers."""
     return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_hyperplane_links(spark, sf_dir):
+    """Links and component of every vector within its label."""
+    return hyperplanes.near_vectors(table(spark, sf_dir, "embeddings"))
