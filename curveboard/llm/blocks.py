@@ -27,6 +27,15 @@ def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def kept_rows(df: DataFrame, function: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """Rows for which a function of the Arrow batch is true, all columns as they are."""
+
+    def run(batch):
+        yield batch.filter(pa.array(function(batch)))
+
+    return mapped(df, run, df.schema)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curveboard.llm.blocks import LOWER, TOKENS, U, column, mapped, mix, run_hashes, runs, text_blocks
+from curveboard.llm.blocks import LOWER, TOKENS, U, column, kept_rows, mapped, mix, run_hashes, runs, text_blocks
 from curveboard.llm.labelled import row_sums, sample, sigmoid, string_blocks
 
 #: log2 of the number of weights.
@@ -87,21 +87,14 @@ def fit(table: pa.Table, passes: int = 3, alpha: float = 0.3, beta: float = 1.0,
     return w[:size].astype(np.float32), float(w[size])
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "score") -> DataFrame:
-    """(doc_id, score) of each row; one sparse dot product per document."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def score(batch):
-        w, out = shared.value, []
-        for first, last, data, offs in text_blocks(column(batch, "text")):
-            rows, idx = features(data, offs)
-            n = np.bincount(rows, minlength=last - first)
-            out.append(sigmoid(bias + SCALE * row_sums(w[idx], rows, last - first) / np.maximum(n, 1)))
-        yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), pa.array(np.concatenate(out))], names=["doc_id", name]
-        )
-
-    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), score, f"doc_id long, {name} double")
+def text_scores(texts: pa.Array, w: np.ndarray, bias: float) -> np.ndarray:
+    """One sparse dot product per text."""
+    out = [np.empty(0)]
+    for first, last, data, offs in text_blocks(texts):
+        rows, idx = features(data, offs)
+        n = np.bincount(rows, minlength=last - first)
+        out.append(sigmoid(bias + SCALE * row_sums(w[idx], rows, last - first) / np.maximum(n, 1)))
+    return np.concatenate(out)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, allowed: Column, sample_rows: int = 8000) -> DataFrame:
@@ -112,4 +105,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, allowed: Column, sample_r
     rows are scored each. Without usable labels every score is 0.5. Other columns are ignored.
     """
     weights, bias = fit(sample(docs, labels, "quality", allowed, sample_rows))
-    return scored(docs, weights, bias)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def score(batch):
+        scores = text_scores(column(batch, "text"), shared.value, bias)
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(scores)], names=["doc_id", "score"])
+
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), score, "doc_id long, score double")
+
+
+def good_documents(
+    docs: DataFrame, labels: DataFrame, allowed: Column, least: float = 0.3, sample_rows: int = 8000
+) -> DataFrame:
+    """The rows, whole, whose score is at least ``least``; scores as in quality_scores."""
+    weights, bias = fit(sample(docs, labels, "quality", allowed, sample_rows))
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    return kept_rows(docs, lambda batch: text_scores(column(batch, "text"), shared.value, bias) >= least)

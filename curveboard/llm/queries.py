@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveboard.llm import hyperplanes, language, minhash, packing, pieces, quality, sharding, suffixes, toxicity
+from curveboard.llm import hilbert, hyperplanes, language, minhash, packing, pieces, quality, sharding, suffixes, toxicity
 from curveboard.llm.labelled import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def op1_suffix_array_dedup(spark, sf_dir):
 def op4_hyperplane_links(spark, sf_dir):
     """Links and component of every vector within its label."""
     return hyperplanes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_hilbert_neighbours(spark, sf_dir):
+    """The 10 nearest vectors of every hundredth vector."""
+    return hilbert.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)

@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveboard.llm.blocks import LOWER, TOKENS, U, column, mapped, run_hashes, runs, text_blocks
+from curveboard.llm.blocks import LOWER, TOKENS, U, column, kept_rows, mapped, run_hashes, runs, text_blocks
 from curveboard.llm.labelled import row_sums, sample, sigmoid, string_blocks
 
 BITS = 20
 #: Grades 0 (clean), 1 and 2; the labels give 0 against the rest.
 GRADES = 3
+#: Probability of a grade above 0 from which a text counts as toxic.
+TOXIC = 0.5
 
 
 def occurrences(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,47 +98,45 @@ def fit(table: pa.Table, passes: int = 150, l1: float = 2e-4, rate: float = 0.5,
     return weights, cuts
 
 
-def severities(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> DataFrame:
-    """(doc_id, severity, p_toxic, grade) of each row.
+def exceeded(texts: pa.Array, where: np.ndarray, values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """P(grade > k) of each text, one column per threshold k; only words with a weight are looked at."""
+    w = np.zeros(1 << BITS, np.float32)
+    w[where] = values
+    out = [np.empty((0, len(cuts)))]
+    for first, last, data, offs in text_blocks(texts):
+        rows, idx = occurrences(data, offs)
+        hit = w[idx] != 0
+        r, i, _ = presence(rows[hit], idx[hit])
+        out.append(sigmoid(row_sums(w[i], r, last - first)[:, None] - cuts))
+    return np.concatenate(out)
 
-    severity is the expected grade, p_toxic the probability of any grade above 0, grade the
-    likeliest one. Empty and null texts get the values of the thresholds alone.
+
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFrame:
+    """(doc_id, severity, p_toxic, grade, toxic) of every whole text.
+
+    severity is the expected grade, p_toxic the probability of a grade above 0, grade the
+    likeliest one, toxic says that p_toxic is 0.5 or more. Fitted on at most ``sample_rows`` labelled rows. Null and empty texts are clean unless the
+    labels are toxic throughout; equal texts get equal values; repeated rows are scored each.
+    Without usable labels nothing is toxic. Other columns are ignored.
     """
+    weights, cuts = fit(sample(docs, labels, "toxic", F.lit(True), sample_rows))
     used = np.flatnonzero(weights)
     shared = docs.sparkSession.sparkContext.broadcast((used, weights[used]))
 
     def score(batch):
-        where, values = shared.value
-        w = np.zeros(1 << BITS, np.float32)
-        w[where] = values
-        above = []
-        for first, last, data, offs in text_blocks(column(batch, "text")):
-            rows, idx = occurrences(data, offs)
-            hit = w[idx] != 0
-            r, i, _ = presence(rows[hit], idx[hit])
-            above.append(sigmoid(row_sums(w[i], r, last - first)[:, None] - cuts))
-        above = np.concatenate(above)
+        above = exceeded(column(batch, "text"), *shared.value, cuts)
         p = np.concatenate((1 - above[:, :1], above[:, :-1] - above[:, 1:], above[:, -1:]), axis=1)
-        yield pa.RecordBatch.from_arrays(
-            [
-                column(batch, "doc_id"),
-                pa.array(above.sum(axis=1)),
-                pa.array(above[:, 0]),
-                pa.array(p.argmax(axis=1).astype(np.int32)),
-            ],
-            names=["doc_id", "severity", "p_toxic", "grade"],
-        )
+        arrays = [above.sum(axis=1), above[:, 0], p.argmax(axis=1).astype(np.int32), above[:, 0] >= TOXIC]
+        names = ["doc_id", "severity", "p_toxic", "grade", "toxic"]
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *map(pa.array, arrays)], names=names)
 
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    return mapped(plain, score, "doc_id long, severity double, p_toxic double, grade int")
+    return mapped(plain, score, "doc_id long, severity double, p_toxic double, grade int, toxic boolean")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFrame:
-    """Severity of every whole text, with ``toxic`` = p_toxic >= 0.5.
-
-    Fitted on at most ``sample_rows`` labelled rows. Null and empty texts are clean unless the
-    labels are toxic throughout; equal texts get equal values; repeated rows are scored each.
-    Without usable labels nothing is toxic. Other columns are ignored.
-    """
+def clean_documents(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFrame:
+    """The rows, whole, that are not toxic; probabilities as in toxicity."""
     weights, cuts = fit(sample(docs, labels, "toxic", F.lit(True), sample_rows))
-    return severities(docs, weights, cuts).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    used = np.flatnonzero(weights)
+    shared = docs.sparkSession.sparkContext.broadcast((used, weights[used]))
+    return kept_rows(docs, lambda batch: exceeded(column(batch, "text"), *shared.value, cuts)[:, 0] < TOXIC)
