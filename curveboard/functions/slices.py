@@ -9,6 +9,7 @@ hot group spreads; ordinary groups fall into one slice or a few.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 
 SLICE = "__slice"
 CHUNK = 1024
+#: Rows aimed at in a slice of a random order.
+SLICE_ROWS = 4096.0
 
 
 def _col(c: str | Column) -> Column:
@@ -26,6 +29,11 @@ def _strictly_before(keys: Sequence[str]) -> W:
     return W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
 
 
+def same_keys(keys: Sequence[str]) -> Column:
+    """Null-safe equality on all keys between the sides aliased ``l`` and ``r`` of a join."""
+    return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+
+
 def position(
     df: DataFrame,
     keys: Sequence[str],
@@ -63,16 +71,19 @@ def hash_position(
     """Position in a seeded random order that depends on nothing but salt and ids.
 
     The order is that of an MD5 digest, so it survives repartitioning and lost
-    executors; its first two hex digits spread any group over 256 slices.
+    executors. Its leading hex digits cut every group into slices; their number follows the
+    rows of the table, so a slice holds some thousands of rows even if one group holds them all.
     """
     digest = F.md5(F.concat_ws("|", *[_col(c).cast("string") for c in [*salt, *ids]]))
+    rows = df.agg(F.count(F.lit(1)).cast("double")).scalar()
+    digits = F.ceil(F.log(16.0, F.greatest(rows / SLICE_ROWS, F.lit(1.0)))).cast("int")
     return position(
-        df.withColumn("__digest", digest),
+        df.withColumn("__digest", digest).withColumn("__digits", digits),
         keys,
-        F.substring("__digest", 1, 2),
+        F.substring(F.col("__digest"), F.lit(1), F.col("__digits")),
         ["__digest", *ids],
         name,
-    ).drop("__digest")
+    ).drop("__digest", "__digits")
 
 
 def running(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveboard.functions.lists import round_list
-from curveboard.functions.slices import first_rows
+from curveboard.functions.slices import first_rows, same_keys
 from curveboard.schema import DIMS, QUERY_TIME_LIMIT
 
 
@@ -57,10 +57,10 @@ def duplicate_combinations(runs: DataFrame, keys: Sequence[str] = DIMS) -> DataF
         .drop("n")
     )
     return (
-        runs.select(*keys, F.col("run_id").alias("later_id"))
-        .join(first, keys)
-        .filter("later_id <> first_id")
-        .select("first_id", "later_id")
+        runs.alias("l")
+        .join(first.alias("r"), same_keys(keys))
+        .filter("l.run_id <> r.first_id")
+        .select("r.first_id", F.col("l.run_id").alias("later_id"))
     )
 
 
@@ -99,9 +99,12 @@ def purge_learner(rows: DataFrame, runs: DataFrame, learner) -> DataFrame:
     return purge(rows, runs.filter(F.col("learner") == learner))
 
 
-def drop_repeated_headers(lines: DataFrame, header: Column | str, column: str = "value"):
-    """Raw text lines without any header line; the header is known and re-added on write."""
-    return lines.filter(F.col(column) != header)
+def drop_repeated_headers(lines: DataFrame, id_name: str = "run_id", column: str = "value"):
+    """Raw text lines without any line that names the id column.
+
+    The header is known and written again with the file; a header of another width goes too.
+    """
+    return lines.filter(~F.coalesce(F.contains(F.col(column), F.lit(id_name)), F.lit(False)))
 
 
 def drop_stray_index(df: DataFrame, name: str = "Unnamed: 0") -> DataFrame:
@@ -109,25 +112,42 @@ def drop_stray_index(df: DataFrame, name: str = "Unnamed: 0") -> DataFrame:
 
 
 def repair_short_rows(lines: DataFrame, header_width: int, column: str = "value") -> DataFrame:
-    """(run_id, cycle, value) from raw lines, also where a short line misplaced its id.
+    """(run_id, cycle, value, cell, error) from raw lines, also where a short line misplaced its id.
 
     A line whose id column is missing or empty holds its id in the last filled cell;
-    the cells before it are its cycles. Empty cycles are left out.
+    the cells before it are its cycles. Commas inside quotes do not separate cells, so list
+    cells stay whole. Empty cycles are left out. A cell that is no number keeps its text in
+    ``cell`` and has no ``value``; ``error`` is "id" where the id is no integer, "value" where
+    the cell is neither a number nor a list, else null.
     """
-    cells = F.split(column, ",", -1)
-    full = (F.size(cells) >= header_width) & (F.trim(F.get(cells, F.lit(header_width - 1))) != "")
-    used = F.when(full, F.slice(cells, 1, header_width)).otherwise(
-        F.split(F.regexp_replace(column, r"[,\s]+$", ""), ",", -1)
+    # a cell is a quoted text with doubled quotes inside, or anything without a comma
+    found = F.regexp_extract_all(F.col(column), F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), 1)
+    plain = F.transform(
+        found,
+        lambda c: F.trim(
+            F.when(c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')))
+            .otherwise(c)
+        ),
     )
-    rows = lines.select(used.alias("__used"))
+    rows = lines.select(plain.alias("__cells"))
+    full = (F.size("__cells") >= header_width) & (F.get("__cells", F.lit(header_width - 1)) != "")
+    filled = F.filter("__cells", lambda c: c != "")
+    used = F.when(full, F.slice("__cells", 1, header_width)).otherwise(filled)
+    rows = rows.select(used.alias("__used"))
     body = F.slice("__used", F.lit(1), F.size("__used") - 1)
+    last = F.element_at("__used", -1)
+    # ids may be written as 7.0; a long keeps ids beyond 2^53 exact
+    ids = F.regexp_replace(last, r"\.0*$", "").try_cast("long")
+    value = F.col("cell").try_cast("double")
+    missing = F.lower("cell").isin("", "nan")
+    wrong = F.when(F.col("run_id").isNull(), "id").when(
+        value.isNull() & ~F.col("cell").startswith("["), "value"
+    )
     return (
-        rows.select(
-            F.element_at("__used", -1).try_cast("double").cast("long").alias("run_id"),
-            F.posexplode(body).alias("cycle", "__v"),
-        )
-        .select("run_id", "cycle", F.col("__v").try_cast("double").alias("value"))
-        .filter("value is not null")
+        rows.filter(F.size("__used") > 1)
+        .select(ids.alias("run_id"), F.posexplode(body).alias("cycle", "cell"))
+        .filter(~missing)
+        .select("run_id", "cycle", value.alias("value"), "cell", wrong.alias("error"))
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curveboard.functions.slices import CHUNK, first_rows, framed, running
+from curveboard.functions.slices import CHUNK, first_rows, framed, running, same_keys
 from curveboard.schema import AGGREGATE_PREFIXES, NON_CURVE_PREFIXES, TIME_LAG_EXCLUDED
 
 RUN = ("run_id",)
@@ -184,9 +184,8 @@ def spread_cutoffs(
     ``baseline``: dims + cutoff. Runs without a baseline keep a null cutoff, baselines
     without a run a null id.
     """
-    return runs.select("run_id", *dims).join(
-        baseline.select(*dims, "cutoff"), list(dims), "full_outer"
-    ).select("run_id", "cutoff")
+    left, right = runs.alias("l"), baseline.alias("r")
+    return left.join(right, same_keys(dims), "full_outer").select("l.run_id", "r.cutoff")
 
 
 def change_point(curve: DataFrame, keys: Sequence[str] = RUN, chunk: int = CHUNK) -> DataFrame:
@@ -254,9 +253,18 @@ def eligible_metrics(metrics: DataFrame, family: str = "curve") -> DataFrame:
     return metrics.filter(~blocked)
 
 
-def wide_join(frames: Sequence[DataFrame], key: str = "run_id") -> DataFrame:
-    """Outer join of several metric tables on the id, first row per id of each."""
-    firsts = [first_rows(f, [key], [c for c in f.columns if c != key]) for f in frames]
+def wide_join(
+    frames: Sequence[DataFrame], key: str = "run_id", order_by: Sequence[str] = ()
+) -> DataFrame:
+    """Outer join of several metric tables on the id, first row per id of each.
+
+    ``order_by`` names the columns that give the order of files and rows; they are left out of
+    the result. Without them the smallest values come first, so that the choice is repeatable.
+    """
+    firsts = [
+        first_rows(f, [key], list(order_by) or [c for c in f.columns if c != key]).drop(*order_by)
+        for f in frames
+    ]
     return reduce(lambda a, b: a.join(b, key, "full_outer"), firsts)
 
 
@@ -273,12 +281,15 @@ def missing_outputs(
 
 
 def pad_curves(curve: DataFrame, lengths: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
-    """Null rows up to the planned number of cycles; only for wide export."""
+    """Null rows up to the planned number of cycles; only for wide export.
+
+    Nothing is cut: cycles beyond the plan, and runs without a plan, stay as they are.
+    """
     slots = lengths.filter("num_queries > 0").select(
         *keys,
         F.explode(F.sequence(F.lit(0), F.col("num_queries").cast("int") - 1)).alias("cycle"),
     )
-    return slots.join(curve.select(*keys, "cycle", "value"), [*keys, "cycle"], "left")
+    return slots.join(curve.select(*keys, "cycle", "value"), [*keys, "cycle"], "full_outer")
 
 
 def curve_aggregates(

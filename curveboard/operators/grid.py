@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from curveboard.functions.slices import first_rows, hash_position
+from curveboard.functions.slices import first_rows, hash_position, same_keys
 from curveboard.schema import DENSE_CUTOFFS, DIMS, TRANSIENT_ERRORS
 
 
@@ -36,17 +36,12 @@ def grid_of(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys between aliased sides ``l`` and ``r``."""
-    return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
-
-
 def subtract(left: DataFrame, right: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Rows of ``left`` without a match in ``right`` on all columns but the id."""
     keys = list(keys or [c for c in left.columns if c not in ("run_id", "error")])
     kept = left.drop("error").alias("l")
     gone = right.select(*keys).distinct().alias("r")
-    return kept.join(gone, _matches(kept, gone, keys), "left_anti")
+    return kept.join(gone, same_keys(keys), "left_anti")
 
 
 def exclude_done_elsewhere(
@@ -62,7 +57,7 @@ def exclude_done_elsewhere(
 def shuffle_and_number(
     runs: DataFrame, keys: Sequence[str], offset: int = 0, seed: int = 0
 ) -> DataFrame:
-    """Random order, then ids from ``offset`` up; spread over 256 slices, repeatable."""
+    """Random order, then ids from ``offset`` up; spread over slices, repeatable."""
     return hash_position(runs, [], [F.lit(seed)], keys, "run_id").withColumn(
         "run_id", F.col("run_id") + offset
     )
@@ -81,7 +76,7 @@ def refresh_grid(
     keys = list(keys)
     known = first_rows(old.select(*keys, "run_id"), keys, ["run_id"])
     merged = known.alias("l").join(
-        new.select(*keys).distinct().alias("r"), _matches(known, new, keys), "full_outer"
+        new.select(*keys).distinct().alias("r"), same_keys(keys), "full_outer"
     )
     merged = merged.select(
         *[F.coalesce(F.col(f"l.{k}"), F.col(f"r.{k}")).alias(k) for k in keys], "l.run_id"
@@ -265,9 +260,9 @@ def shared_identities(
     left: DataFrame, right: DataFrame, keys: Sequence[str] = DIMS
 ) -> DataFrame:
     """Identities present in both tables, with their number of rows in each."""
-    a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_left"))
-    b = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_right"))
-    return a.join(b, list(keys))
+    a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_left")).alias("l")
+    b = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_right")).alias("r")
+    return a.join(b, same_keys(keys)).select(*[f"l.{k}" for k in keys], "n_left", "n_right")
 
 
 def prune_dense(
@@ -287,7 +282,7 @@ def prune_dense(
         combos = combos.withColumn("__size", F.sum("__n").over(others)).filter(
             F.col("__size") >= cutoff
         )
-    return runs.join(combos.select(*keys), keys, "left_semi")
+    return runs.alias("l").join(combos.select(*keys).alias("r"), same_keys(keys), "left_semi")
 
 
 def combination_support(runs: DataFrame, parameter: str, keys: Sequence[str] = DIMS) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from curveboard.functions.slices import percentiles
 
+# Names of interpolation rules, scalings and forms.
 INTERPOLATIONS = ("none", "remove", "zero", "average_of_same_strategy")
 NORMALISATIONS = ("none", "minmax", "robust")
 FORMS = ("percentages", "ranks", "inverted_ranks", "counts")
@@ -292,11 +293,13 @@ def sliced_boards(
 
 
 def score_table(scores: DataFrame, value: str = "value") -> DataFrame:
-    """Mean by strategy and dataset with a mean row; values up to 1 become per cent."""
+    """Mean by strategy and dataset of one metric, with a mean row.
+
+    A metric none of whose values exceeds 1 is a share and shown in per cent.
+    """
+    scale = F.when(scores.agg(F.max(value)).scalar() <= 1, 100.0).otherwise(1.0)
     cells = scores.groupBy("strategy", "dataset").agg(F.avg(value).alias("__v"))
-    cells = cells.withColumn(
-        "score", F.when(F.col("__v") <= 1, F.col("__v") * 100).otherwise(F.col("__v"))
-    )
+    cells = cells.withColumn("score", F.col("__v") * scale)
     mean = cells.groupBy("strategy").agg(F.avg("score").alias("score")).withColumn(
         "dataset", F.lit("Mean (%)")
     )

@@ -38,8 +38,16 @@ def unpivot_cycles(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
     )
 
 
-def pivot_cycles(curve: DataFrame, ids: Sequence[str], cycles: Sequence[int]) -> DataFrame:
-    """Long curve to one column per cycle, for export."""
+def pivot_cycles(
+    curve: DataFrame, ids: Sequence[str], cycles: Sequence[int] | None = None
+) -> DataFrame:
+    """Long curve to one column per cycle, for export.
+
+    Without ``cycles`` all cycles of the table become columns: one aggregate gives the last one.
+    """
+    if cycles is None:
+        last = curve.agg(F.max("cycle")).first()[0]
+        cycles = range(0 if last is None else int(last) + 1)
     return curve.groupBy(*ids).pivot("cycle", list(cycles)).agg(F.first("value"))
 
 

@@ -10,6 +10,9 @@ from curveboard.plans.catalog import query
 from curveboard.plans.testbed import Tables, sql
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 def board_ctes(
     scores: str,
     by: tuple[str, ...] = (),
@@ -183,14 +186,18 @@ def _(t: Tables):
 @query(
     "L4_matrix",
     sql(
-        """pivot (select dataset, strategy, round(score, 6) as score from board)
-on strategy using first(score) group by dataset""",
+        "select dataset, "
+        + ", ".join(
+            f"""round(max(score) filter (where strategy = '{s}'), 6) as "{s}\""""
+            for s in PRIORITIES
+        )
+        + " from board group by dataset",
         "runs",
         extra=HOLES + ",\n" + board_ctes("scores", interpolation="none"),
     ),
 )
 def _(t: Tables):
-    return lb.matrix(lb.board(_holes(t), interpolation="none"))
+    return lb.matrix(lb.board(_holes(t), interpolation="none"), PRIORITIES)
 
 
 for _id, _rule in (
@@ -407,7 +414,7 @@ def _(t: Tables):
     sql(
         """with c as (select strategy, dataset, avg(value) as v from full_mean group by 1, 2),
 s as (select strategy, cast(dataset as varchar) as dataset,
-        case when v <= 1 then v * 100 else v end as score from c)
+        v * (select case when max(value) <= 1 then 100 else 1 end from full_mean) as score from c)
 select strategy, dataset, round(score, 6) as score from s
 union all select strategy, 'Mean (%)', round(avg(score), 6) from s group by strategy""".replace(
             "with c as", ", c as", 1
@@ -419,6 +426,24 @@ def _(t: Tables):
     return lb.score_table(t.full_mean)
 
 
+@query(
+    "L20_score_table_of_shares",
+    sql(
+        """with c as (select strategy, dataset, avg(value) as v from shares group by 1, 2),
+s as (select strategy, cast(dataset as varchar) as dataset, v * 100 as score from c)
+select strategy, dataset, round(score, 6) as score from s
+union all select strategy, 'Mean (%)', round(avg(score), 6) from s group by strategy""".replace(
+            "with c as", ", c as", 1
+        ),
+        "full_mean",
+        extra="shares as (select strategy, dataset, value / (select max(value) from full_mean) as value from full_mean)",
+    ),
+)
+def _(t: Tables):
+    largest = t.full_mean.agg(F.max("value")).scalar()
+    return lb.score_table(t.full_mean.withColumn("value", F.col("value") / largest))
+
+
 @query(
     "L21_metric_heat",
     sql(

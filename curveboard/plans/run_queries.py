@@ -614,12 +614,16 @@ def _(t: Tables):
 
 @query(
     "C1_reduce_to_runs",
-    """select l_orderkey as run_id, round(min(l_quantity), 6) as value from lineitem
-where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F') group by 1""",
+    sql(
+        """select run_id, round(min_by(value, cycle), 6) as value from lines
+where run_id in (select o_orderkey from orders where o_orderstatus = 'F') group by 1""",
+        "lines",
+    ),
 )
 def _(t: Tables):
-    rows = t.items.select("run_id", "value")
-    return curate.reduce_to_runs(rows, t.runs.filter("status = 'done'"), order_by=["value"])
+    rows = t.lines.select("run_id", "cycle", "value")
+    done = t.runs.filter("status = 'done'")
+    return curate.reduce_to_runs(rows, done, order_by=["cycle"]).drop("cycle")
 
 
 @query(
@@ -737,8 +741,13 @@ def _(t: Tables):
 )
 def _(t: Tables):
     text = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus")
-    line = F.when(F.col("o_orderkey") % 50 == 0, "id,status").otherwise(text)
-    return curate.drop_repeated_headers(t.given("orders").select(line.alias("value")), "id,status")
+    # repeated headers of several widths
+    line = (
+        F.when(F.col("o_orderkey") % 100 == 0, "run_id,status")
+        .when(F.col("o_orderkey") % 50 == 0, "0,1,2,run_id")
+        .otherwise(text)
+    )
+    return curate.drop_repeated_headers(t.given("orders").select(line.alias("value")))
 
 
 @query(
@@ -752,16 +761,21 @@ def _(t: Tables):
 
 @query(
     "C12_repair_short_rows",
-    """select o_orderkey as run_id, c.cycle, round(c.v, 6) as value from orders,
-  (values (0), (1), (2)) k(cycle),
-  lateral (select k.cycle as cycle, o_orderkey * 0.5::double + k.cycle as v) c
-where k.cycle < 2 or o_orderkey % 3 > 0""",
+    """select case when o_orderkey % 7 > 0 then o_orderkey end as run_id, k.cycle,
+  case when k.cycle <> 1 then round(o_orderkey * 0.5::double + k.cycle, 6) end as value,
+  case k.cycle when 1 then '[' || o_custkey || ', ' || o_orderkey || ']'
+    else (o_orderkey * 0.5::double + k.cycle)::varchar end as cell,
+  case when o_orderkey % 7 = 0 then 'id' end as error
+from orders, (values (0), (1), (2)) k(cycle) where k.cycle < 2 or o_orderkey % 3 > 0""",
 )
 def _(t: Tables):
     key = F.col("o_orderkey")
-    first, second, third = [((key * 0.5) + i).cast("string") for i in range(3)]
-    short = F.concat_ws(",", first, second, key.cast("string"))
-    full = F.concat_ws(",", first, second, third, key.cast("string"))
+    first, third = [((key * 0.5) + i).cast("string") for i in (0, 2)]
+    # a quoted list of selected samples, and ids that cannot be read
+    second = F.format_string('"[%d, %d]"', F.col("o_custkey"), key)
+    last = F.when(key % 7 == 0, "lost").otherwise(key.cast("string"))
+    short = F.concat(F.concat_ws(",", first, second, last), F.lit(","))
+    full = F.concat_ws(",", first, second, third, last)
     lines = t.given("orders").select(F.when(key % 3 == 0, short).otherwise(full).alias("value"))
     return curate.repair_short_rows(lines, header_width=4)
 
@@ -918,7 +932,7 @@ def _(t: Tables):
         """select g.run_id, g.strategy, g.dataset, cast(c.cycle as integer) as cycle,
   round(v.value, 6) as value
 from (select distinct run_id, strategy, dataset from curve) g
-cross join (select unnest(range(6)) as cycle) c
+cross join (select distinct cycle from curve) c
 left join curve v on v.run_id = g.run_id and v.cycle = c.cycle""",
         "curve",
     ),
@@ -927,7 +941,7 @@ def _(t: Tables):
     from curveboard.operators.series import pivot_cycles
 
     ids = ["run_id", "strategy", "dataset"]
-    return reports.melt_cycles(pivot_cycles(t.curve, ids, list(range(6))), ids)
+    return reports.melt_cycles(pivot_cycles(t.curve, ids), ids)
 
 
 @query(

@@ -28,11 +28,14 @@ def local_session(cores: int | str = 8, app: str = "curveboard") -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    A local session that names none gets a folder of its own; on a cluster such a folder would
+    be seen by one machine only, so there a missing name is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="curveboard-checkpoint-"))
     return context.getCheckpointDir()
 

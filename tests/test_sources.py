@@ -62,11 +62,35 @@ def test_corrupt_rows_are_kept_apart(spark, tmp_path):
 def test_repeated_headers_and_short_rows(spark, tmp_path):
     (tmp_path / "m.csv").write_text("0,1,2,run_id\n0.1,0.2,0.3,5\n0,1,2,run_id\n0.4,6,,\n")
     lines = spark.read.text(str(tmp_path / "m.csv"))
-    body = curate.drop_repeated_headers(lines, "0,1,2,run_id")
-    got = {tuple(r) for r in curate.repair_short_rows(body, 4).collect()}
+    body = curate.drop_repeated_headers(lines)
+    got = {tuple(r)[:3] for r in curate.repair_short_rows(body, 4).collect()}
     assert got == {(5, 0, 0.1), (5, 1, 0.2), (5, 2, 0.3), (6, 0, 0.4)}
 
 
+def test_list_cells_and_unreadable_ids_stay(spark):
+    text = [
+        '"[3, 17]","[4, 5]",,9',
+        '"[3, 17]","[4, 5]",9007199254740993,',
+        '"say ""x""",0.5,0.25,7.0',
+        "0.1,0.2,0.3,lost",
+        "only",
+    ]
+    lines = spark.createDataFrame([(x,) for x in text], "value string")
+    got = {tuple(r) for r in curate.repair_short_rows(lines, 4).collect()}
+    assert got == {
+        (9, 0, None, "[3, 17]", None),
+        (9, 1, None, "[4, 5]", None),
+        (9007199254740993, 0, None, "[3, 17]", None),
+        (9007199254740993, 1, None, "[4, 5]", None),
+        (7, 0, None, 'say "x"', "value"),
+        (7, 1, 0.5, "0.5", None),
+        (7, 2, 0.25, "0.25", None),
+        (None, 0, 0.1, "0.1", "id"),
+        (None, 1, 0.2, "0.2", "id"),
+        (None, 2, 0.3, "0.3", "id"),
+    }
+
+
 def test_sinks_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 0.5), (2, "b", None)], "run_id int, s string, v double")
     src.write_table(df, str(tmp_path / "p"), partition_by=["s"])
