@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from curveboard.session import cut_lineage
+
 SLICE = "__slice"
 CHUNK = 1024
 #: Rows aimed at in a slice of a random order.
@@ -208,15 +210,14 @@ def percentiles(
     probs: dict[str, float],
     margin: float = 0.002,
     accuracy: int = 2000,
-    whole_rows: int = 20000,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles; ``probs`` maps output names to fractions.
 
-    A quantile sketch brackets each wanted rank within ``margin``, four times its error
-    bound. One further aggregate counts the values outside the brackets and keeps the
-    distinct values inside with their counts, so rows are never shuffled and a group of
-    any size is spread over slices. Groups up to ``whole_rows`` keep all their values,
-    because a bracket of a few rows could miss a neighbouring rank.
+    A quantile sketch brackets each wanted rank within ``margin``, four times its error bound,
+    and its values cut every group into slices. One aggregate keeps the distinct values inside
+    the brackets with their counts, and of the values outside only count, minimum and maximum
+    per slice. So rows are never shuffled, a group of any size is spread over slices, and a
+    rank that lies just outside its bracket is still found at the edge of a slice.
     """
     keys = list(keys)
     steps = (-1.0, -0.5, 0.0, 0.5, 1.0)
@@ -226,9 +227,12 @@ def percentiles(
     }
     grid = sorted({g for points in ends.values() for g in points})
     seen = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    bounds = seen.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", grid, accuracy).alias("__cuts"),
+    # a sketch depends on the order of merging; written down, every later stage sees the same
+    bounds = cut_lineage(
+        seen.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("__n"),
+            F.percentile_approx("__v", grid, accuracy).alias("__cuts"),
+        )
     )
     if keys:
         cut = seen.join(bounds, keys)
@@ -236,7 +240,7 @@ def percentiles(
         whole = bounds.select(F.struct("__n", "__cuts"))
         cut = seen.withColumn("__b", whole.scalar()).select("__v", "__b.*")
     at = lambda g: F.col("__cuts")[grid.index(g)]
-    inside = F.col("__n") <= whole_rows
+    inside = F.lit(False)
     for points in ends.values():
         inside = inside | F.col("__v").between(at(points[0]), at(points[-1]))
     slice_by = F.lit(0)
@@ -244,10 +248,30 @@ def percentiles(
         slice_by = slice_by + F.when(at(g) < F.col("__v"), 1).otherwise(0)
     counted = (
         cut.select(
-            *keys, "__n", slice_by.alias(SLICE), F.when(inside, F.col("__v")).alias("__v")
+            *keys, "__n", slice_by.alias(SLICE), "__v", F.when(inside, F.col("__v")).alias("__kept")
+        )
+        .groupBy(*keys, SLICE, "__kept")
+        .agg(
+            F.count(F.lit(1)).alias("__c"),
+            F.first("__n").alias("__n"),
+            F.min("__v").alias("__low"),
+            F.max("__v").alias("__high"),
         )
-        .groupBy(*keys, SLICE, "__v")
-        .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
+    )
+    # values outside the brackets lie below the kept ones of their slice: edge, middle, edge
+    one, rest = F.lit(1).cast("long"), F.col("__c") - 1
+    parts = F.when(
+        F.col("__kept").isNull(),
+        F.array(
+            F.struct(F.lit(0).alias("o"), F.col("__low").alias("v"), one.alias("c")),
+            F.struct(F.lit(1).alias("o"), F.lit(None).cast(cut.schema["__v"].dataType).alias("v"), (rest - 1).alias("c")),
+            F.struct(F.lit(2).alias("o"), F.col("__high").alias("v"), one.alias("c")),
+        ),
+    ).otherwise(F.array(F.struct(F.lit(3).alias("o"), F.col("__kept").alias("v"), F.col("__c").alias("c"))))
+    counted = (
+        counted.select(*keys, SLICE, "__n", (rest > 0).alias("__several"), F.explode(parts).alias("p"))
+        .filter((F.col("p.o") == 3) | (F.col("p.o") == 0) | (F.col("__several") & (F.col("p.c") > 0)))
+        .select(*keys, SLICE, "__n", "p.o", F.col("p.v").alias("__v"), F.col("p.c").alias("__c"))
     )
     sizes = counted.groupBy(*keys, SLICE).agg(F.sum("__c").alias("__rows"))
     before = sizes.select(
@@ -255,12 +279,7 @@ def percentiles(
         SLICE,
         F.coalesce(F.sum("__rows").over(_strictly_before(keys)), F.lit(0)).alias("__before"),
     )
-    # counted-only values of a slice are smaller than its kept ones, so nulls come first
-    local = (
-        W.partitionBy(*keys, SLICE)
-        .orderBy(F.col("__v").asc_nulls_first())
-        .rowsBetween(W.unboundedPreceding, 0)
-    )
+    local = W.partitionBy(*keys, SLICE).orderBy("o", "__v").rowsBetween(W.unboundedPreceding, 0)
     placed = (
         counted.withColumn("__upto", F.sum("__c").over(local))
         .join(before, [*keys, SLICE])
@@ -278,10 +297,5 @@ def percentiles(
             picks.append(F.max(F.when(holds, F.col("__v"))).alias(f"__{tag}_{name}"))
         picks.append(F.first(F.greatest(exact - low, F.lit(0.0))).alias(f"__part_{name}"))
         lo, hi = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        missed = F.raise_error(F.lit("a percentile fell outside its bracket")).cast("double")
-        out.append(
-            F.when(lo.isNull() | hi.isNull(), missed)
-            .otherwise(lo + (hi - lo) * F.col(f"__part_{name}"))
-            .alias(name)
-        )
+        out.append((lo + (hi - lo) * F.col(f"__part_{name}")).alias(name))
     return placed.groupBy(*keys).agg(*picks).select(*keys, *out)

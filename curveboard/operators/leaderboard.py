@@ -87,17 +87,93 @@ def cells_of(scores: DataFrame, by: Sequence[str] = (), value: str = "value") ->
     return complete_cells(grouped, by)
 
 
-def robust_scaled(
-    scores: DataFrame, by: Sequence[str] = (), value: str = "value"
-) -> DataFrame:
-    """(v - median) / IQR per dataset; an IQR of 0 counts as 1."""
-    keys = [*by, "dataset"]
-    spread = percentiles(scores, keys, value, {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75})
+QUARTILES = {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75}
+
+
+def robust_scaled(cells: DataFrame, spread: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cells of (v - median) / IQR; an IQR of 0 counts as 1.
+
+    The scaling is affine, so it acts on sum, minimum and maximum; the values themselves are
+    only needed for ``spread``, the quartiles per (by..., dataset).
+    """
     width = F.coalesce(F.nullif(F.col("__q3") - F.col("__q1"), F.lit(0.0)), F.lit(1.0))
+    middle = F.col("__q2")
     return (
-        scores.join(spread, keys)
-        .withColumn(value, (F.col(value) - F.col("__q2")) / width)
-        .drop("__q1", "__q2", "__q3")
+        cells.join(spread, [*by, "dataset"], "left")
+        .withColumn("s", (F.col("s") - F.col("n") * middle) / width)
+        .withColumn("lo", (F.col("lo") - middle) / width)
+        .withColumn("hi", (F.col("hi") - middle) / width)
+        .drop(*QUARTILES)
+    )
+
+
+def picked_percentiles(
+    scores: DataFrame,
+    picks: DataFrame,
+    by: Sequence[str],
+    keys: Sequence[str],
+    probs: dict[str, float],
+    value: str = "value",
+    bins: int = 256,
+) -> DataFrame:
+    """Exact percentiles per (by..., dataset) of the scores whose keys each ``by`` picked.
+
+    Scores never meet all picks: they are counted per (keys, dataset, bin of the dataset's value
+    range), counts are summed per ``by``, and only the bins that hold a wanted rank bring their
+    distinct values.
+    """
+    by, keys = list(by), list(keys)
+    if keys == ["dataset"]:
+        # a dataset's values do not depend on which other datasets were picked
+        whole = percentiles(scores, ["dataset"], value, probs)
+        return picks.select(*by, "dataset").join(whole, "dataset").select(*by, "dataset", *probs)
+    cell = list(dict.fromkeys([*keys, "dataset"]))
+    seen = scores.filter(F.col(value).isNotNull()).select(*cell, F.col(value).alias("__v"))
+    # equal widths follow from minimum and maximum, so every evaluation gives the same bins
+    ends = seen.groupBy("dataset").agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    share = (F.col("__v") - F.col("__low")) / F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
+    bin_of = F.coalesce(F.floor(share * bins), F.lit(0))
+    valued = (
+        seen.join(ends, "dataset")
+        .groupBy(*cell, bin_of.alias("__bin"), "__v")
+        .agg(F.count(F.lit(1)).alias("__c"))
+    )
+    counts = valued.groupBy(*cell, "__bin").agg(F.sum("__c").alias("__c"))
+    chosen = picks.select(*by, *keys)
+    board = [*by, "dataset"]
+    mine = chosen.join(counts, keys).groupBy(*board, "__bin").agg(F.sum("__c").alias("__c"))
+    order = W.partitionBy(*board).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)
+    mine = mine.withColumn("__upto", F.sum("__c").over(order)).withColumn(
+        "__n", F.sum("__c").over(W.partitionBy(*board))
+    )
+    wanted = []
+    for name, p in probs.items():
+        exact = F.lit(p) * (F.col("__n") - 1)
+        # 1e-9 keeps an integral rank from sliding below itself in floating point
+        low = F.floor(exact + F.lit(1e-9))
+        part = F.greatest(exact - low, F.lit(0.0))
+        for rank, share in ((low, 1 - part), (F.least(low + 1, F.col("__n") - 1), part)):
+            wanted.append(F.struct(F.lit(name).alias("name"), rank.alias("rank"), share.alias("share")))
+    located = (
+        mine.select(*board, "__bin", "__c", "__upto", F.explode(F.array(*wanted)).alias("w"))
+        .filter((F.col("w.rank") < F.col("__upto")) & (F.col("w.rank") >= F.col("__upto") - F.col("__c")))
+        .select(*board, "__bin", F.col("w.name").alias("name"), F.col("w.share").alias("share"),
+                (F.col("w.rank") - F.col("__upto") + F.col("__c")).alias("rank"))
+    )
+    inside = (
+        located.join(chosen, [*by, "dataset"] if "dataset" in keys else by)
+        .join(valued, [*cell, "__bin"])
+        .groupBy(*board, "name", "__bin", "rank", "share", "__v")
+        .agg(F.sum("__c").alias("__c"))
+    )
+    upto = F.sum("__c").over(
+        W.partitionBy(*board, "name", "__bin", "rank", "share").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    )
+    hit = inside.withColumn("__upto", upto).filter(
+        (F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("__c"))
+    )
+    return hit.groupBy(*board).agg(
+        *[F.sum(F.when(F.col("name") == n, F.col("__v") * F.col("share"))).alias(n) for n in probs]
     )
 
 
@@ -194,11 +270,11 @@ def board(
 ) -> DataFrame:
     """Long leaderboard (by..., dataset, strategy, score)."""
     by = list(by)
-    if normalisation == "robust":
-        scores = robust_scaled(scores, by, value)
-    elif normalisation not in NORMALISATIONS:
+    if normalisation not in NORMALISATIONS:
         raise ValueError(f"unknown normalisation: {normalisation}")
     cells = cells_of(scores, by, value)
+    if normalisation == "robust":
+        cells = robust_scaled(cells, percentiles(scores, [*by, "dataset"], value, QUARTILES), by)
     if form == "counts":
         return cells.select(*by, "dataset", "strategy", F.col("n").cast("double").alias("score"))
     scored = interpolated(cells, interpolation, by, pad_to)

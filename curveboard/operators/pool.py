@@ -227,56 +227,64 @@ def contrastive(pool: DataFrame, k_neighbours: int = 10, p: str = "p") -> DataFr
         .join(own, ["dataset", "query_id"])
         .groupBy("dataset", F.col("query_id").alias("sample_id"))
         .agg(F.avg(gain).alias("score"))
-        .select("sample_id", "score")
     )
 
 
 def graph_density(
     pool: DataFrame, k: int, k_neighbours: int = 10, every: int = 4
 ) -> DataFrame:
-    """Greedy density on the neighbour graph: (round, sample_id, density).
+    """Greedy density on each dataset's neighbour graph: (dataset, round, sample_id, density).
 
     Density is the mean edge similarity of a sample. Choosing a sample lowers its
-    neighbours' density by its own, so a batch spreads over dense regions.
+    neighbours' density by its own, so a batch spreads over dense regions. Every round
+    chooses one sample of every dataset at once; choices stay in tables.
     """
-    spark = pool.sparkSession
     near = knn(pool, k=k_neighbours).select(
-        "query_id", "neighbour_id", (F.lit(1.0) - F.col("distance")).alias("w")
+        "dataset", "query_id", "neighbour_id", (F.lit(1.0) - F.col("distance")).alias("w")
     )
-    edges = near.unionByName(
-        near.select(
-            F.col("neighbour_id").alias("query_id"), F.col("query_id").alias("neighbour_id"), "w"
-        )
-    ).groupBy("query_id", "neighbour_id").agg(F.max("w").alias("w"))
-    edges = cut_lineage(edges)
+    back = near.select(
+        "dataset",
+        F.col("neighbour_id").alias("query_id"),
+        F.col("query_id").alias("neighbour_id"),
+        "w",
+    )
+    edges = near.unionByName(back).groupBy("dataset", "query_id", "neighbour_id")
+    edges = cut_lineage(edges.agg(F.max("w").alias("w")))
     state = cut_lineage(
-        edges.groupBy(F.col("query_id").alias("sample_id")).agg(F.avg("w").alias("density"))
+        edges.groupBy("dataset", F.col("query_id").alias("sample_id")).agg(F.avg("w").alias("density"))
     )
-    chosen = []
+    chosen = None
     for i in range(k):
-        best = state.agg(
-            F.max_by(
-                F.struct("sample_id", "density"),
-                F.struct(F.round("density", 12), -F.col("sample_id")),
-            ).alias("r")
-        ).first()["r"]
-        if best is None:
-            break
-        sample, density = best["sample_id"], float(best["density"])
-        chosen.append((i, sample, density))
-        beside = edges.filter(F.col("query_id") == sample).select(
-            F.col("neighbour_id").alias("sample_id"), F.lit(density).alias("__less")
+        best = (
+            state.groupBy("dataset")
+            .agg(
+                F.max_by(
+                    F.struct("sample_id", "density"),
+                    F.struct(F.round("density", 12), -F.col("sample_id")),
+                ).alias("r")
+            )
+            .select("dataset", F.lit(i).alias("round"), "r.sample_id", "r.density")
         )
+        best = cut_lineage(best)
+        chosen = best if chosen is None else chosen.unionByName(best)
+        if i == k - 1:
+            break
+        beside = edges.join(
+            best.select("dataset", F.col("sample_id").alias("query_id"), F.col("density").alias("__less")),
+            ["dataset", "query_id"],
+        ).select("dataset", F.col("neighbour_id").alias("sample_id"), "__less")
         state = (
-            state.filter(F.col("sample_id") != sample)
-            .join(beside, "sample_id", "left")
+            state.join(best.select("dataset", "sample_id"), ["dataset", "sample_id"], "left_anti")
+            .join(beside, ["dataset", "sample_id"], "left")
             .select(
-                "sample_id", (F.col("density") - F.coalesce("__less", F.lit(0.0))).alias("density")
+                "dataset",
+                "sample_id",
+                (F.col("density") - F.coalesce("__less", F.lit(0.0))).alias("density"),
             )
         )
         if i % every == every - 1:
             state = cut_lineage(state)
-    return spark.createDataFrame(chosen, "round int, sample_id long, density double")
+    return chosen
 
 
 def pool_violations(

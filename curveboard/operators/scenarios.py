@@ -13,7 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curveboard.operators.leaderboard import board, totals
+from curveboard.functions.slices import position
+from curveboard.operators.leaderboard import (
+    QUARTILES,
+    complete_cells,
+    interpolated,
+    picked_percentiles,
+    robust_scaled,
+    totals,
+)
 from curveboard.session import cut_lineage
 
 GROUP = ("dataset", "start_point", "batch", "learner", "bucket")
@@ -35,14 +43,32 @@ def fraction(digest: Column) -> Column:
 
 
 def scenario_board(
-    picked: DataFrame,
+    scores: DataFrame,
+    picks: DataFrame,
+    keys: Sequence[str],
     by: Sequence[str] = ("scenario",),
-    normalisation: str = "robust",
     interpolation: str = "average_of_same_strategy",
 ) -> DataFrame:
-    """Total vector per scenario from the score rows each scenario picked."""
-    scored = board(picked, by, interpolation, normalisation, "percentages")
-    return totals(scored, by)
+    """Total vector per scenario under robust scaling.
+
+    ``picks``: by + keys, the settings each scenario picked. Scores are first reduced to sum,
+    count, minimum and maximum per (keys, dataset, strategy); only these cells and the counts
+    behind the quartiles meet the scenarios, never the score rows.
+    """
+    by, keys = list(by), list(keys)
+    cell = list(dict.fromkeys([*keys, "dataset", "strategy"]))
+    base = scores.groupBy(*cell).agg(
+        F.sum("value").alias("s"),
+        F.count("value").alias("n"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+    )
+    grouped = picks.select(*by, *keys).join(base, keys).groupBy(*by, "dataset", "strategy").agg(
+        F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    spread = picked_percentiles(scores, picks, by, keys, QUARTILES)
+    cells = robust_scaled(complete_cells(grouped, by), spread, by)
+    return totals(interpolated(cells, interpolation, by), by)
 
 
 def sample_values(
@@ -86,7 +112,7 @@ def value_scenarios(
             "scenario", F.explode(options.scalar()).alias(dimension)
         )
         picks = picks.unionByName(everything)
-    boards = scenario_board(rows.join(picks, dimension), ["scenario"])
+    boards = scenario_board(rows, picks, [dimension], ["scenario"])
     return boards.join(scenarios, "scenario")
 
 
@@ -95,23 +121,27 @@ def sample_groups(
 ) -> DataFrame:
     """n random setting groups per scenario: (scenario, k, keys).
 
-    Each scenario orders the distinct setting groups by its own digest; groups are rows
-    of the grid, never result rows.
+    The distinct groups are numbered once, in the order of their keys; a scenario cuts the
+    numbers into k equal strata and draws one number of each. So a scenario costs k rows,
+    whatever the number of groups, and each group is drawn with probability k / groups. A
+    scenario that asks for all groups or more gets all.
     """
     keys = list(keys)
-    slots = groups.select(*keys).distinct().withColumn(
-        "__s",
-        F.explode(
-            scenarios.agg(F.collect_list(F.struct("scenario", "k"))).scalar()
-        ),
-    ).select(*keys, F.col("__s.scenario").alias("scenario"), F.col("__s.k").alias("k"))
-    order = W.partitionBy("scenario").orderBy("__digest", *keys)
-    return (
-        slots.withColumn("__digest", draw(seed, "scenario", *keys))
-        .withColumn("__rn", F.row_number().over(order))
-        .filter(F.col("__rn") <= F.col("k"))
-        .select("scenario", "k", *keys)
+    distinct = groups.select(*keys).distinct()
+    numbered = position(distinct, [], F.col(keys[0]), keys, "__at")
+    count = distinct.agg(F.count(F.lit(1))).scalar()
+    k, j = F.col("__k"), F.col("__j")
+    low = F.floor(j * F.col("__all") / k)
+    width = F.floor((j + 1) * F.col("__all") / k) - low
+    at = low + F.floor(fraction(draw(seed, "scenario", j)) * width)
+    slots = (
+        scenarios.select("scenario", "k")
+        .withColumn("__all", count)
+        .withColumn("__k", F.least("k", "__all"))
+        .filter("__k > 0")
+        .withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)))
     )
+    return slots.select("scenario", "k", at.alias("__at")).join(numbered, "__at").drop("__at")
 
 
 def group_scenarios(
@@ -119,7 +149,7 @@ def group_scenarios(
 ) -> DataFrame:
     """Boards on n random setting groups, joined back to their scores."""
     picks = sample_groups(scenarios, scores, keys, seed)
-    return scenario_board(picks.join(scores, list(keys)), ["scenario", "k"])
+    return scenario_board(scores, picks, keys, ["scenario", "k"])
 
 
 def reduced_group_scenarios(
@@ -150,18 +180,20 @@ def _parameter_lists(groups: DataFrame, parameters: Sequence[str]) -> DataFrame:
 def random_subsets(
     scenarios: DataFrame,
     groups: DataFrame,
-    limits: dict[str, int],
+    parameters: Sequence[str],
+    limits: dict[str, int] | None = None,
     seed: int = 0,
     skip: str | None = None,
 ) -> DataFrame:
     """Random parameters with random values until the budget is reached.
 
-    ``scenarios``: scenario, attempt, budget [, target]. Parameters come in a random
+    ``limits``: largest number of values drawn per parameter; by default all that the groups
+    hold. ``scenarios``: scenario, attempt, budget [, target]. Parameters come in a random
     order; each takes part while the grid built so far is within the budget. Output
     per scenario: a list of allowed values per parameter (null = unrestricted) and the
     size of the resulting grid.
     """
-    parameters = list(limits)
+    parameters = list(parameters)
     lists = _parameter_lists(groups, parameters)
     key = ["scenario", "attempt"]
     slots = scenarios.withColumn("__lists", lists.scalar()).select(
@@ -171,7 +203,7 @@ def random_subsets(
                 *[
                     F.struct(
                         F.lit(p).alias("parameter"),
-                        F.lit(limits[p]).alias("limit"),
+                        (F.lit(limits[p]) if limits else F.size(f"__lists.{p}")).alias("limit"),
                         F.col(f"__lists.{p}").alias("options"),
                     )
                     for p in parameters
@@ -255,45 +287,56 @@ def budget_scenarios(
     seed: int = 0,
     attempts: int = 100,
 ) -> DataFrame:
-    """Boards on random parameter subsets within a budget (scenario, budget).
+    """Boards on random parameter subsets within a budget (scenario, budget, grid_size).
 
-    A subset without any score is drawn again, up to ``attempts`` times; only such
-    scenarios enter the next attempt.
+    A subset without any score is drawn again, up to ``attempts`` times. Attempts are rows: few
+    scenarios fail the first one, and all further attempts of these are tried in one job, of
+    which the first with scores counts. A scenario that still has none comes out once, with null
+    strategy and total.
     """
     limits = limits or DRAW_LIMITS
     parameters = list(limits)
-    groups = scores.select(*parameters).distinct()
-    found = None
+    groups = cut_lineage(scores.select(*parameters).distinct())
     waiting = scenarios.select("scenario", "budget")
-    for attempt in range(attempts):
-        subsets = random_subsets(
-            waiting.withColumn("attempt", F.lit(attempt)), groups, limits, seed
-        )
-        hits = _match(groups, subsets, parameters, parameters[0]).select("scenario").distinct()
-        good = cut_lineage(subsets.join(hits, "scenario", "left_semi"))
+    found, by = None, ["scenario", "budget", "grid_size"]
+    for first, last in ((0, 1), (1, attempts)):
+        if last <= first:
+            break
+        tries = waiting.withColumn("attempt", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        subsets = random_subsets(tries, groups, parameters, limits, seed)
+        hits = _match(groups, subsets, parameters, parameters[0])
+        earliest = hits.groupBy("scenario").agg(F.min("attempt").alias("attempt"))
+        good = cut_lineage(hits.join(earliest, ["scenario", "attempt"]).select(*by, *parameters))
         found = good if found is None else found.unionByName(good)
         waiting = cut_lineage(waiting.join(good.select("scenario"), "scenario", "left_anti"))
         if waiting.isEmpty():
             break
-    picked = _match(scores, found, parameters, parameters[0])
-    return scenario_board(picked, ["scenario", "budget", "grid_size"])
+    boards = scenario_board(scores, found, parameters, by)
+    unresolved = waiting.select(
+        *waiting.columns,
+        F.lit(None).cast("long").alias("grid_size"),
+        F.lit(None).cast(scores.schema["strategy"].dataType).alias("strategy"),
+        F.lit(None).cast("double").alias("total"),
+    )
+    return boards.unionByName(unresolved)
 
 
 def single_value_scenarios(
     scores: DataFrame,
     targets: DataFrame,
-    limits: dict[str, int] | None = None,
+    parameters: Sequence[str] = GROUP,
     seed: int = 0,
 ) -> DataFrame:
     """Boards with one target value held fixed and the other parameters drawn.
 
+    Up to all values of each other parameter are drawn.
+
     ``targets``: scenario, target (parameter name), target_value. The budget favours
     small grids: its weight falls from 10 to 1 on a log scale over all grid sizes.
     Scenarios without any score drop out.
     """
-    limits = limits or DRAW_LIMITS
-    parameters = list(limits)
-    groups = scores.select(*parameters).distinct()
+    parameters = list(parameters)
+    groups = cut_lineage(scores.select(*parameters).distinct())
     largest = groups.agg(
         F.expr(" * ".join(f"count(distinct {p})" for p in parameters)).cast("double")
     )
@@ -304,7 +347,8 @@ def single_value_scenarios(
     subsets = random_subsets(
         drawn.withColumn("scenario", F.concat_ws(":", "scenario", "target", "target_value")),
         groups,
-        limits,
+        parameters,
+        None,
         seed,
         skip="target",
     )
@@ -312,8 +356,8 @@ def single_value_scenarios(
     for p in parameters:
         test = F.when(F.col("target") == p, F.col(p).cast("string") == F.col("target_value"))
         hit = test if hit is None else F.coalesce(hit, test)
-    picked = _match(scores, subsets, parameters, parameters[0]).filter(hit)
-    return scenario_board(picked, ["scenario", "target", "target_value", "grid_size"])
+    picks = _match(groups, subsets, parameters, parameters[0]).filter(hit)
+    return scenario_board(scores, picks, parameters, ["scenario", "target", "target_value", "grid_size"])
 
 
 def split_label(labels: DataFrame, column: str = "label") -> DataFrame:

@@ -871,12 +871,12 @@ def _(t: Tables):
 @query(
     "Q12_contrastive",
     sql(
-        """select query_id as sample_id, round(avg(list_sum([o.p[i] * ln(o.p[i] / s.p[i])
+        """select s.dataset, query_id as sample_id, round(avg(list_sum([o.p[i] * ln(o.p[i] / s.p[i])
   for i in range(1, 6)])), 6) as score
 from (select * from (select *, row_number() over (partition by query_id
         order by distance, neighbour_id) as r from pairs) where r <= 10)
 join probabilities s on s.sample_id = query_id
-join probabilities o on o.sample_id = neighbour_id group by 1""",
+join probabilities o on o.sample_id = neighbour_id group by 1, 2""",
         "probabilities",
         extra=NEAR,
     ),
@@ -945,17 +945,37 @@ def _(t: Tables):
     return t.spark.read.parquet(f"{root}/out").select("run_id", "dataset", "strategy", "status")
 
 
+@query(
+    "ST1_ingest_by_event_time",
+    """select event_id as run_id, min(ts) as seen, min(event_type) as strategy from events group by 1""",
+)
+def _(t: Tables):
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows = t.given("events").select(
+        F.col("event_id").alias("run_id"), F.col("ts").alias("seen"), F.col("event_type").alias("strategy")
+    )
+    # every run arrives twice; the second copy is within the watermark
+    rows.union(rows).write.parquet(f"{root}/in")
+    stream = ingest.run_stream(t.spark, f"{root}/in", rows.schema, 64)
+    once = ingest.first_per_run(stream, "seen", "400 days")
+    ingest.write_runs(once, f"{root}/out", f"{root}/state").awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("run_id", "seen", "strategy")
+
+
 @query(
     "ST2_progress_counts",
     sql(
-        """select dataset, strategy, count(*) + count(*) filter (where status = 'done') as total,
-  cast(2 * count(*) filter (where status = 'done') as bigint) as done
+        """select dataset, strategy, count(*) as total,
+  count(*) filter (where status = 'done') as done
 from runs group by dataset, strategy""",
         "runs",
     ),
 )
 def _(t: Tables):
     path, schema, root = _stream_folder(t)
-    counts = ingest.progress_counts(ingest.run_stream(t.spark, path, schema, 64))
-    ingest.write_progress(counts, f"{root}/counts", f"{root}/state").awaitTermination()
+    once = ingest.first_per_run(ingest.run_stream(t.spark, path, schema, 64))
+    ingest.write_runs(once, f"{root}/once", f"{root}/state").awaitTermination()
+    # the file sink holds each run once; counts follow it as a stream of its own
+    counts = ingest.progress_counts(ingest.run_stream(t.spark, f"{root}/once", schema, 64))
+    ingest.write_progress(counts, f"{root}/counts", f"{root}/counting").awaitTermination()
     return ingest.latest_progress(t.spark, f"{root}/counts")

@@ -692,7 +692,7 @@ def _(t: Tables):
         "runs",
         extra=",\n".join(
             [
-                VALUES.replace("from runs", "from runs where learner = 'F' and dataset < 10"),
+                VALUES.replace("from runs", "from runs where learner = 'F' and batch = 'BUILDING' and dataset < 10"),
                 _scenario_cte(4),
                 _sample_cte("start_point").replace(
                     "join scores r using (start_point))",
@@ -707,7 +707,7 @@ def _(t: Tables):
 def _(t: Tables):
     rows = _scenarios(t, 4)
     everything = rows.agg(F.lit(1000).alias("scenario"), F.lit(None).cast("int").alias("k"))
-    fixed = (F.col("learner") == "F") & (F.col("dataset") < 10)
+    fixed = (F.col("learner") == "F") & (F.col("batch") == "BUILDING") & (F.col("dataset") < 10)
     boards = sc.value_scenarios(
         _scores(t), rows.unionByName(everything), "start_point", fixed=fixed
     )
@@ -731,11 +731,15 @@ GROUP = list(sc.GROUP)
 
 def _group_cte(scores: str = "scores") -> str:
     g = ", ".join(GROUP)
-    text = " || '|' || ".join(f"g.{c}" for c in GROUP)
-    return f"""groups_of as (select * from (
-  select s.*, g.*, row_number() over (partition by scenario
-    order by md5('0|' || scenario || '|' || {text}), {", ".join("g." + c for c in GROUP)}) as rn
-  from sized s cross join (select distinct {g} from {scores}) g) where rn <= k),
+    return f"""numbered as (select *, row_number() over (order by {g}) - 1 as at_
+  from (select distinct {g} from {scores})),
+wanted as (select scenario, k, j, least(k, n) as kk, n,
+    cast(floor(j * n / least(k, n)) as bigint) as low,
+    cast(floor((j + 1) * n / least(k, n)) as bigint) as top,
+    cast(('0x' || substr(md5('0|' || scenario || '|' || j), 1, 12)) as bigint) / 281474976710656.0 as u
+  from sized, (select count(*) as n from numbered), lateral (select unnest(range(least(k, n))) as j)),
+groups_of as (select w.scenario, w.k, m.* from wanted w
+  join numbered m on m.at_ = w.low + cast(floor(w.u * (w.top - w.low)) as bigint)),
 picked as (select q.scenario, q.k, r.* from groups_of q join {scores} r using ({g}))"""
 
 
@@ -784,7 +788,7 @@ LIMITS = {"dataset": 20, "start_point": 19, "bucket": 5, "batch": 3, "learner":
 @query("N6_budget_scenario")
 def _(t: Tables):
     rows = _scenarios(t, 4).select("scenario", (F.col("k") * 100).alias("budget"))
-    return sc.budget_scenarios(_scores(t), rows, LIMITS, attempts=5)
+    return sc.budget_scenarios(_scores(t), rows, LIMITS)
 
 
 @query("N7_single_value_scenario")
@@ -794,7 +798,7 @@ def _(t: Tables):
         F.lit("learner").alias("target"),
         F.col("learner").alias("target_value"),
     )
-    return sc.single_value_scenarios(_scores(t), targets, LIMITS)
+    return sc.single_value_scenarios(_scores(t), targets)
 
 
 @query(

@@ -113,6 +113,13 @@ class Tables:
             "label",
         )
 
+    @cached_property
+    def sample_sets(self) -> DataFrame:
+        """The samples as three datasets whose ids overlap."""
+        return self.samples.withColumn("dataset", (F.col("sample_id") % 3).cast("int")).withColumn(
+            "sample_id", F.floor(F.col("sample_id") / 3)
+        )
+
     @cached_property
     def picks(self) -> DataFrame:
         """Selections from the samples: runs of five cycles of ten over two train sets."""
@@ -169,14 +176,18 @@ class Tables:
 
     @cached_property
     def probabilities(self) -> DataFrame:
-        """Class probabilities of each sample: softmax of ten fixed vector slices."""
+        return self.with_probabilities(self.samples)
+
+    @staticmethod
+    def with_probabilities(samples: DataFrame) -> DataFrame:
+        """Class probabilities of each sample: softmax of five fixed vector slices."""
         sums = F.transform(
             F.sequence(F.lit(0), F.lit(4)),
             lambda i: F.aggregate(
                 F.slice("features", i * 12 + 1, 12), F.lit(0.0), lambda s, x: s + x
             ),
         )
-        weights = self.samples.withColumn("__w", F.transform(sums, lambda x: F.exp(x)))
+        weights = samples.withColumn("__w", F.transform(sums, lambda x: F.exp(x)))
         whole = F.aggregate("__w", F.lit(0.0), lambda s, x: s + x)
         return (
             weights.withColumn("__t", whole)
@@ -225,6 +236,9 @@ CTE = {
     "samples": """samples as (
   select label // 100 as dataset, vec_id as sample_id, embedding::double[] as features, label
   from embeddings)""",
+    "sample_sets": """sample_sets as (
+  select cast(sample_id % 3 as integer) as dataset, sample_id // 3 as sample_id, features, label
+  from samples)""",
     "picks": """picks as (
   select dataset, sample_id // 50 as run_id, (sample_id // 50) % 2 as bucket,
          sample_id % 5 as cycle, sample_id, features, label
@@ -257,6 +271,7 @@ probabilities as (
 }
 
 NEEDS = {
+    "sample_sets": ["samples"],
     "gappy": ["curve"],
     "picks": ["samples"],
     "train": ["samples"],

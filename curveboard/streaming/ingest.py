@@ -49,6 +49,7 @@ def write_runs(
 
 
 def progress_counts(runs: DataFrame, by: Sequence[str] = ("dataset", "strategy")) -> DataFrame:
+    """Runs in all and runs done per group; ``runs`` holds each run once (``first_per_run``)."""
     return runs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(F.when(F.col("status") == "done", 1).otherwise(0)).alias("done"),
@@ -60,12 +61,13 @@ def write_progress(
 ) -> StreamingQuery:
     """Keep the latest counts as a small Parquet table.
 
-    Each batch writes a fresh folder named after its number, so a repeated batch
-    replaces itself; readers take the newest folder.
+    Batches write two folders in turn, named after their number's parity, so a repeated batch
+    replaces itself, a reader of the other folder is not disturbed, and nothing piles up.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number:012d}")
+        numbered = batch.withColumn("batch", F.lit(number).cast("long"))
+        numbered.write.mode("overwrite").parquet(f"{path}/turn={number % 2}")
 
     writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
@@ -77,4 +79,4 @@ def write_progress(
 def latest_progress(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     newest = rows.agg(F.max("batch"))
-    return rows.filter(F.col("batch") == newest.scalar()).drop("batch")
+    return rows.filter(F.col("batch") == newest.scalar()).drop("batch", "turn")

@@ -97,7 +97,9 @@ def test_scenarios_are_repeatable_and_exact(tables):
 def test_budget_scenarios_stay_in_their_subsets(tables):
     groups = tables.runs.select(*scenarios.DRAW_LIMITS).distinct()
     rows = tables.spark.createDataFrame([(i, 0, 10 ** (i % 4)) for i in range(20)], "scenario int, attempt int, budget int")
-    subsets = scenarios.random_subsets(rows, groups, scenarios.DRAW_LIMITS).collect()
+    subsets = scenarios.random_subsets(
+        rows, groups, list(scenarios.DRAW_LIMITS), scenarios.DRAW_LIMITS
+    ).collect()
     assert len(subsets) == 20
     for s in subsets:
         sizes = [len(s[f"only_{p}"]) for p in scenarios.DRAW_LIMITS if s[f"only_{p}"]]
@@ -113,8 +115,7 @@ def test_single_value_scenarios_hold_their_target(tables):
     targets = tables.spark.createDataFrame(
         [(i, "learner", v) for i in range(3) for v in ("F", "O")], "scenario int, target string, target_value string"
     )
-    limits = {"dataset": 25, "start_point": 19, "bucket": 5, "batch": 3, "learner": 2}
-    out = scenarios.single_value_scenarios(tables.runs, targets, limits).collect()
+    out = scenarios.single_value_scenarios(tables.runs, targets).collect()
     assert out and {r["target"] for r in out} == {"learner"}
 
 

@@ -48,12 +48,12 @@ def test_running(hot):
     assert np.allclose(out["m"], groups.cummax())
 
 
-@pytest.mark.parametrize("whole_rows", [0, 20000])
-def test_percentiles(hot, whole_rows):
+@pytest.mark.parametrize("margin", [0.002, 0.02])
+def test_percentiles(hot, margin):
     pdf, df = hot
     probs = {"a": 0.25, "b": 0.5, "c": 0.975}
     big = df.filter("k = 0")
-    got = slices.percentiles(big, ["k"], "v", probs, margin=0.02, whole_rows=whole_rows).first()
+    got = slices.percentiles(big, ["k"], "v", probs, margin=margin).first()
     values = pdf[pdf["k"] == 0]["v"]
     for name, p in probs.items():
         assert got[name] == pytest.approx(np.quantile(values, p))
@@ -62,6 +62,17 @@ def test_percentiles(hot, whole_rows):
         assert np.allclose(every[name], pdf.groupby("k")["v"].quantile(p).sort_index())
 
 
+def test_percentiles_of_small_and_tied_groups(spark):
+    """Every size from one value on, where a bracket is narrower than a rank."""
+    rng = np.random.default_rng(8)
+    rows = [(n, float(v)) for n in range(1, 60) for v in rng.integers(0, 9 if n % 2 else 10**6, n)]
+    pdf = pd.DataFrame(rows, columns=["k", "v"])
+    probs = {"a": 0.0, "b": 0.025, "c": 0.3, "d": 0.5, "e": 0.975, "f": 1.0}
+    got = slices.percentiles(spark.createDataFrame(pdf), ["k"], "v", probs).toPandas().set_index("k").sort_index()
+    for name, p in probs.items():
+        assert np.allclose(got[name], pdf.groupby("k")["v"].quantile(p).sort_index())
+
+
 def test_first_rows_merges_copies(spark):
     rows = spark.createDataFrame([(1, 5, "x")] * 500 + [(1, 4, "y"), (2, 1, None)], "k int, o int, s string")
     got = sorted(slices.first_rows(rows, ["k"], ["o"]).collect())
