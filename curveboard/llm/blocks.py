@@ -6,19 +6,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass handles; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of some megabytes, where the session still has the default of 64.
+
+    A batch of whole texts stands in memory several times on either side of the socket.
+    """
+    if spark.conf.get(BATCH_KEY) in ("67108864", "67108864b", "64m", "64MB"):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def mapped(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply a function from one Arrow batch to batches, inside the tasks."""
 
+    small_batches(df.sparkSession)
+
     def run(batches):
         for batch in batches:
             if batch.num_rows:
@@ -52,12 +65,15 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)), offs.astype(np.int64)
 
 
-def text_blocks(array: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows in runs of about ``limit`` bytes: first row, row after the last, bytes, own offsets."""
+def text_blocks(
+    array: pa.Array, limit: int = BLOCK_BYTES, most: int = 1 << 14
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows in runs of about ``limit`` bytes and ``most`` rows: first row, row after, bytes, offsets."""
     data, offs = text_bytes(array)
     first, rows = 0, len(array)
     while first < rows:
         last = max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1)
+        last = min(last, first + most)
         yield first, last, data[offs[first] : offs[last]], offs[first : last + 1] - offs[first]
         first = last
 

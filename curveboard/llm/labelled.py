@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows
         .limit(rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow().sort_by("doc_id")
+    table = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow()
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending")])).combine_chunks()
 
 
 def crc_of(column: str) -> Column:

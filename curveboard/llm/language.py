@@ -16,6 +16,8 @@ from curveboard.llm.blocks import LOWER, TOKENS, column, mapped, text_blocks
 DIMS = 4096
 #: Bytes of text in one dense block of counts.
 BLOCK = 1 << 19
+#: Rows of it at most, as each takes DIMS counters.
+ROWS = 512
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[65:91] = ASCII_LETTER[97:123] = True
 
@@ -62,7 +64,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def count(batch):
         total = np.zeros(DIMS + 1, np.int64)
-        for first, last, data, offs in text_blocks(column(batch, "text"), BLOCK):
+        for first, last, data, offs in text_blocks(column(batch, "text"), BLOCK, ROWS):
             total[:DIMS] += (counts(data, offs) > 0).sum(axis=0)
             total[DIMS] += last - first
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(total)], names=["dim", "n"])
@@ -109,7 +111,7 @@ def fit(docs: DataFrame, clusters: int, sample_rows: int) -> dict:
         v = [
             weighted(counts(data, offs), idf)
             for batch in own.to_batches()
-            for _, _, data, offs in text_blocks(batch.column(1), BLOCK)
+            for _, _, data, offs in text_blocks(batch.column(1), BLOCK, ROWS)
         ]
         v = np.concatenate(v) if v else np.zeros((0, DIMS), np.float32)
         v = v[(v * v).sum(axis=1) > 0]
@@ -149,7 +151,7 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
         m = shared.value
         names = np.array([*m["names"], "und"], dtype=object)
         langs, scores = [], []
-        for first, last, data, offs in text_blocks(column(batch, "text"), BLOCK):
+        for first, last, data, offs in text_blocks(column(batch, "text"), BLOCK, ROWS):
             near = weighted(counts(data, offs), m["idf"]) @ m["centroids"].T
             if near.shape[1]:
                 best, value = near.argmax(axis=1), np.clip(near.max(axis=1), 0, 1)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveboard.llm.blocks import SPACED, column, mapped, runs, text_blocks
+from curveboard.llm.blocks import SPACED, column, mapped, runs, small_batches, text_blocks
 from curveboard.llm.store import numbered, stored
 
 #: The split of text before merges, in the possessive form that runs fast; it cuts as the file's own does.
@@ -89,6 +89,7 @@ def tokenised(docs: DataFrame, path: str, width: int = 2048, end: int = 0, with_
                     [pa.array(out[k], t) for k, t in zip(names, kinds, strict=False)], names=names
                 )
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     schema += ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

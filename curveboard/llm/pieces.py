@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from curveboard.llm.blocks import U, column, mapped, mix, powers, text_blocks, uniform
 
 #: Bytes of text whose words share one lattice.
-BLOCK = 3 << 20
+BLOCK = 3 << 19
 #: Slots of the table that tells which substrings can be pieces at all.
 SIEVE_BITS = 20
 SPACE = 32

@@ -45,9 +45,9 @@ def fit(table: pa.Table, passes: int = 150, l1: float = 2e-4, rate: float = 0.5,
         labels = batch.column(batch.schema.get_field_index("y")).to_numpy()
         for first, last, data, offs in text_blocks(text):
             r, i, n = presence(*occurrences(data, offs))
-            rows.append(r + base)
-            idx.append(i)
-            count.append(n)
+            rows.append((r + base).astype(np.int32))
+            idx.append(i.astype(np.int32))
+            count.append(n.astype(np.int32))
             y.append(labels[first:last])
             base += last - first
     weights = np.zeros(1 << BITS, np.float32)
