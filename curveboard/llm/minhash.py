@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curveboard.llm.blocks import SPACED, U, column, mapped, mix, run_hashes, runs, text_blocks, uniform
+from curveboard.llm.blocks import SPACED, U, column, mapped, mix, run_hashes, runs, small_batches, text_blocks, uniform
 from curveboard.llm.graph import components
 from curveboard.llm.store import stored
 
@@ -19,6 +19,8 @@ ROWS = 4
 NEAR = (4, 5)
 #: Different leaders a document is compared with for its 16 bands.
 LEADERS = 4
+#: Bytes of text of one side of a block comparison, and tokens of one matrix product.
+BLOCK_TEXT, TOKEN_COLUMNS = 1 << 20, 4096
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,16 +136,20 @@ def signed(docs: DataFrame) -> DataFrame:
     return out.withColumn("digest", F.when(F.col("bands").isNotNull(), F.col("digest")))
 
 
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the wanted ids (one column doc_id), once per id.
+
+    The join is a merge join at every size, so its cost stays in proportion to the texts.
+    """
+    wanted = ids.distinct().hint("merge")
+    found = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b, shared, total): shingles that two documents share, and hold together."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # one row per id, in case the table repeats ids
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(wanted, "doc_id", "left_semi")
-        .groupBy("doc_id")
-        .agg(F.min("text").alias("text"))
-    )
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    texts = stored(texts_of(wanted, docs))
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -184,6 +190,65 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return mapped(both, run, "a long, b long, shared long, total long")
 
 
+def blockwise(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): components that a link joins, from all members of some buckets.
+
+    ``members``: key, rep, own (component), loose. Members of one bucket are compared in blocks
+    of bounded text, by products of token incidence matrices; a pair counts where at least one
+    side is loose and the components differ. A token is a shingle with its occurrence number, so
+    that common tokens are the shared shingles with multiplicity. Blocks return components, not
+    pairs.
+    """
+    texts = stored(texts_of(members.select(F.col("rep").alias("doc_id")), docs))
+    rows = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    size = F.sum(F.octet_length("text"))
+    parts = stored(rows.groupBy("key").agg(F.ceil(size / BLOCK_TEXT).cast("int").alias("parts")))
+    rows = rows.join(parts, "key")
+    side = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")
+    rows = rows.withColumn("side", side).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1).cast("array<int>"))
+    )
+    rows = rows.select(
+        "key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("top"),
+        "side", "own", "loose", "text",
+    )
+
+    def links(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, side, loose = (table[c].to_numpy(zero_copy_only=False) for c in ("own", "side", "loose"))
+        low, top = table["low"][0].as_py(), table["top"][0].as_py()
+        found = [(np.empty(0, np.int64), np.empty(0, U))]
+        for first, _, data, offs in text_blocks(table["text"].chunk(0)):
+            rows, hashes = shingles(data, offs)
+            found.append((rows + first, hashes))
+        rows, hashes, n = bags(*map(np.concatenate, zip(*found, strict=True)))
+        size = np.bincount(rows, weights=n, minlength=len(own))
+        at = np.repeat(np.arange(len(n)), n)
+        turn = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        rows = rows[at]
+        _, token, count = np.unique(mix(hashes[at] + turn.astype(U)), return_inverse=True, return_counts=True)
+        several = count > 1
+        column_of = np.cumsum(several) - 1
+        rows, token = rows[several[token]], column_of[token[several[token]]]
+        order = np.argsort(token, kind="stable")
+        rows, token = rows[order], token[order]
+        a, b = np.flatnonzero(side == low), np.flatnonzero(side == top)
+        shared = np.zeros((len(a), len(b)), np.float32)
+        for begin in range(0, int(several.sum()), TOKEN_COLUMNS):
+            x, y = np.searchsorted(token, (begin, begin + TOKEN_COLUMNS))
+            hold = np.zeros((len(own), TOKEN_COLUMNS), np.float32)
+            hold[rows[x:y], token[x:y] - begin] = 1
+            shared += hold[a] @ hold[b].T
+        total = size[a][:, None] + size[b] - shared
+        hit = near(shared, total) & (own[a][:, None] != own[b]) & (loose[a][:, None] | loose[b])
+        i, j = np.nonzero(hit)
+        pairs = np.unique(np.stack((own[a][i], own[b][j]), axis=1), axis=0)
+        return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    small_batches(docs.sparkSession)
+    return rows.groupBy("key", "low", "top").applyInArrow(links, "a long, b long").distinct()
+
+
 def near(shared, total):
     return shared * NEAR[1] >= total * NEAR[0]
 
@@ -199,10 +264,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     1. Equal texts become one class, represented by the smallest id.
     2. Representatives whose signatures agree in a band share a bucket. In each bucket they are
        compared with a leader only (one of LEADERS rules of choice per band), not with each other.
-    3. Members of a bucket that are not connected to its leader afterwards are compared with the
-       members of other components. The Jaccard distance is a metric, so a pair whose distances
-       to their leader differ by more than 0.2 cannot be linked and is left out. So no link
-       between two texts of one bucket is lost.
+    3. Members of a bucket that are not connected to its leader afterwards (loose ones) are compared
+       with the members of other components, in blocks. The Jaccard distance is a metric, so
+       members whose distance to the leader differs from that of all loose ones by more than 0.2
+       cannot be linked with these and are left out. So no link between two texts of one bucket
+       is lost. A group of copies that are mostly below the similarity costs block products, in
+       proportion to its loose members times its members.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     signs = stored(signed(given))
@@ -234,20 +301,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links.select(F.col("a").alias("leader"), F.col("b").alias("rep"), apart.alias("far")), ["leader", "rep"], "left"
     )
     placed = stored(placed.withColumn("far", F.coalesce("far", F.lit(0.0))))
-    loose = placed.filter("own <> main").select(
-        "key", F.col("rep").alias("x"), F.col("own").alias("own_x"), F.col("far").alias("far_x")
-    )
-    # only buckets with loose members matter, and of these all members
-    rest = (
-        loose.join(placed, "key")
-        .filter("x <> rep and rep <> leader and own <> own_x and abs(far - far_x) <= 0.2 + 1e-9")
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
-    )
-    rest = stored(rest)
+    loose = placed.filter("own <> main").groupBy("key").agg(F.min("far").alias("least"), F.max("far").alias("most"))
+    # only buckets with loose members matter, and of these the members within reach of one
+    rest = placed.join(loose, "key").filter("far between least - 0.2 - 1e-9 and most + 0.2 + 1e-9")
+    rest = stored(rest.select("key", "rep", "own", (F.col("own") != F.col("main")).alias("loose")))
     if not rest.isEmpty():
-        more = compared(rest, given).filter(near(F.col("shared"), F.col("total"))).select("a", "b")
-        found = stored(components(edges.union(more)))
+        found = stored(components(edges.union(blockwise(rest, given))))
     reps = component(classes.select("digest", "rep"), "rep", "component_id")
     out = signs.select("doc_id", "digest").join(reps.select("digest", "component_id"), "digest", "left")
     # a repeated id with several texts belongs to the smallest component of them
