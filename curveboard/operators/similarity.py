@@ -6,6 +6,7 @@ Vectors of two settings are matched by a key (run, fingerprint, item), never by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -25,7 +26,7 @@ from curveboard.functions.stats import (
     pearson_standard_error,
     pearson_t,
 )
-from curveboard.session import cut_lineage
+from curveboard.session import cut_lineage, shared_folder
 
 
 def shared_ids(rows: DataFrame, of: str = "metric", key: str = "run_id") -> DataFrame:
@@ -744,36 +745,52 @@ def neighbour_pairs(prints: DataFrame, seed: int | None = None) -> DataFrame:
 
 
 def eliminate_redundant(
-    vectors: DataFrame, threshold: float = 0.95, rounds: int = 51, seed: int = 0
+    vectors: DataFrame, threshold: float = 0.95, rounds: int = 51, patience: int = 10, seed: int = 0
 ) -> DataFrame:
-    """Drop fingerprints that repeat a neighbour's strategy vector: (fingerprint, round).
+    """Drop fingerprints that repeat a neighbour's strategy vector: (fingerprint, round, converged).
 
     Each round pairs the remaining fingerprints and drops the second of every pair with
     r above the threshold. A round without progress reshuffles. Pairs known to be
-    different are not computed again. ``round`` is null for the kept ones.
+    different are not computed again. ``round`` is null for the kept ones. ``rounds`` rounds are
+    run at least, and more until ``patience`` rounds in a row drop nothing; fewer only if no
+    two fingerprints are left or all pairs of the remaining are known to differ (``converged``).
+    Every round appends its pairs to one table, from which the next one starts.
     """
     spark = vectors.sparkSession
-    left = cut_lineage(vectors.select("fingerprint").distinct())
-    kind = vectors.schema["fingerprint"].dataType
-    dropped = spark.createDataFrame(
-        [], T.StructType([T.StructField("fingerprint", kind), T.StructField("round", T.IntegerType())])
-    )
-    known = spark.createDataFrame(
-        [], T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    )
-    size, shuffle = left.count(), None
-    for round_no in range(rounds):
+    names = cut_lineage(vectors.select("fingerprint").distinct())
+    kind = vectors.schema["fingerprint"].dataType.simpleString()
+    schema = f"a {kind}, b {kind}, r double, gone boolean, round int"
+    folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    done = spark.createDataFrame([], schema)
+    size, shuffle, idle, round_no, converged = names.count(), None, 0, 0, False
+    while size > 1 and (round_no < rounds or idle < patience):
+        left = names.join(done.filter("gone").select(F.col("b").alias("fingerprint")), "fingerprint", "left_anti")
+        known = done.filter("not gone").select("a", "b")
+        if idle:
+            held = known.join(left.withColumnRenamed("fingerprint", "a"), "a", "left_semi")
+            held = held.join(left.withColumnRenamed("fingerprint", "b"), "b", "left_semi")
+            tested = held.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count()
+            converged = tested == size * (size - 1) // 2
+            if converged:
+                break
         pairs = neighbour_pairs(left, shuffle).join(known, ["a", "b"], "left_anti")
-        found = cut_lineage(pair_correlations(pairs, vectors).select("a", "b", "r"))
-        gone = found.filter(F.col("r") > threshold).select(
-            F.col("b").alias("fingerprint"), F.lit(round_no).alias("round")
+        found = pair_correlations(pairs, vectors).select(
+            "a",
+            "b",
+            "r",
+            F.coalesce(F.col("r") > threshold, F.lit(False)).alias("gone"),
+            F.lit(round_no).alias("round"),
         )
-        left = cut_lineage(left.join(gone, "fingerprint", "left_anti"))
-        dropped = cut_lineage(dropped.unionByName(gone))
-        known = cut_lineage(known.unionByName(found.filter(~(F.coalesce("r", F.lit(0.0)) > threshold)).select("a", "b")))
-        remaining = left.count()
-        if remaining < 2:
-            break
-        shuffle = seed + round_no if remaining == size else shuffle
-        size = remaining
-    return dropped.unionByName(left.withColumn("round", F.lit(None).cast("int")))
+        found.write.parquet(f"{folder}/{round_no}")
+        done = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+        lost = done.filter((F.col("round") == round_no) & F.col("gone")).count()
+        if not lost:
+            shuffle = seed + round_no
+        idle = 0 if lost else idle + 1
+        size, round_no = size - lost, round_no + 1
+    dropped = done.filter("gone").select(F.col("b").alias("fingerprint"), "round")
+    return (
+        names.join(dropped, "fingerprint", "left")
+        .select("fingerprint", "round")
+        .withColumn("converged", F.lit(converged or size < 2 or idle >= patience))
+    )

@@ -320,7 +320,7 @@ def _(t: Tables):
 
 @query("K3_boundary_closeness")
 def _(t: Tables):
-    return cat.boundary_closeness(t.samples, 0)
+    return cat.boundary_closeness(t.sample_sets)
 
 
 def _neighbour_sql(body: str) -> str:
@@ -397,7 +397,7 @@ def _(t: Tables):
 
 @query("K9_cluster_center_closeness")
 def _(t: Tables):
-    return cat.cluster_center_closeness(t.samples, 0)
+    return cat.cluster_center_closeness(t.sample_sets)
 
 
 @query(
@@ -419,7 +419,7 @@ def _(t: Tables):
 
 @query("K11_average_uncertainty")
 def _(t: Tables):
-    return cat.average_uncertainty(t.samples, 0, seeds=1, folds=2)
+    return cat.average_uncertainty(t.samples)
 
 
 @query("K12_outlierness")

@@ -371,7 +371,7 @@ def _(t: Tables):
     )
 
 
-REPLICATES = 200
+REPLICATES = 5000
 BOOT = f"""ds as (select dataset, row_number() over (order by dataset) - 1 as spot,
   count(*) over () as n from (select distinct dataset from metric_scores)),
 draws as (select r.replicate, ('0x' || (md5('0|' || r.replicate || '|' || spot))[1:12])::bigint % n as spot
@@ -577,7 +577,7 @@ def _(t: Tables):
 @query("R23_eliminate_redundant")
 def _(t: Tables):
     vectors = t.full_mean.select("fingerprint", "strategy", "value")
-    return sim.eliminate_redundant(vectors, threshold=0.9, rounds=6)
+    return sim.eliminate_redundant(vectors, threshold=0.9)
 
 
 @query(

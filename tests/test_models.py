@@ -37,15 +37,15 @@ def test_outlier_is_flagged_most(blobs):
 
 
 def test_kmeans_closeness_sums_to_its_scale(blobs):
-    out = categorize.cluster_center_closeness(blobs, 0).collect()
+    out = categorize.cluster_center_closeness(blobs).collect()
     k = max(2, int(np.sqrt(121) / 2))
     assert sum(r["value"] for r in out) == pytest.approx(100 * k)
 
 
 def test_uncertainty_and_boundary(blobs):
     for out in (
-        categorize.average_uncertainty(blobs, 0, seeds=1, folds=2),
-        categorize.boundary_closeness(blobs, 0),
+        categorize.average_uncertainty(blobs, seeds=1, folds=2),
+        categorize.boundary_closeness(blobs),
     ):
         rows = out.collect()
         assert len(rows) == 121 and all(r["value"] >= 0 for r in rows)
