@@ -952,14 +952,18 @@ def _(t: Tables):
 def _(t: Tables):
     root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     rows = t.given("events").select(
-        F.col("event_id").alias("run_id"), F.col("ts").alias("seen"), F.col("event_type").alias("strategy")
+        F.col("event_id").alias("run_id"),
+        # a watermark needs an instant
+        F.col("ts").cast("timestamp").alias("seen"),
+        F.col("event_type").alias("strategy"),
     )
     # every run arrives twice; the second copy is within the watermark
     rows.union(rows).write.parquet(f"{root}/in")
     stream = ingest.run_stream(t.spark, f"{root}/in", rows.schema, 64)
     once = ingest.first_per_run(stream, "seen", "400 days")
     ingest.write_runs(once, f"{root}/out", f"{root}/state").awaitTermination()
-    return t.spark.read.parquet(f"{root}/out").select("run_id", "seen", "strategy")
+    out = t.spark.read.parquet(f"{root}/out")
+    return out.select("run_id", F.col("seen").cast("timestamp_ntz").alias("seen"), "strategy")
 
 
 @query(
