@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 from conftest import documents, prose
 
 from curveboard.llm import graph, minhash
@@ -96,3 +97,11 @@ def test_components_of_long_chains_and_hubs(spark):
     assert all(out[i] == 100 for i in range(100, 161))
     assert all(out[i] == 5 for i in [5, *range(200, 400)]) and out[9] == 9
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("chain", [[1, 5, 3, 6, 2], *[random.Random(i).sample(range(1, 9), 8) for i in range(6)]])
+def test_components_of_chains_in_any_order(spark, chain):
+    """A chain alone, so that no other component keeps the loop going."""
+    edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a long, b long")
+    out = {r.id: r.component for r in graph.components(edges).collect()}
+    assert out == dict.fromkeys(chain, 1)
