@@ -183,12 +183,28 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, seed: int = 23) -> Data
     Vectors that are null, empty, zero or not finite, and rows without label, link with nothing
     and are their own component. Equal vectors of a label link with each other; they are one row
     of the search, with a count of copies, so a large group of copies costs nothing there. All
-    usable vectors must have one length. vec_id must be unique; other columns are ignored. Any
-    pair at the threshold meets in a table with probability 0.999 or more, nearer pairs more
-    surely; what is linked is verified in double precision.
+    usable vectors must have one length. Rows that repeat a vec_id stay rows of their own, ordered
+    by a hash of label and vector; ``kept`` marks one row of each component. Rows without vec_id
+    are left out; other columns are ignored. Any pair at the threshold meets in a table with
+    probability 0.999 or more, nearer pairs more surely; what is linked is verified in double
+    precision.
     """
     given = df.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("vector"))
     given = given.filter("id is not null")
+    if given.groupBy("id").count().filter("count > 1").isEmpty():
+        return links_of_rows(given, threshold, seed)
+    # numbers in the order of the ids stand for the rows; the last key spreads a row given often
+    ordered = given.orderBy("id", F.xxhash64("label", "vector"), F.monotonically_increasing_id())
+    rows = stored(ordered.select(F.monotonically_increasing_id().alias("row"), "*"))
+    found = links_of_rows(rows.select(F.col("row").alias("id"), "label", "vector"), threshold, seed)
+    own = rows.select("row", F.col("id").alias("own"))
+    root = rows.select(F.col("row").alias("component_id"), F.col("id").alias("root"))
+    found = found.withColumnRenamed("vec_id", "row").join(own, "row").join(root, "component_id")
+    return found.select(F.col("own").alias("vec_id"), "n_links", F.col("root").alias("component_id"), "kept")
+
+
+def links_of_rows(given: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """near_vectors of (id, label, vector) rows with an id of their own each."""
     # a negative zero equals zero
     fine = usable(given, "vector").filter("label is not null")
     fine = fine.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast("float")))
@@ -200,7 +216,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, seed: int = 23) -> Data
     first = classes.select(F.size("vector").alias("d")).first()
     bits, tables = table_numbers(most, threshold)
     normals = planes(first["d"] if first else 1, bits, tables, seed)
-    shared = df.sparkSession.sparkContext.broadcast(normals)
+    shared = given.sparkSession.sparkContext.broadcast(normals)
     blocks = (
         hashed(classes, shared, keep=False)
         .groupBy("bucket")

@@ -60,6 +60,16 @@ def test_odd_vectors_link_with_nothing(spark):
     assert sorted(r.n_links for r in only_bad.collect()) == [0, 0]
 
 
+def test_repeated_ids_stay_rows(spark):
+    vectors = [[1, 0], [1, 0], [0, 1], [1, 0.01], [0, 1], None]
+    ids = [5, 5, 5, 8, 3, 8]
+    out = hyperplanes.near_vectors(frame(spark, vectors, [1] * 6, ids)).collect()
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    assert got == [
+        (3, 1, 3, True), (5, 1, 3, False), (5, 2, 5, False), (5, 2, 5, True), (8, 0, 8, True), (8, 2, 5, False),
+    ]
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (5, 2)])
 def test_consecutive_keys_are_neighbouring_cells(dims, bits):
     side = 1 << bits
