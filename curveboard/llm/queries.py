@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveboard.llm import hilbert, hyperplanes, language, minhash, packing, pieces, quality, sharding, suffixes, toxicity
+from curveboard.llm import hilbert, hyperplanes, language, minhash, packing, pieces, quality, repair, sharding, suffixes, toxicity
 from curveboard.llm.labelled import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op4_hyperplane_links(spark, sf_dir):
 def op5_hilbert_neighbours(spark, sf_dir):
     """The 10 nearest vectors of every hundredth vector."""
     return hilbert.nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    """Faults and cheapest repair of every conversation, after damage by the checksum of its turns."""
+    return repair.repair_reports(repair.damaged(table(spark, sf_dir, "conversations")))
