@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curveboard.llm import hilbert, hyperplanes, language, minhash, packing, pieces, quality, repair, sharding, suffixes, toxicity
+from curveboard.llm import (
+    hilbert,
+    hyperplanes,
+    language,
+    lexical,
+    minhash,
+    orcfile,
+    packing,
+    pieces,
+    quality,
+    repair,
+    sharding,
+    suffixes,
+    toxicity,
+)
 from curveboard.llm.labelled import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-#: No operator of this family can be written in SQL that runs on whole tables; tests compare with brute force.
+#: Most operators of this family cannot be written in SQL that runs on whole tables; tests compare with brute force.
 ORACLES: dict[str, str] = {}
 
 
@@ -105,3 +119,54 @@ def op5_hilbert_neighbours(spark, sf_dir):
 def op11_conversation_repair(spark, sf_dir):
     """Faults and cheapest repair of every conversation, after damage by the checksum of its turns."""
     return repair.repair_reports(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query
+def op12_lexical_search(spark, sf_dir):
+    """The 20 best documents of every benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH words AS (
+    SELECT d.n AS row, d.doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS n, doc_id, text FROM documents) d
+),
+counts AS (SELECT row, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM counts GROUP BY row),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), total
+),
+asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+          FROM (SELECT DISTINCT item_id, text FROM benchmark))
+    GROUP BY ALL
+),
+scores AS (
+    SELECT item_id, doc_id,
+           sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN counts USING (term) JOIN weights USING (term) JOIN sizes USING (row), total
+    GROUP BY item_id, row, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM scores WHERE score > 0)
+WHERE rank <= 20
+"""
+
+
+@query
+def op13_orc_tokens(spark, sf_dir):
+    """Place, length and checksum of every document's ids, from the ORC files they were written to."""
+    docs = table(spark, sf_dir, "documents")
+    folder = orcfile.token_files(docs, tokenizer("word_bpe_49k.json"))
+    tokens = orcfile.read_tokens(spark, folder)
+    parts = tokens.select("part", "start", "n_tokens")
+    return orcfile.placed(orcfile.checksums(tokens), parts)
