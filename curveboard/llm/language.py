@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curveboard.llm.blocks import LOWER, TOKENS, column, mapped, text_blocks
@@ -89,44 +86,65 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def sampled(docs: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, text, lang) of at most ``rows`` rows of each language, chosen by a hash of the id.
+
+    The ids are chosen first, so only their texts travel; an id given often is bounded after that.
+    """
+
+    def first(df: DataFrame, *ties: str | Column) -> DataFrame:
+        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *ties)
+        return df.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= rows).drop("__place")
+
+    ids = first(docs.select("lang", "doc_id").distinct())
+    return first(docs.join(ids, ["lang", "doc_id"]).select("doc_id", "text", "lang"), F.xxhash64("text"))
+
+
+def centroids(docs: DataFrame, idf: np.ndarray, clusters: int) -> DataFrame:
+    """(lang, centroids, far): unit centroids of each language, one after the other, from its rows' vectors.
+
+    Tasks turn texts into vectors of one size; a language with bounded rows is a bounded group.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def vectors(batch):
+        for first, last, data, offs in text_blocks(column(batch, "text"), BLOCK, ROWS):
+            v = weighted(counts(data, offs), shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    column(batch, "lang").slice(first, last - first),
+                    column(batch, "doc_id").slice(first, last - first),
+                    pa.array([row.tobytes() if row.any() else None for row in v], pa.binary()),
+                ],
+                names=["lang", "doc_id", "vector"],
+            )
+
+    def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("vector", "ascending")])
+        v = np.stack([np.frombuffer(row, np.float32) for row in table["vector"].to_pylist()])
+        c = cluster(v, clusters)
+        # reject what is farther from its centroid than nearly all sampled rows of the language
+        far = float(np.quantile((v @ c.T).max(axis=1), 0.005)) * 0.5
+        return pa.table({"lang": table["lang"][:1], "centroids": pa.array([c.tobytes()], pa.binary()), "far": pa.array([far])})
+
+    rows = mapped(docs, vectors, "lang string, doc_id long, vector binary").filter("vector is not null")
+    return rows.groupBy("lang").applyInArrow(group, "lang string, centroids binary, far double")
+
+
 def fit(docs: DataFrame, clusters: int, sample_rows: int) -> dict:
-    """Inverse document frequencies over all given rows, centroids from a bounded sample.
+    """Inverse document frequencies over all given rows, centroids from a bounded sample of each language.
 
-    ``sample_rows`` bounds the rows of each language, chosen by a hash of the id.
+    Only centroids reach the driver, ``clusters`` a language.
     """
     n, df = document_frequencies(docs)
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32)
-    langs = [r[0] for r in docs.select("lang").distinct().limit(1000).collect()]
-    picks = [
-        docs.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_rows)
-        for lang in sorted(langs)
-    ]
-    table = None
-    if picks:
-        ids = reduce(DataFrame.union, picks).distinct()
-        table = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").toArrow().sort_by("doc_id")
-    centroids, names, far = [], [], []
-    for lang in sorted(langs):
-        own = table.filter(pc.equal(table["lang"], lang))
-        v = [
-            weighted(counts(data, offs), idf)
-            for batch in own.to_batches()
-            for _, _, data, offs in text_blocks(batch.column(1), BLOCK, ROWS)
-        ]
-        v = np.concatenate(v) if v else np.zeros((0, DIMS), np.float32)
-        v = v[(v * v).sum(axis=1) > 0]
-        if not len(v):
-            continue
-        c = cluster(v, clusters)
-        # reject what is farther from its centroid than nearly all sampled rows of the language
-        far.append(float(np.quantile((v @ c.T).max(axis=1), 0.005)) * 0.5)
-        centroids.append(c)
-        names += [lang] * len(c)
+    found = sorted(centroids(sampled(docs, sample_rows), idf, clusters).collect(), key=lambda r: r["lang"])
+    each = [np.frombuffer(r["centroids"], np.float32).reshape(-1, DIMS) for r in found]
     return {
         "idf": idf,
-        "centroids": np.concatenate(centroids) if centroids else np.zeros((0, DIMS), np.float32),
-        "names": names,
-        "limit": min(far, default=0.0),
+        "centroids": np.concatenate(each) if each else np.zeros((0, DIMS), np.float32),
+        "names": [r["lang"] for r, c in zip(found, each, strict=True) for _ in c],
+        "limit": min((r["far"] for r in found), default=0.0),
     }
 
 
@@ -179,7 +197,7 @@ def languages(docs: DataFrame, allowed: Column, clusters: int = 4, sample_rows:
     """Language of every whole text, learned from rows with a language that meet ``allowed``.
 
     Document frequencies cover all such rows; centroids come from at most ``sample_rows`` of each
-    language. At most 1000 languages are learned. Ties go to the language that sorts first.
+    language; every language among them is learned. A text of any length counts whole. Ties go to the language that sorts first.
     Repeated rows are predicted each; an empty table gives an empty one; other columns are ignored.
     """
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(

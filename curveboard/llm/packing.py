@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 
@@ -28,29 +29,38 @@ def byte_symbols() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of a byte-level BPE file; special tokens' strings are ordinary text."""
+    """Ids of a byte-level BPE file, as its own library gives them: special tokens in a text have their ids."""
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model.get("added_tokens", ())}
+        self.special = {t["content"]: t["id"] for t in model.get("added_tokens", ())}
         back = byte_symbols()
-        ranks = {bytes(back[c] for c in p): i for p, i in model["model"]["vocab"].items() if p not in special}
+        vocab = model["model"]["vocab"]
+        ranks = {bytes(back[c] for c in p): i for p, i in vocab.items() if p not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.path, self.slow = path, None
 
     def encode(self, text: str, plain: bool) -> list[int]:
         """``plain`` texts hold no very long run; the others go to the encoder with a heap."""
-        if plain:
-            return self.fast.encode_ordinary(text)
-        if self.slow is None:
-            from tokenizers import Tokenizer
+        if not plain:
+            if self.slow is None:
+                from tokenizers import Tokenizer
 
-            self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
-        return self.slow.encode(text, add_special_tokens=False).ids
+                self.slow = Tokenizer.from_file(self.path)
+            return self.slow.encode(text, add_special_tokens=False).ids
+        if not any(s in text for s in self.special):
+            return self.fast.encode_ordinary(text)
+        ids: list[int] = []
+        for part in self.cuts.split(text):
+            if part in self.special:
+                ids.append(self.special[part])
+            elif part:
+                ids += self.fast.encode_ordinary(part)
+        return ids
 
 
 def tokenised(docs: DataFrame, path: str, width: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
@@ -188,7 +198,8 @@ def pack(pieces: DataFrame, width: int = 2048, slice_rows: int = 2000) -> DataFr
 def pack_documents(docs: DataFrame, path: str, width: int = 2048, end: int = 0) -> DataFrame:
     """Tokenise all documents and pack their pieces: one row per piece.
 
-    Null and empty texts are one piece of the end id. Documents with equal ids are packed each.
+    Null and empty texts are one piece of the end id. The string of a special token in a text becomes
+    its id, as the file's library does by default. Documents with equal ids are packed each.
     An empty table gives an empty one. Other columns are ignored.
     """
     return pack(stored(tokenised(docs, path, width, end)), width)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -75,11 +73,6 @@ class Pieces:
         return self.flat[spread(self.offsets[ids], lengths)]
 
 
-@cache
-def vocabulary(path: str, alpha: float) -> Pieces:
-    return Pieces(path, alpha)
-
-
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of every range, in turn."""
     ends = np.cumsum(lengths)
@@ -253,13 +246,16 @@ def encoded(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 11) -> D
     The draw depends on the seed, doc_id and the word's place alone, so any partitioning and any
     rerun give the same ids. ``alpha`` sharpens (above 1) or flattens the distribution over
     segmentations. A null text has null ids and 0 pieces, an empty one no ids; rows of the same
-    id and text get the same draw, a null id draws as id -1. A literal word mark in a text is
+    id and text get the same draw, a null id draws as id -1. An empty table gives an empty one; a text
+    of any length is cut into words, whose lattices are handled in blocks. A literal word mark in a text is
     spelled by byte pieces, so it is not mistaken for a space. ``lossless`` says that decoding
     gives the text back. Other columns are ignored.
     """
 
+    known: dict[str, Pieces] = {}  # read once in each task, as the function travels without it
+
     def run(batch):
-        pieces = vocabulary(path, alpha)
+        pieces = known.get(path) or known.setdefault(path, Pieces(path, alpha))
         source = column(batch, "text")
         text = prefixed(source)
         doc = column(batch, "doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -288,8 +284,10 @@ def encoded(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 11) -> D
 def decoded(encodings: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids): the exact bytes that were encoded. Null ids give null."""
 
+    known: dict[str, Pieces] = {}
+
     def run(batch):
-        pieces = vocabulary(path, 1.0)
+        pieces = known.get(path) or known.setdefault(path, Pieces(path, 1.0))
         texts = []
         for ids in column(batch, "ids").to_pylist():
             if ids is None:

@@ -95,3 +95,12 @@ def test_equal_texts_get_equal_scores(spark):
     given = spark.createDataFrame([(0, 1), (2, 0)], "doc_id long, quality int")
     by = {r.doc_id: r.score for r in quality.quality_scores(docs, given, F.lit(True)).collect()}
     assert by[0] == by[1] > by[2]
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any fixed number, each with words of its own."""
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i}q" for i in range(1100)]
+    texts = [f"{w} {w}x {w}y" for w in words for _ in range(2)]
+    docs = documents(spark, texts, [w for w in words for _ in range(2)])
+    model = language.fit(docs.select("doc_id", "text", "lang"), 1, 5)
+    assert sorted(model["names"]) == sorted(words)

@@ -18,9 +18,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(df, texts, library, width):
@@ -62,9 +60,13 @@ def test_ids_and_places(spark, library, odd_documents, no_documents):
     assert packing.pack_documents(no_documents, PATH).count() == 0
 
 
-def test_special_strings_are_text(spark, library):
-    texts = ["a <|endoftext|> b", "I'll we've 'sam it''s x's\n\n  y \t z  "]
+def test_special_strings_have_their_ids(spark, library):
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"{mark}{mark}  {mark}\n", f"a  {mark}  b {mark[:-1]}", f"{'y' * 5000} {mark} z"]
+    texts.append("I'll we've 'sam it''s x's\n\n  y \t z  ")
     check(packing.pack_documents(documents(spark, texts), PATH), dict(enumerate(texts)), library, 2048)
+    out = packing.tokenised(documents(spark, [mark]), PATH, with_ids=True).first()
+    assert out.ids == [50256, 0]
 
 
 def test_sequences_hold_the_ids(spark, library):

@@ -23,7 +23,7 @@ def segmentations(word, weights):
 def test_draws_follow_the_lattice():
     import pyarrow as pa
 
-    v = pieces.vocabulary(PATH, 0.3)
+    v = pieces.Pieces(PATH, 0.3)
     weights = dict(zip((v.bytes[i] for i in v.ids), v.weights, strict=True))
     word = "other"
     all_of = dict(segmentations(b" " + word.encode(), weights))

@@ -106,3 +106,45 @@ def test_few_rows_ties_and_odd_vectors(spark):
         (6, 1, 0, far), (6, 2, 1, far), (6, 3, 2, far),
     ]
     assert hilbert.nearest_vectors(frame(spark, [], []), F.lit(True)).count() == 0
+
+
+def test_repeated_query_rows_and_many_copies(spark):
+    """Copies of a vector give the smallest ids, a row given twice does not shorten the list."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.tile(rng.standard_normal(8), (400, 1)), rng.standard_normal((200, 8))])
+    ids = [*range(600)]
+    rows = frame(spark, [*x, x[0], x[100], x[500]], [0] * 603, [*ids, 0, 100, 500])
+    out = hilbert.nearest_vectors(rows, F.col("id") % 100 == 0).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert sorted(by) == [0, 100, 200, 300, 400, 500]
+    assert all([a for a, _ in sorted(v)] == list(range(1, 11)) for v in by.values())
+    assert [i for _, i in sorted(by[0])] == list(range(1, 11))
+    assert [i for _, i in sorted(by[300])] == list(range(10))
+
+
+def test_windows_are_searched_in_blocks(spark, monkeypatch):
+    """Small blocks and windows: every hit lies in a window of its query, as brute force over them finds."""
+    monkeypatch.setattr(hilbert, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(hilbert, "LEAST", 20)
+    monkeypatch.setattr(hilbert, "SCALE", 0.0)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 12))
+    out = hilbert.nearest_vectors(frame(spark, x, [0] * 300), F.col("id") % 50 == 0).collect()
+    x = x.astype(np.float32).astype(float)
+    # any row order gives the same curves: they depend on the fitted centre and scale alone
+    k = hilbert.keys(x, hilbert.curves(x, 48, 16, 3, 29))
+    near = 0
+    for q in range(0, 300, 50):
+        mark = np.zeros(300, bool)
+        for key in k:
+            place = np.argsort(key, kind="stable")
+            at = int(np.flatnonzero(place == q)[0])
+            mark[place[max(0, at - 22) : at + 23]] = True
+        mark[q] = False
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        own = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == q)
+        assert all(abs(d[v] - s) < 1e-9 for _, v, s in own)
+        near += len({v for _, v, _ in own} & set(np.argsort(np.where(mark, d, np.inf))[:10].tolist()))
+    assert near >= 0.9 * 60
