@@ -1,14 +1,14 @@
 """Order-dependent building blocks that never put one hot group into one task.
 
-Each group is cut into slices by an expression that is monotone in the order.
-Rows are ordered inside ``(group, slice)``; a small table with one row per slice
-carries counts and sums across slices. The slice expression decides how far a
-hot group spreads; ordinary groups fall into one slice or a few.
+``by_size`` tells very large groups from the others. Ordinary groups take one exchange and one sort,
+from which all window functions of an operator are computed. A very large group is cut into slices by
+an expression that is monotone in the order: rows are ordered inside ``(group, slice)``, and a small
+table with one row per slice carries counts and sums across slices.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,8 @@ SLICE = "__slice"
 CHUNK = 1024
 #: Rows aimed at in a slice of a random order.
 SLICE_ROWS = 4096.0
+#: A group of more rows is cut into slices, the largest so many of them.
+HOT_ROWS, HOT_KEYS = 1 << 20, 1000
 
 
 def _col(c: str | Column) -> Column:
@@ -36,6 +38,26 @@ def same_keys(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
 
 
+def by_size(
+    df: DataFrame,
+    keys: Sequence[str],
+    ordinary: Callable[[DataFrame], DataFrame],
+    large: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """One function for the rows of ordinary groups, another for those of very large groups.
+
+    Large are the groups above ``HOT_ROWS``, at most the ``HOT_KEYS`` largest: as many rows reach the
+    broadcast that tells them apart, and any other group has less than a thousandth of all rows. The
+    counts read the key columns alone. Where no group is large, its branch is empty and is not run.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS)
+    hot = counts.orderBy(F.desc("__n"), *keys).limit(HOT_KEYS).select(*keys).alias("r")
+    rows = df.alias("l")
+    few = rows.join(hot, same_keys(keys), "left_anti").select(*[F.col(f"l.{c}") for c in df.columns])
+    many = rows.join(hot, same_keys(keys), "left_semi").select(*[F.col(f"l.{c}") for c in df.columns])
+    return ordinary(few).unionByName(large(many))
+
+
 def position(
     df: DataFrame,
     keys: Sequence[str],
@@ -44,7 +66,20 @@ def position(
     name: str = "pos",
 ) -> DataFrame:
     """0-based position of each row inside its group. ``order_by`` must be total."""
-    keys = list(keys)
+    keys, order_by = list(keys), [_col(c) for c in order_by]
+
+    def ordinary(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*order_by)) - 1
+        return rows.withColumn(name, place.cast("long"))
+
+    if not keys:
+        return _sliced_position(df, keys, slice_by, order_by, name)
+    return by_size(df, keys, ordinary, lambda rows: _sliced_position(rows, keys, slice_by, order_by, name))
+
+
+def _sliced_position(
+    df: DataFrame, keys: list[str], slice_by: Column, order_by: Sequence[Column], name: str
+) -> DataFrame:
     cut = df.withColumn(SLICE, slice_by)
     sizes = cut.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select(
@@ -54,7 +89,7 @@ def position(
     )
     local = cut.withColumn(
         "__local",
-        F.row_number().over(W.partitionBy(*keys, SLICE).orderBy(*[_col(c) for c in order_by])),
+        F.row_number().over(W.partitionBy(*keys, SLICE).orderBy(*order_by)),
     )
     return (
         local.join(before, [*keys, SLICE])
@@ -91,13 +126,20 @@ def hash_position(
 def running(
     df: DataFrame,
     keys: Sequence[str],
-    slice_by: Column,
+    slice_by: Column | None,
     order_by: Sequence[str | Column],
     values: dict[str, tuple[str, str]],
 ) -> DataFrame:
-    """Inclusive running aggregates; ``values`` maps a new column to ('sum'|'max', column)."""
+    """Inclusive running aggregates; ``values`` maps a new column to ('sum'|'max', column).
+
+    Without ``slice_by`` each group is one window.
+    """
     keys = list(keys)
     how = {"sum": F.sum, "max": F.max}
+    if slice_by is None:
+        upto = W.partitionBy(*keys).orderBy(*[_col(c) for c in order_by])
+        upto = upto.rowsBetween(W.unboundedPreceding, 0)
+        return df.select("*", *[how[op](c).over(upto).alias(new) for new, (op, c) in values.items()])
     merge = {
         "sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)),
         "max": lambda a, b: F.greatest(a, b),
@@ -132,15 +174,28 @@ def framed(
     keys: Sequence[str] = ("run_id",),
     cycle: str = "cycle",
     value: str = "value",
-    chunk: int = CHUNK,
+    chunk: int | None = CHUNK,
 ) -> DataFrame:
     """Add neighbours and positions to every row of a curve.
 
     ``ix``/``width``: position and number of all rows; ``pos``/``n``: the same over
     non-null values (``pos`` is meaningful on non-null rows); ``prev``/``next``: the
-    neighbouring values. A curve longer than ``chunk`` cycles is cut into chunks.
+    neighbouring values. A curve longer than ``chunk`` cycles is cut into chunks;
+    without ``chunk`` each curve is one window, all from one exchange and one sort.
     """
     keys = list(keys)
+    if chunk is None:
+        whole = W.partitionBy(*keys)
+        order = whole.orderBy(cycle)
+        return curve.select(
+            "*",
+            (F.row_number().over(order) - 1).cast("long").alias("ix"),
+            F.count(F.lit(1)).over(whole).alias("width"),
+            (F.count(value).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1).alias("pos"),
+            F.count(value).over(whole).alias("n"),
+            F.lag(value).over(order).alias("prev"),
+            F.lead(value).over(order).alias("next"),
+        )
     cut = curve.withColumn(SLICE, F.floor(F.col(cycle) / chunk))
     ends = cut.groupBy(*keys, SLICE).agg(
         F.count(F.lit(1)).alias("__rows"),

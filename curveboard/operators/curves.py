@@ -1,25 +1,37 @@
 """Learning-curve metrics over long curves (keys..., cycle, value).
 
-Means and last values are plain aggregates. Whatever needs an order goes through
-``slices.framed``/``slices.running``, which split a very long curve into chunks.
-``keys`` names the columns of one curve, for example run and metric.
+Means and last values are plain aggregates. Whatever needs an order is written once over
+``slices.framed``/``slices.running`` and runs twice: ordinary curves are windows over one exchange,
+very long ones are cut into chunks of ``chunk`` cycles. ``keys`` names the columns of one curve, for
+example run and metric.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from curveboard.functions.slices import CHUNK, first_rows, framed, running, same_keys
+from curveboard.functions.slices import CHUNK, by_size, first_rows, framed, running, same_keys
 from curveboard.schema import AGGREGATE_PREFIXES, NON_CURVE_PREFIXES, TIME_LAG_EXCLUDED
 
 RUN = ("run_id",)
 
 
+def _each(
+    curve: DataFrame, keys: Sequence[str], chunk: int, operator: Callable[[DataFrame, int | None], DataFrame]
+) -> DataFrame:
+    """An operator on ordinary curves as windows, on very long ones in chunks."""
+    return by_size(curve, keys, lambda rows: operator(rows, None), lambda rows: operator(rows, chunk))
+
+
+def _slice(column: str, chunk: int | None):
+    return None if chunk is None else F.floor(F.col(column) / chunk)
+
+
 def evaluated(curve: DataFrame) -> DataFrame:
     """Cycle 0 is the given start set; nulls are cycles without a value."""
     return curve.filter((F.col("cycle") > 0) & F.col("value").isNotNull())
@@ -54,13 +66,18 @@ def phase_means(
     A run without cutoff is split at half its row length, counted as the cycles after
     the first plus the id cell.
     """
-    spots = framed(curve.filter("cycle > 0"), keys, chunk=chunk)
-    joined = spots.join(cutoffs.select(*keys, "cutoff"), list(keys), "left")
-    cut = F.coalesce(F.col("cutoff").cast("long"), F.floor((F.col("width") + 1) / 2))
-    return joined.groupBy(*keys).agg(
-        F.avg(F.when(F.col("pos") < cut, F.col("value"))).alias("ramp_up_auc"),
-        F.avg(F.when(F.col("pos") >= cut, F.col("value"))).alias("plateau_auc"),
-    )
+
+    def means(rows: DataFrame, chunk: int | None) -> DataFrame:
+        joined = framed(rows, keys, chunk=chunk).join(
+            cutoffs.select(*keys, "cutoff"), list(keys), "left"
+        )
+        cut = F.coalesce(F.col("cutoff").cast("long"), F.floor((F.col("width") + 1) / 2))
+        return joined.groupBy(*keys).agg(
+            F.avg(F.when(F.col("pos") < cut, F.col("value"))).alias("ramp_up_auc"),
+            F.avg(F.when(F.col("pos") >= cut, F.col("value"))).alias("plateau_auc"),
+        )
+
+    return _each(curve.filter("cycle > 0"), keys, chunk, means)
 
 
 def learning_stability(
@@ -70,16 +87,22 @@ def learning_stability(
 
     The last k are counted over all cycles, with or without a value.
     """
-    steps = framed(curve.filter("cycle > 0"), keys, chunk=chunk).withColumn(
-        "diff", F.col("value") - F.col("prev")
-    )
-    per_run = steps.groupBy(*keys).agg(
-        F.avg("diff").alias("__all"),
-        *[
-            F.avg(F.when(F.col("ix") >= F.col("width") - k, F.col("diff"))).alias(f"__last_{k}")
-            for k in ks
-        ],
-    )
+
+    def steps(rows: DataFrame, chunk: int | None) -> DataFrame:
+        diff = F.col("value") - F.col("prev")
+        return (
+            framed(rows, keys, chunk=chunk)
+            .groupBy(*keys)
+            .agg(
+                F.avg(diff).alias("__all"),
+                *[
+                    F.avg(F.when(F.col("ix") >= F.col("width") - k, diff)).alias(f"__last_{k}")
+                    for k in ks
+                ],
+            )
+        )
+
+    per_run = _each(curve.filter("cycle > 0"), keys, chunk, steps)
     return per_run.select(
         *keys,
         *[
@@ -93,22 +116,34 @@ def learning_stability(
 
 def time_lag(curve: DataFrame, keys: Sequence[str] = RUN, chunk: int = CHUNK) -> DataFrame:
     """First differences; cycle 0 has none."""
-    return (
-        framed(curve, keys, chunk=chunk)
-        .filter("ix > 0")
-        .select(*keys, "cycle", (F.col("value") - F.col("prev")).alias("value"))
-    )
 
+    def steps(rows: DataFrame, chunk: int | None) -> DataFrame:
+        return (
+            framed(rows, keys, chunk=chunk)
+            .filter("ix > 0")
+            .select(*keys, "cycle", (F.col("value") - F.col("prev")).alias("value"))
+        )
 
-def _transitions(curve: DataFrame, keys: Sequence[str], chunk: int, legacy_drop_first: bool):
-    steps = framed(curve, keys, chunk=chunk).filter(F.col("ix") < F.col("width") - 1)
-    steps = steps.select(
-        *keys,
-        "cycle",
-        F.greatest(F.col("value") - F.col("next"), F.lit(0.0)).alias("drop"),
-        F.when(F.col("next") < F.col("value"), 1).otherwise(0).alias("fell"),
-    )
-    return steps, (F.col("cycle") > 0 if legacy_drop_first else F.lit(True))
+    return _each(curve, keys, chunk, steps)
+
+
+def _transitions(
+    curve: DataFrame, keys: Sequence[str], chunk: int, legacy_drop_first: bool, op: str, column: str
+) -> DataFrame:
+    """Negated running ``op`` of what happens between a cycle and the next."""
+
+    def upto(rows: DataFrame, chunk: int | None) -> DataFrame:
+        steps = framed(rows, keys, chunk=chunk).filter(F.col("ix") < F.col("width") - 1)
+        steps = steps.select(
+            *keys,
+            "cycle",
+            F.greatest(F.col("value") - F.col("next"), F.lit(0.0)).alias("drop"),
+            F.when(F.col("next") < F.col("value"), 1).otherwise(0).alias("fell"),
+        )
+        return running(steps, keys, _slice("cycle", chunk), ["cycle"], {"m": (op, column)})
+
+    kept = F.col("cycle") > 0 if legacy_drop_first else F.lit(True)
+    return _each(curve, keys, chunk, upto).filter(kept)
 
 
 def biggest_drop(
@@ -118,9 +153,8 @@ def biggest_drop(
     legacy_drop_first: bool = False,
 ) -> DataFrame:
     """Negated largest fall so far, stored at the cycle it starts from."""
-    steps, kept = _transitions(curve, keys, chunk, legacy_drop_first)
-    out = running(steps, keys, F.floor(F.col("cycle") / chunk), ["cycle"], {"m": ("max", "drop")})
-    return out.filter(kept).select(*keys, "cycle", (F.lit(0.0) - F.col("m")).alias("value"))
+    out = _transitions(curve, keys, chunk, legacy_drop_first, "max", "drop")
+    return out.select(*keys, "cycle", (F.lit(0.0) - F.col("m")).alias("value"))
 
 
 def decreasing_cycles(
@@ -130,9 +164,8 @@ def decreasing_cycles(
     legacy_drop_first: bool = False,
 ) -> DataFrame:
     """Negated number of falls so far."""
-    steps, kept = _transitions(curve, keys, chunk, legacy_drop_first)
-    out = running(steps, keys, F.floor(F.col("cycle") / chunk), ["cycle"], {"m": ("sum", "fell")})
-    return out.filter(kept).select(*keys, "cycle", (-F.col("m")).alias("value"))
+    out = _transitions(curve, keys, chunk, legacy_drop_first, "sum", "fell")
+    return out.select(*keys, "cycle", (-F.col("m")).alias("value"))
 
 
 def ramp_cutoffs(
@@ -145,32 +178,40 @@ def ramp_cutoffs(
     border sees the next chunk's first rows, which are copied over.
     """
     keys = list(keys)
-    spots = framed(curve.filter(F.col("value").isNotNull()), keys, chunk=chunk).select(
-        *keys, "pos", "n", "value"
-    )
-    own = F.floor(F.col("pos") / chunk)
-    first = F.greatest(F.floor((F.col("pos") - (window - 1)) / chunk), F.lit(0))
-    halo = spots.withColumn("__part", F.explode(F.sequence(first, own)))
-    ahead = W.partitionBy(*keys, "__part").orderBy("pos").rowsBetween(0, window - 1)
-    means = halo.withColumn("__mean", F.avg("value").over(ahead)).filter(
-        F.col("__part") == F.floor(F.col("pos") / chunk)
-    )
-    overall = spots.groupBy(*keys).agg(F.avg("value").alias("__overall"))
-    above = (
-        (F.col("__mean") > F.col("__overall"))
-        & (F.col("pos") >= 1)
-        & (F.col("pos") <= F.col("n") - window)
-    )
-    return (
-        means.join(overall, keys)
-        .groupBy(*keys)
-        .agg(F.min(F.when(above, F.col("pos"))).alias("__start"), F.first("n").alias("__n"))
-        .select(
-            *keys,
-            F.coalesce(
-                F.col("__start").cast("double"), F.bround(F.col("__n") / F.lit(2.0), 0)
-            ).alias("cutoff"),
+
+    def starts(rows: DataFrame, chunk: int | None) -> DataFrame:
+        spots = framed(rows, keys, chunk=chunk).select(*keys, "pos", "n", "value")
+        if chunk is None:
+            whole = W.partitionBy(*keys)
+            means = spots.select(
+                "*",
+                F.avg("value").over(whole.orderBy("pos").rowsBetween(0, window - 1)).alias("__mean"),
+                F.avg("value").over(whole).alias("__overall"),
+            )
+        else:
+            own = F.floor(F.col("pos") / chunk)
+            first = F.greatest(F.floor((F.col("pos") - (window - 1)) / chunk), F.lit(0))
+            halo = spots.withColumn("__part", F.explode(F.sequence(first, own)))
+            ahead = W.partitionBy(*keys, "__part").orderBy("pos").rowsBetween(0, window - 1)
+            means = halo.withColumn("__mean", F.avg("value").over(ahead)).filter(
+                F.col("__part") == F.floor(F.col("pos") / chunk)
+            )
+            overall = spots.groupBy(*keys).agg(F.avg("value").alias("__overall"))
+            means = means.join(overall, keys)
+        above = (
+            (F.col("__mean") > F.col("__overall"))
+            & (F.col("pos") >= 1)
+            & (F.col("pos") <= F.col("n") - window)
+        )
+        return means.groupBy(*keys).agg(
+            F.min(F.when(above, F.col("pos"))).alias("__start"), F.first("n").alias("__n")
         )
+
+    return _each(curve.filter(F.col("value").isNotNull()), keys, chunk, starts).select(
+        *keys,
+        F.coalesce(
+            F.col("__start").cast("double"), F.bround(F.col("__n") / F.lit(2.0), 0)
+        ).alias("cutoff"),
     )
 
 
@@ -195,49 +236,57 @@ def change_point(curve: DataFrame, keys: Sequence[str] = RUN, chunk: int = CHUNK
     values at least and starts at a multiple of five.
     """
     keys = list(keys)
-    spots = framed(curve.filter(F.col("value").isNotNull()), keys, chunk=chunk).select(
-        *keys, "pos", "n", "value", (F.col("value") * F.col("value")).alias("square")
-    )
-    sums = running(
-        spots,
-        keys,
-        F.floor(F.col("pos") / chunk),
-        ["pos"],
-        {"s": ("sum", "value"), "q": ("sum", "square")},
-    )
-    totals = spots.groupBy(*keys).agg(
-        F.sum("value").alias("__s"), F.sum("square").alias("__q")
-    )
-    left = F.col("pos") + 1
-    right = F.col("n") - left
-    error = (
-        F.col("q")
-        - F.col("s") * F.col("s") / left
-        + (F.col("__q") - F.col("q"))
-        - (F.col("__s") - F.col("s")) * (F.col("__s") - F.col("s")) / right
-    )
-    fits = (left >= 2) & (right >= 2) & (left % 5 == 0)
-    return (
-        sums.filter(fits)
-        .join(totals, keys)
-        .select(*keys, left.alias("split"), error.alias("error"))
-        .groupBy(*keys)
-        .agg(F.min_by("split", F.struct("error", "split")).alias("cutoff"))
-    )
+
+    def splits(rows: DataFrame, chunk: int | None) -> DataFrame:
+        spots = framed(rows, keys, chunk=chunk).select(
+            *keys, "pos", "n", "value", (F.col("value") * F.col("value")).alias("square")
+        )
+        sums = running(
+            spots,
+            keys,
+            _slice("pos", chunk),
+            ["pos"],
+            {"s": ("sum", "value"), "q": ("sum", "square")},
+        )
+        if chunk is None:
+            whole = W.partitionBy(*keys)
+            sums = sums.select(
+                "*", F.sum("value").over(whole).alias("__s"), F.sum("square").over(whole).alias("__q")
+            )
+        else:
+            totals = spots.groupBy(*keys).agg(
+                F.sum("value").alias("__s"), F.sum("square").alias("__q")
+            )
+            sums = sums.join(totals, keys)
+        left = F.col("pos") + 1
+        right = F.col("n") - left
+        error = (
+            F.col("q")
+            - F.col("s") * F.col("s") / left
+            + (F.col("__q") - F.col("q"))
+            - (F.col("__s") - F.col("s")) * (F.col("__s") - F.col("s")) / right
+        )
+        fits = (left >= 2) & (right >= 2) & (left % 5 == 0)
+        return (
+            sums.filter(fits)
+            .select(*keys, left.alias("split"), error.alias("error"))
+            .groupBy(*keys)
+            .agg(F.min_by("split", F.struct("error", "split")).alias("cutoff"))
+        )
+
+    return _each(curve.filter(F.col("value").isNotNull()), keys, chunk, splits)
 
 
 def trapezoid(curve: DataFrame, keys: Sequence[str] = RUN, chunk: int = CHUNK) -> DataFrame:
     """Trapezoid area, and the same over the area of a constant 1."""
-    steps = framed(curve, keys, chunk=chunk)
-    return (
-        steps.groupBy(*keys)
-        .agg(
-            F.sum(F.when(F.col("ix") > 0, (F.col("value") + F.col("prev")) / 2)).alias("auc"),
-            F.max("width").alias("__n"),
-        )
-        .withColumn("normalised_auc", F.try_divide(F.col("auc"), F.col("__n") - 1))
-        .drop("__n")
-    )
+
+    def areas(rows: DataFrame, chunk: int | None) -> DataFrame:
+        area = F.sum(F.when(F.col("ix") > 0, (F.col("value") + F.col("prev")) / 2))
+        steps = framed(rows, keys, chunk=chunk).groupBy(*keys)
+        return steps.agg(area.alias("auc"), F.max("width").alias("__n"))
+
+    out = _each(curve, keys, chunk, areas)
+    return out.withColumn("normalised_auc", F.try_divide(F.col("auc"), F.col("__n") - 1)).drop("__n")
 
 
 def eligible_metrics(metrics: DataFrame, family: str = "curve") -> DataFrame:
@@ -296,16 +345,20 @@ def curve_aggregates(
     curve: DataFrame, cutoffs: DataFrame, keys: Sequence[str] = RUN, chunk: int = CHUNK
 ) -> DataFrame:
     """Full, first 5, last 5, final, ramp-up and plateau means from one framed pass."""
-    spots = framed(curve.filter("cycle > 0"), keys, chunk=chunk).join(
-        cutoffs.select(*keys, "cutoff"), list(keys), "left"
-    )
-    cut = F.coalesce(F.col("cutoff").cast("long"), F.floor((F.col("width") + 1) / 2))
-    v = F.col("value")
-    return spots.filter(v.isNotNull()).groupBy(*keys).agg(
-        F.avg(v).alias("full_auc"),
-        F.avg(F.when(F.col("pos") < 5, v)).alias("first_5"),
-        F.avg(F.when(F.col("pos") >= F.col("n") - 5, v)).alias("last_5"),
-        F.max_by("value", "cycle").alias("final_value"),
-        F.avg(F.when(F.col("pos") < cut, v)).alias("ramp_up_auc"),
-        F.avg(F.when(F.col("pos") >= cut, v)).alias("plateau_auc"),
-    )
+
+    def means(rows: DataFrame, chunk: int | None) -> DataFrame:
+        spots = framed(rows, keys, chunk=chunk).join(
+            cutoffs.select(*keys, "cutoff"), list(keys), "left"
+        )
+        cut = F.coalesce(F.col("cutoff").cast("long"), F.floor((F.col("width") + 1) / 2))
+        v = F.col("value")
+        return spots.filter(v.isNotNull()).groupBy(*keys).agg(
+            F.avg(v).alias("full_auc"),
+            F.avg(F.when(F.col("pos") < 5, v)).alias("first_5"),
+            F.avg(F.when(F.col("pos") >= F.col("n") - 5, v)).alias("last_5"),
+            F.max_by("value", "cycle").alias("final_value"),
+            F.avg(F.when(F.col("pos") < cut, v)).alias("ramp_up_auc"),
+            F.avg(F.when(F.col("pos") >= cut, v)).alias("plateau_auc"),
+        )
+
+    return _each(curve.filter("cycle > 0"), keys, chunk, means)

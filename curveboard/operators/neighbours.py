@@ -1,8 +1,7 @@
-"""Exact pairwise distances and k nearest neighbours by cosine distance.
+"""Pairwise distances and k nearest neighbours by cosine distance.
 
-A dataset is cut into blocks of bounded size by a hash of the sample id. Every task
-compares one query block with one candidate block by a matrix product and hands on
-only the k best per query; nothing is ever n x n.
+Neighbours come from the cell index of ``cells``: tasks compare blocks of near rows by a matrix
+product, hand on only the k best per query, and skip blocks that cannot hold any of them.
 """
 
 from __future__ import annotations
@@ -14,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from curveboard.functions.vectors import cosine_distance, with_unit
+from curveboard.operators import cells
 
 BLOCK_ROWS = 2048
 
@@ -63,34 +62,17 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"c_{c}") for c in df.columns])
 
 
-def _best_of_block(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-    out = {"__g": [], "query_id": [], "neighbour_id": [], "distance": []}
-    if len(queries) and len(candidates):
-        left = np.stack(queries["unit"].to_numpy())
-        right = np.stack(candidates["c_unit"].to_numpy())
-        distance = 1.0 - left @ right.T
-        q_ids = queries["sample_id"].to_numpy()
-        c_ids = candidates["c_sample_id"].to_numpy()
-        q_label = queries["label"].to_numpy()
-        c_label = candidates["c_label"].to_numpy()
-        scope = queries["scope"].iloc[0]
-        barred = q_ids[:, None] == c_ids[None, :]
-        if scope == "other":
-            barred |= q_label[:, None] == c_label[None, :]
-        distance[barred] = np.inf
-        k = min(int(queries["k"].max()), len(candidates))
-        if k > 0:
-            order = np.lexsort((np.broadcast_to(c_ids, distance.shape), distance), axis=1)[:, :k]
-            best = np.take_along_axis(distance, order, axis=1)
-            keep = np.isfinite(best)
-            rows = np.nonzero(keep)[0]
-            out = {
-                "__g": np.full(len(rows), key[0]),
-                "query_id": q_ids[rows],
-                "neighbour_id": c_ids[order[keep]],
-                "distance": best[keep],
-            }
-    return pd.DataFrame(out)
+def _units(samples: DataFrame, k: Column | int | None, scope: str, key: str) -> tuple[DataFrame, list[str]]:
+    """(groups, sample_id, label, unit, k) of samples with features, and the groups to search in."""
+    sizes = samples.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    wanted = neighbour_count(F.col("__n")) if k is None else (F.lit(k) if isinstance(k, int) else k)
+    ks = sizes.select(key, wanted.alias("k"))
+    # labels only matter where they bar or bind; a missing one is a label like any other
+    label = F.lit("") if scope == "all" else F.coalesce(F.col("label").cast("string"), F.lit("\0"))
+    rows = samples.filter("features is not null").select(key, "sample_id", label.alias("label"), "features")
+    units = with_unit(rows).drop("features").join(ks, key)
+    # neighbours of the own label never leave their label's cells
+    return units, [key, "label"] if scope == "same" else [key]
 
 
 def knn(
@@ -98,59 +80,43 @@ def knn(
     k: Column | int | None = None,
     scope: str = "all",
     key: str = "dataset",
-    block_rows: int = BLOCK_ROWS,
+    cell_rows: int | None = None,
 ) -> DataFrame:
-    """The k nearest other samples of each sample inside its dataset.
+    """The k nearest other samples of each sample inside its dataset, exactly.
 
     ``scope``: ``all``, ``same`` (own label only) or ``other`` (other labels only).
     Ties go to the smaller id. ``k`` defaults to half the square root of the size.
-    Output: key, query_id, neighbour_id, distance, rank.
+    Blocks that cannot hold any of a block's k best, by the triangle inequality, are not compared.
+    ``cell_rows`` sets the rows of a cell. Output: key, query_id, neighbour_id, distance, rank.
     """
-    # neighbours of the own label never leave their label's blocks
-    groups = [key, "label"] if scope == "same" else [key]
-    sizes = samples.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    wanted = neighbour_count(F.col("__n")) if k is None else (F.lit(k) if isinstance(k, int) else k)
-    ks = sizes.select(key, wanted.alias("k"))
-    blocks = samples.groupBy(*groups).agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__blocks")
-    )
-    units = (
-        with_unit(samples.select(key, "sample_id", "features", "label"))
-        .drop("features")
-        .join(ks, key)
-        .join(blocks, groups)
-        .withColumn("__block", F.pmod(F.xxhash64("sample_id"), F.col("__blocks")).cast("int"))
-        .withColumn("scope", F.lit(scope))
-    )
-    every = F.sequence(F.lit(0), F.col("__blocks") - 1)
-    cols = [key, "sample_id", "label", "unit", "k", "scope"]
-    queries = units.select(*cols, F.col("__block").alias("__q"), F.explode(every).alias("__c"))
-    candidates = _renamed(
-        units.select(*cols, F.explode(every).alias("__q"), F.col("__block").alias("__c"))
-    )
-    id_type = samples.schema["sample_id"].dataType
-    out = T.StructType(
-        [
-            T.StructField("__g", samples.schema[key].dataType),
-            T.StructField("query_id", id_type),
-            T.StructField("neighbour_id", id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    cell = [*groups, "__q", "__c"]
-    partial = (
-        queries.groupBy(*cell)
-        .cogroup(candidates.groupBy(*[f"c_{c}" for c in cell]))
-        .applyInPandas(_best_of_block, out)
-        .withColumnRenamed("__g", key)
-    )
-    merged = W.partitionBy(key, "query_id").orderBy("distance", "neighbour_id")
-    return (
-        partial.withColumn("rank", F.row_number().over(merged))
-        .join(ks, key)
-        .filter("rank <= k")
-        .drop("k")
-    )
+    units, groups = _units(samples, k, scope, key)
+    found = cells.neighbours(units, groups, scope, None, None if cell_rows is None else F.lit(cell_rows))
+    return found.select(key, "query_id", "neighbour_id", "distance", "rank")
+
+
+#: Standard deviations by which the approximate search expects an offset to point towards a query.
+SLACK = 2.0
+
+
+def approximate_knn(
+    samples: DataFrame,
+    k: Column | int | None = None,
+    scope: str = "all",
+    key: str = "dataset",
+    slack: float = SLACK,
+    cell_rows: int | None = None,
+) -> DataFrame:
+    """The k nearest other samples found by probing cells; all k of them, some perhaps not the nearest.
+
+    The own and the nearest blocks are compared first. Others are probed where a row of theirs can be
+    among the k best so far, if its offset from its centre points towards the query by at most
+    ``slack`` standard deviations of a random direction. With ``slack`` at the square root of the
+    dimensions the search is exact. Samples that still lack k neighbours meet every block.
+    Output as ``knn``.
+    """
+    units, groups = _units(samples, k, scope, key)
+    found = cells.neighbours(units, groups, scope, slack, None if cell_rows is None else F.lit(cell_rows))
+    return found.select(key, "query_id", "neighbour_id", "distance", "rank")
 
 
 def _block_minimum(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
@@ -199,23 +165,3 @@ def nearest(queries: DataFrame, candidates: DataFrame, block_rows: int = BLOCK_R
         .applyInPandas(_block_minimum, schema)
     )
     return parts.groupBy("sample_id").agg(F.min("distance").alias("distance"))
-
-
-def approximate_knn(
-    samples: DataFrame, max_distance: float, bucket_length: float = 0.5, tables: int = 4
-) -> DataFrame:
-    """Candidate neighbours by locality-sensitive hashing of unit vectors (approximate)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    units = with_unit(samples).withColumn("__v", array_to_vector("unit")).select("sample_id", "__v")
-    model = BucketedRandomProjectionLSH(
-        inputCol="__v", outputCol="__h", bucketLength=bucket_length, numHashTables=tables, seed=7
-    ).fit(units)
-    # on unit vectors the squared Euclidean distance is twice the cosine distance
-    joined = model.approxSimilarityJoin(units, units, float(np.sqrt(2 * max_distance)), "__d")
-    return joined.select(
-        F.col("datasetA.sample_id").alias("query_id"),
-        F.col("datasetB.sample_id").alias("neighbour_id"),
-        (F.col("__d") * F.col("__d") / 2).alias("distance"),
-    ).filter("query_id <> neighbour_id")

@@ -279,7 +279,7 @@ def _(t: Tables):
     ),
 )
 def _(t: Tables):
-    return nb.knn(t.samples, block_rows=256)
+    return nb.knn(t.samples)
 
 
 @query("E12_approximate_knn")

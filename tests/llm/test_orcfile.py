@@ -1,10 +1,13 @@
 import glob
+import random
 import zlib
 from array import array
 
+import numpy as np
 import pyarrow.orc as orc
+import pyarrow.parquet as pq
 import pytest
-from conftest import documents, prose
+from conftest import SMALL, documents, prose
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -41,13 +44,32 @@ def test_ids_equal_the_library(spark, odd_documents, tmp_path):
     assert sorted(tuple(r) for r in out.collect()) == expected
 
 
+def word_ids(text):
+    return np.frombuffer(orcfile.WordEncoder(PATH).encode([text.encode()])[0], np.uint32).tolist()
+
+
 def test_slices_of_long_texts(monkeypatch):
     text = prose(4, 3000) + " " + "y" * 500 + "\t" + prose(5, 200)
-    plain = list(orcfile.WordEncoder(PATH).encode(text.encode()))
+    plain = word_ids(text)
     assert plain == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
     monkeypatch.setattr(orcfile, "SLICE_BYTES", 64)
     monkeypatch.setattr(orcfile, "WORDS", 100)
-    assert list(orcfile.WordEncoder(PATH).encode(text.encode())) == plain
+    assert word_ids(text) == plain
+
+
+def test_both_encoders_agree():
+    """Every character of the fast set, random words over it, and all words of a table."""
+    rng = random.Random(8)
+    signs = [chr(c) for c in range(0x21, 0x180) if orcfile.FAST.fullmatch(chr(c))]
+    common = "aeinorst'"
+    words = [x for c in signs for x in (c, f"a{c}", f"{c}b", f"{c}'s", f"1{c}2", f"{c}{c}", f"{c}\u0301")]
+    words += ["".join(rng.choice(signs if rng.random() < 0.3 else common) for _ in range(rng.randint(1, 14))) for _ in range(40_000)]
+    table = pq.read_table(SMALL.replace("0.001", "0.01") + "/documents.parquet", columns=["text"])["text"]
+    words += sorted({w for t in table.to_pylist() for w in (t or "").split()})
+    encoder = orcfile.WordEncoder(PATH)
+    fast = encoder.coded([w.encode() for w in dict.fromkeys(words)])
+    slow = encoder.slow([w.encode() for w in words])
+    assert {w: v for w, v in fast.items() if v != slow[w]} == {}
 
 
 def test_repeated_and_missing_ids_are_gapless(spark, tmp_path):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from curveboard.functions.lists import list_mean, list_median, parse_list
 from curveboard.functions.vectors import with_unit
+from curveboard.functions import slices
 from curveboard.operators import categorize, curves, grid, leaderboard, quality, selections, similarity
 from curveboard.schema import DIMS
 
@@ -26,7 +27,14 @@ def near(value):
     return pytest.approx(value, abs=1e-6)
 
 
-@pytest.mark.parametrize("chunk", [2, 3, 1024])
+@pytest.fixture(params=[2, 3, 1024])
+def chunk(request, monkeypatch):
+    """Every curve cut into small chunks, or none."""
+    if request.param < 1024:
+        monkeypatch.setattr(slices, "HOT_ROWS", 0)
+    return request.param
+
+
 def test_curve_values(spark, chunk):
     c = curve(spark)
     assert one(curves.full_mean(c), "full_auc") == near(0.6)
@@ -46,7 +54,6 @@ def by_cycle(df):
     return [near(r["value"]) for r in df.orderBy("cycle").collect()]
 
 
-@pytest.mark.parametrize("chunk", [2, 3, 1024])
 def test_curve_sequences(spark, chunk):
     c = curve(spark)
     assert by_cycle(curves.time_lag(c, chunk=chunk)) == [0.3, -0.1, 0.2, 0, 0.2, -0.1]

@@ -20,7 +20,10 @@ def hot(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_position(hot):
+@pytest.mark.parametrize("large", [0, 100, 1 << 20])
+def test_position(hot, monkeypatch, large):
+    """All groups sliced, the hot one, or none."""
+    monkeypatch.setattr(slices, "HOT_ROWS", large)
     pdf, df = hot
     got = slices.position(df, ["k"], F.floor("v"), ["v", "id"]).toPandas().set_index("id")["pos"]
     want = pdf.sort_values(["k", "v", "id"]).groupby("k").cumcount()
@@ -139,7 +142,7 @@ def test_knn_blocks_against_brute_force(spark, scope):
         [(0, i, points[i].tolist(), int(labels[i])) for i in range(60)],
         "dataset int, sample_id long, features array<double>, label int",
     )
-    got = neighbours.knn(df, k=4, scope=scope, block_rows=9).toPandas()
+    got = neighbours.knn(df, k=4, scope=scope, cell_rows=9).toPandas()
     unit = points / np.linalg.norm(points, axis=1)[:, None]
     distance = 1 - unit @ unit.T
     same = labels[:, None] == labels
@@ -148,3 +151,35 @@ def test_knn_blocks_against_brute_force(spark, scope):
     for i in range(60):
         mine = got[got["query_id"] == i].sort_values("rank")
         assert mine["neighbour_id"].tolist() == np.argsort(distance[i])[:4].tolist()
+
+
+def test_curves_by_size_agree(hot, monkeypatch):
+    """A hot curve in chunks and the others as windows give what windows give for all."""
+    _, df = hot
+    curve = df.select(F.col("k").alias("run_id"), F.col("id").alias("cycle"), F.col("v").alias("value"))
+    each = {
+        "drop": lambda: curves.biggest_drop(curve, chunk=64),
+        "lag": lambda: curves.time_lag(curve, chunk=64),
+        "ramp": lambda: curves.ramp_cutoffs(curve, chunk=64),
+        "change": lambda: curves.change_point(curve, chunk=64),
+        "stable": lambda: curves.learning_stability(curve, chunk=64),
+        "area": lambda: curves.trapezoid(curve, chunk=64),
+    }
+    for name, run in each.items():
+        plain = sorted(tuple(r) for r in run().collect())
+        with monkeypatch.context() as m:
+            m.setattr(slices, "HOT_ROWS", 100)
+            sliced = sorted(tuple(r) for r in run().collect())
+        assert len(plain) == len(sliced)
+        for a, b in zip(plain, sliced):
+            assert a == pytest.approx(b, abs=1e-9, nan_ok=True), name
+
+
+def test_ordinary_groups_take_one_exchange(spark):
+    """Without large groups only counts, rows and cutoffs are shuffled; the sliced branch is not run."""
+    rows = [(i % 50, i // 50, float(i * 7 % 13)) for i in range(1000)]
+    curve = spark.createDataFrame(rows, "run_id long, cycle long, value double")
+    df = curves.curve_aggregates(curve, spark.createDataFrame([(1, 2.0)], "run_id long, cutoff double"))
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") <= 3
