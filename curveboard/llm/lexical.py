@@ -22,7 +22,7 @@ from curveboard.llm.store import stored
 #: Items that share one pass over the documents, and the bytes of their texts.
 ITEMS, ITEM_BYTES = 2000, 32 << 20
 #: A tree takes up to so many documents or entries of their vectors.
-TREE_ROWS, TREE_ENTRIES = 1 << 16, 4 << 20
+TREE_ROWS, TREE_ENTRIES = 1 << 15, 2 << 20
 #: Subtrees of up to so many documents are scored at once.
 LEAF = 128
 SLICE_BYTES = 1 << 20

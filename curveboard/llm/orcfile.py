@@ -8,11 +8,13 @@ filter on the id skips files, stripes and row groups by these alone.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterable
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +23,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curveboard.llm.blocks import column, mapped, small_batches, text_blocks
+from curveboard.llm.packing import byte_symbols
 from curveboard.session import shared_folder
 
 #: Bytes of a text that are split into words at once.
 SLICE_BYTES = 1 << 20
-#: Words of up to so many bytes are remembered, and so many of them; all are encoded alike.
-WORD_BYTES, WORDS = 48, 1 << 19
+#: Words that are remembered from block to block; all are encoded alike.
+WORDS = 1 << 19
+#: Stands for the end of a word in lower-case text.
+END = "A"
+#: Words of printable ASCII and of Latin letters that are one character in every form, and their parts.
+FAST = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]+")
+PARTS = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[^ -@\[-`{-~]+|[0-9]|[!-/:-@\[-`{-~]+")
 #: Options of the files: stripes that several tasks can share, small row groups, a filter on the id.
 ORC = {
     "compression": "zstd",
@@ -43,24 +51,61 @@ class WordEncoder:
     """Ids of a tokenizer that drops white space, word by word.
 
     The file's pattern and its special tokens never cross white space, so a text has the ids of its
-    words in turn. Words between ASCII white space are encoded by the library once and remembered.
+    words in turn. Words between ASCII white space are encoded once and remembered. Words of printable
+    ASCII and Latin letters go to the faster of two installed encoders: after lower-casing, no upper-case
+    letter is left, so one can stand for the end of a word. All other words go to the file's library.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
+
+        self.path, self.library = path, None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["content"] for t in model["added_tokens"]}
+        end, back = model["model"]["end_of_word_suffix"], byte_symbols()
+        ranks = {}
+        for piece, i in model["model"]["vocab"].items():
+            if piece not in special:
+                plain = piece.removesuffix(end) if end else piece
+                ranks[bytes(back[c] for c in plain) + (END.encode() if plain != piece else b"")] = i
+        self.fast = tiktoken.Encoding("file", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
+        self.space = ranks[f" {END}".encode()]
+        self.known: dict[bytes, bytes] = {}
+
+    def slow(self, words: list[bytes]) -> dict[bytes, bytes]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        found = {}
+        for i in range(0, len(words), 1000):
+            own = words[i : i + 1000]
+            coded = self.library.encode_batch([w.decode() for w in own], add_special_tokens=False)
+            found.update((w, array("I", c.ids).tobytes()) for w, c in zip(own, coded, strict=True))
+        return found
 
-        self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, list[int]] = {}
+    def coded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. The fast ones are encoded together: a space with an end parts them again."""
+        texts = [w.decode() for w in words]
+        plain = [FAST.fullmatch(t) is not None and "<|" not in t for t in texts]
+        fast = list(compress(words, plain))
+        found = self.slow([w for w, ok in zip(words, plain, strict=True) if not ok])
+        if fast:
+            parts = PARTS.findall(" ".join(compress(texts, plain)).lower())
+            ids = np.array(self.fast.encode_ordinary(END.join([*parts, ""])), np.uint32)
+            cuts = np.flatnonzero(ids == self.space)
+            data, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            found.update((w, data[x:y]) for w, x, y in zip(fast, starts, ends, strict=True))
+        return found
 
-    def learn(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Ids of words that are not known yet; the short ones are kept."""
-        new = [w for w in words if w not in self.known]
-        coded = self.library.encode_batch([w.decode() for w in new], add_special_tokens=False) if new else []
-        found = {w: c.ids for w, c in zip(new, coded, strict=True)}
-        if len(self.known) + len(found) > WORDS:
+    def learn(self, words: list[list[bytes]]) -> None:
+        """Make all words known; what is not needed any more goes first where the table is full."""
+        if len(self.known) > WORDS:
             self.known.clear()
-        self.known.update((w, ids) for w, ids in found.items() if len(w) <= WORD_BYTES)
-        return found
+        missing = set().union(*words).difference(self.known)
+        if missing:
+            self.known.update(self.coded(list(missing)))
 
     def slices(self, text: bytes) -> Iterable[list[bytes]]:
         """Words of the text, some of them at a time."""
@@ -77,20 +122,17 @@ class WordEncoder:
             yield text[at:end].split()
             at = end
 
-    def encode(self, text: bytes) -> array:
-        ids = array("I")
-        for words in self.slices(text):
-            before = len(ids)
-            try:
-                ids.extend(chain.from_iterable(map(self.known.__getitem__, words)))
-            except KeyError:
-                # ids that came before the unknown word are taken back
-                del ids[before:]
-                distinct = set(words)
-                own = {w: self.known[w] for w in distinct if w in self.known}
-                own |= self.learn(distinct)
-                ids.extend(chain.from_iterable(map(own.__getitem__, words)))
-        return ids
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, 32 bits each."""
+        if len(texts) == 1:
+            out = []
+            for words in self.slices(texts[0]):
+                self.learn([words])
+                out.append(b"".join(map(self.known.__getitem__, words)))
+            return [b"".join(out)]
+        words = [text.split() for text in texts]
+        self.learn(words)
+        return [b"".join(map(self.known.__getitem__, own)) for own in words]
 
 
 def encoded(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
@@ -100,21 +142,17 @@ def encoded(docs: DataFrame, path: str, end: int = 1) -> DataFrame:
     """
 
     def run(batches):
-        part, start, encoder = TaskContext.get().partitionId(), 0, None
+        part, start, encoder, last_id = TaskContext.get().partitionId(), 0, None, array("I", [end]).tobytes()
         for batch in batches:
             encoder = encoder or WordEncoder(path)
             doc_ids = column(batch, "doc_id")
             for first, last, data, offs in text_blocks(column(batch, "text")):
-                raw, rows, sizes = data.tobytes(), [], []
-                edges = offs.tolist()
-                for a, b in zip(edges, edges[1:], strict=False):
-                    ids = encoder.encode(raw[a:b])
-                    ids.append(end)
-                    rows.append(ids)
-                    sizes.append(len(ids))
-                lengths = np.array(sizes, np.int64)
+                raw, edges = data.tobytes(), offs.tolist()
+                rows = encoder.encode([raw[a:b] for a, b in zip(edges, edges[1:], strict=False)])
+                rows = [ids + last_id for ids in rows]
+                lengths = np.array([len(ids) // 4 for ids in rows], np.int64)
                 ends = np.cumsum(lengths)
-                flat = np.frombuffer(b"".join(ids.tobytes() for ids in rows), np.int32)
+                flat = np.frombuffer(b"".join(rows), np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         doc_ids.slice(first, last - first),
