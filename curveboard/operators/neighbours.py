@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from curveboard.functions.vectors import cosine_distance, with_unit
 from curveboard.operators import cells
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS, FEW_BLOCKS = 2048, 16
 
 
 def neighbour_count(n: Column) -> Column:
@@ -62,11 +63,92 @@ def _renamed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(f"c_{c}") for c in df.columns])
 
 
+def _best_of_block(key: tuple, queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+    out = {"__g": [], "query_id": [], "neighbour_id": [], "distance": []}
+    if len(queries) and len(candidates):
+        left = np.stack(queries["unit"].to_numpy())
+        right = np.stack(candidates["c_unit"].to_numpy())
+        distance = 1.0 - left @ right.T
+        q_ids = queries["sample_id"].to_numpy()
+        c_ids = candidates["c_sample_id"].to_numpy()
+        q_label = queries["label"].to_numpy()
+        c_label = candidates["c_label"].to_numpy()
+        scope = queries["scope"].iloc[0]
+        barred = q_ids[:, None] == c_ids[None, :]
+        if scope == "other":
+            barred |= q_label[:, None] == c_label[None, :]
+        distance[barred] = np.inf
+        k = min(int(queries["k"].max()), len(candidates))
+        if k > 0:
+            order = np.lexsort((np.broadcast_to(c_ids, distance.shape), distance), axis=1)[:, :k]
+            best = np.take_along_axis(distance, order, axis=1)
+            keep = np.isfinite(best)
+            rows = np.nonzero(keep)[0]
+            out = {
+                "__g": np.full(len(rows), key[0]),
+                "query_id": q_ids[rows],
+                "neighbour_id": c_ids[order[keep]],
+                "distance": best[keep],
+            }
+    return pd.DataFrame(out)
+
+
+def _wanted(k: Column | int | None) -> Column:
+    return neighbour_count(F.col("__n")) if k is None else (F.lit(k) if isinstance(k, int) else k)
+
+
+def _block_knn(samples: DataFrame, wanted: Column, scope: str, key: str, block_rows: int) -> DataFrame:
+    """Every block of a dataset compared with every other: one job, for datasets of a few blocks."""
+    # neighbours of the own label never leave their label's blocks
+    groups = [key, "label"] if scope == "same" else [key]
+    sizes = samples.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    ks = sizes.select(key, wanted.alias("k"))
+    blocks = samples.groupBy(*groups).agg(
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__blocks")
+    )
+    units = (
+        with_unit(samples.select(key, "sample_id", "features", "label"))
+        .drop("features")
+        .join(ks, key)
+        .join(blocks, groups)
+        .withColumn("__block", F.pmod(F.xxhash64("sample_id"), F.col("__blocks")).cast("int"))
+        .withColumn("scope", F.lit(scope))
+    )
+    every = F.sequence(F.lit(0), F.col("__blocks") - 1)
+    cols = [key, "sample_id", "label", "unit", "k", "scope"]
+    queries = units.select(*cols, F.col("__block").alias("__q"), F.explode(every).alias("__c"))
+    candidates = _renamed(
+        units.select(*cols, F.explode(every).alias("__q"), F.col("__block").alias("__c"))
+    )
+    id_type = samples.schema["sample_id"].dataType
+    out = T.StructType(
+        [
+            T.StructField("__g", samples.schema[key].dataType),
+            T.StructField("query_id", id_type),
+            T.StructField("neighbour_id", id_type),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    cell = [*groups, "__q", "__c"]
+    partial = (
+        queries.groupBy(*cell)
+        .cogroup(candidates.groupBy(*[f"c_{c}" for c in cell]))
+        .applyInPandas(_best_of_block, out)
+        .withColumnRenamed("__g", key)
+    )
+    merged = W.partitionBy(key, "query_id").orderBy("distance", "neighbour_id")
+    return (
+        partial.withColumn("rank", F.row_number().over(merged))
+        .join(ks, key)
+        .filter("rank <= k")
+        .drop("k")
+    )
+
+
 def _units(samples: DataFrame, k: Column | int | None, scope: str, key: str) -> tuple[DataFrame, list[str]]:
     """(groups, sample_id, label, unit, k) of samples with features, and the groups to search in."""
     sizes = samples.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    wanted = neighbour_count(F.col("__n")) if k is None else (F.lit(k) if isinstance(k, int) else k)
-    ks = sizes.select(key, wanted.alias("k"))
+    ks = sizes.select(key, _wanted(k).alias("k"))
     # labels only matter where they bar or bind; a missing one is a label like any other
     label = F.lit("") if scope == "all" else F.coalesce(F.col("label").cast("string"), F.lit("\0"))
     rows = samples.filter("features is not null").select(key, "sample_id", label.alias("label"), "features")
@@ -87,8 +169,17 @@ def knn(
     ``scope``: ``all``, ``same`` (own label only) or ``other`` (other labels only).
     Ties go to the smaller id. ``k`` defaults to half the square root of the size.
     Blocks that cannot hold any of a block's k best, by the triangle inequality, are not compared.
-    ``cell_rows`` sets the rows of a cell. Output: key, query_id, neighbour_id, distance, rank.
+    Where all datasets have at most ``FEW_BLOCKS`` blocks, comparing all pairs of them takes less time
+    than the index. ``cell_rows`` sets the rows of a cell and asks for the index at any size.
+    Output: key, query_id, neighbour_id, distance, rank.
     """
+    samples = samples.filter("features is not null")
+    if cell_rows is None:
+        most = samples.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+        if most <= FEW_BLOCKS * BLOCK_ROWS:
+            # no fewer blocks than keep all cores busy
+            rows = max(256, min(BLOCK_ROWS, most // 4))
+            return _block_knn(samples, _wanted(k), scope, key, rows)
     units, groups = _units(samples, k, scope, key)
     found = cells.neighbours(units, groups, scope, None, None if cell_rows is None else F.lit(cell_rows))
     return found.select(key, "query_id", "neighbour_id", "distance", "rank")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curveboard.functions.slices import position
+from curveboard.operators import incidence
 from curveboard.operators.leaderboard import (
     QUARTILES,
     complete_cells,
@@ -51,24 +52,29 @@ def scenario_board(
 ) -> DataFrame:
     """Total vector per scenario under robust scaling.
 
-    ``picks``: by + keys, the settings each scenario picked. Scores are first reduced to sum,
-    count, minimum and maximum per (keys, dataset, strategy); only these cells and the counts
-    behind the quartiles meet the scenarios, never the score rows.
+    ``picks``: by + keys, the settings each scenario picked. Scores are first reduced to cells per
+    (keys, dataset, strategy) and to counts per (keys, dataset, value); scenarios meet these as
+    rows of an incidence matrix (``incidence``), never the score rows.
     """
     by, keys = list(by), list(keys)
-    cell = list(dict.fromkeys([*keys, "dataset", "strategy"]))
-    base = scores.groupBy(*cell).agg(
+    if keys == ["dataset"]:
+        # every setting is a dataset of its own: cells and quartiles are the same in all scenarios
+        base = _cells(scores, ["dataset"])
+        grouped = picks.select(*by, *keys).join(base, keys)
+        spread = picked_percentiles(scores, picks, by, keys, QUARTILES)
+    else:
+        grouped, spread = incidence.boards(_cells(scores, keys), scores, picks, keys, by, QUARTILES)
+    cells = robust_scaled(complete_cells(grouped, by), spread, by)
+    return totals(interpolated(cells, interpolation, by), by)
+
+
+def _cells(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return scores.groupBy(*dict.fromkeys([*keys, "dataset", "strategy"])).agg(
         F.sum("value").alias("s"),
         F.count("value").alias("n"),
         F.min("value").alias("lo"),
         F.max("value").alias("hi"),
     )
-    grouped = picks.select(*by, *keys).join(base, keys).groupBy(*by, "dataset", "strategy").agg(
-        F.sum("s").alias("s"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    )
-    spread = picked_percentiles(scores, picks, by, keys, QUARTILES)
-    cells = robust_scaled(complete_cells(grouped, by), spread, by)
-    return totals(interpolated(cells, interpolation, by), by)
 
 
 def sample_values(
@@ -77,7 +83,7 @@ def sample_values(
     """k random values of one dimension per scenario: (scenario, k, dimension).
 
     ``scenarios``: scenario, k. Values come from the dimension's short list; a
-    scenario asking for more values than there are is left out.
+    scenario asking for more values than there are draws none.
     """
     listed = values.select(dimension).distinct().agg(
         F.sort_array(F.collect_set(dimension)).alias("v")
@@ -102,7 +108,9 @@ def value_scenarios(
 ) -> DataFrame:
     """Boards on k random values of a dimension (start points, datasets).
 
-    ``fixed`` restricts the scores first; a scenario with null k takes all of them.
+    ``fixed`` restricts the scores first; a scenario with null k takes all of them. A scenario
+    without a score, or one that asks for more values than there are, comes out once with null
+    strategy and total.
     """
     rows = scores if fixed is None else scores.filter(fixed)
     picks = sample_values(scenarios.filter("k is not null"), scores, dimension, seed).drop("k")
@@ -113,7 +121,9 @@ def value_scenarios(
         )
         picks = picks.unionByName(everything)
     boards = scenario_board(rows, picks, [dimension], ["scenario"])
-    return boards.join(scenarios, "scenario")
+    return scenarios.join(boards, "scenario", "left").select(
+        "scenario", "strategy", "total", *[c for c in scenarios.columns if c != "scenario"]
+    )
 
 
 def sample_groups(
@@ -333,7 +343,7 @@ def single_value_scenarios(
 
     ``targets``: scenario, target (parameter name), target_value. The budget favours
     small grids: its weight falls from 10 to 1 on a log scale over all grid sizes.
-    Scenarios without any score drop out.
+    A target without any score comes out once, with null grid size, strategy and total.
     """
     parameters = list(parameters)
     groups = cut_lineage(scores.select(*parameters).distinct())
@@ -357,7 +367,11 @@ def single_value_scenarios(
         test = F.when(F.col("target") == p, F.col(p).cast("string") == F.col("target_value"))
         hit = test if hit is None else F.coalesce(hit, test)
     picks = _match(groups, subsets, parameters, parameters[0]).filter(hit)
-    return scenario_board(scores, picks, parameters, ["scenario", "target", "target_value", "grid_size"])
+    name = ["scenario", "target", "target_value"]
+    boards = scenario_board(scores, picks, parameters, [*name, "grid_size"])
+    whole = F.concat_ws(":", *name).alias("scenario")
+    asked = targets.select(whole, "target", "target_value").distinct()
+    return asked.join(boards, name, "left").select(*name, "grid_size", "strategy", "total")
 
 
 def split_label(labels: DataFrame, column: str = "label") -> DataFrame:

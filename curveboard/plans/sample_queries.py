@@ -284,7 +284,30 @@ def _(t: Tables):
 
 @query("E12_approximate_knn")
 def _(t: Tables):
-    return nb.approximate_knn(t.samples, max_distance=0.6)
+    return nb.approximate_knn(t.samples)
+
+
+@query(
+    "E12_approximate_facts",
+    sql(
+        """select 0 as dataset, sample_id, (select k from k) as found, true as distances,
+  true as often_right from samples""",
+        "samples",
+        extra=NEAR,
+    ),
+)
+def _(t: Tables):
+    """k neighbours for every sample at their true distances, and 0.9 of the true ones over all."""
+    near = nb.approximate_knn(t.samples)
+    pairs = near.select("dataset", F.col("query_id").alias("a"), F.col("neighbour_id").alias("b"), F.col("distance").alias("given"))
+    true = nb.pair_distances(pairs, t.samples, ["dataset"])
+    exact = nb.knn(t.samples).select("dataset", "query_id", "neighbour_id", F.lit(1).alias("hit"))
+    hits = near.join(exact, ["dataset", "query_id", "neighbour_id"], "left")
+    share = hits.agg((F.count("hit") / F.count(F.lit(1))).alias("share")).select(F.col("share") >= 0.9)
+    return true.groupBy("dataset", F.col("a").alias("sample_id")).agg(
+        F.count(F.lit(1)).alias("found"),
+        (F.max(F.abs(F.col("given") - F.col("distance"))) < 1e-9).alias("distances"),
+    ).withColumn("often_right", share.scalar())
 
 
 # --- categorisers -----------------------------------------------------------
@@ -638,7 +661,7 @@ STARTS = """numbered as (
   from splits where part = 'train'),
 starts as (select s.dataset, s.bucket, p.start_point, s.label, s.sample_id
   from (select dataset, bucket, label, any_value(n) as n from numbered group by 1, 2, 3) g
-  cross join (select cast(unnest(range(100)) as integer) as start_point) p
+  cross join (select cast(unnest(range(10000)) as integer) as start_point) p
   join numbered s on s.dataset = g.dataset and s.bucket = g.bucket and s.label = g.label
     and s.at_ = ('0x' || (md5('0|' || g.dataset || '|' || g.bucket || '|' || g.label || '|'
       || p.start_point))[1:12])::bigint % g.n)"""
@@ -653,7 +676,7 @@ starts as (select s.dataset, s.bucket, p.start_point, s.label, s.sample_id
     ),
 )
 def _(t: Tables):
-    return prep.start_sets(prep.stratified_splits(t.samples), sets=100)
+    return prep.start_sets(prep.stratified_splits(t.samples))
 
 
 @query(
@@ -721,7 +744,7 @@ from splits s where bucket = 2""",
 )
 def _(t: Tables):
     splits = prep.stratified_splits(t.samples)
-    starts = prep.start_sets(splits, sets=100)
+    starts = prep.start_sets(splits)
     return prep.load_split(t.samples, splits, starts, 0, 2, 7).select(
         "sample_id", "part", "in_start"
     )

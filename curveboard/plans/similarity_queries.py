@@ -533,21 +533,17 @@ def _(t: Tables):
 
 
 FP_VECTORS = """v as (select fingerprint, strategy, value from full_mean),
-pr as (select distinct fingerprint as a, fingerprint + 1 as b from v
-  where fingerprint % 2 = 0 and fingerprint + 1 in (select fingerprint from v)),
+pr as (select min(fingerprint) as a, max(fingerprint) as b from (
+    select fingerprint, (row_number() over (order by fingerprint) - 1) // 2 as p
+    from (select distinct fingerprint from v)) group by p having count(*) = 2),
 pv as (select a, b, x.strategy as item, x.value as x, y.value as y from pr
   join v x on x.fingerprint = a join v y on y.fingerprint = b and y.strategy = x.strategy)"""
 
 
 def _fp_pairs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every fingerprint with its neighbour in order, and all vectors."""
     vectors = t.full_mean.select("fingerprint", "strategy", "value")
-    prints = vectors.select("fingerprint").distinct()
-    pairs = (
-        prints.filter("fingerprint % 2 = 0")
-        .select(F.col("fingerprint").alias("a"), (F.col("fingerprint") + 1).alias("b"))
-        .join(prints.select(F.col("fingerprint").alias("b")), "b")
-    )
-    return pairs, vectors
+    return sim.neighbour_pairs(vectors.select("fingerprint").distinct()), vectors
 
 
 @query(
@@ -685,6 +681,24 @@ def _(t: Tables):
     return sc.value_scenarios(_scores(t), _scenarios(t, 5), "start_point")
 
 
+def _many(t: Tables, largest: int, repeats: int) -> DataFrame:
+    """25 x ``largest`` x ``repeats`` scenarios, the first 25 x ``largest`` as ``_scenarios`` has them."""
+    per = F.lit(25 * largest)
+    again = F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
+    rows = _scenarios(t, largest).withColumn("__again", again)
+    return rows.select((F.col("scenario") + per * F.col("__again")).cast("int").alias("scenario"), "k")
+
+
+@query("N1_start_point_3000")
+def _(t: Tables):
+    return sc.value_scenarios(_scores(t), _many(t, 5, 24), "start_point")
+
+
+@query("N3_dataset_3000")
+def _(t: Tables):
+    return sc.value_scenarios(_scores(t), _many(t, 6, 20), "dataset")
+
+
 @query(
     "N2_fixed_start_point_scenario",
     sql(

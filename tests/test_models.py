@@ -127,15 +127,3 @@ def test_scenarios_without_scores_come_out_unresolved(tables):
     out = scenarios.budget_scenarios(few, rows, limits, seed=1, attempts=1).collect()
     assert {r["scenario"] for r in out} == set(range(6))
     assert all((r["total"] is None) == (r["strategy"] is None) for r in out)
-
-
-def test_approximate_neighbours_are_true_pairs(tables):
-    pairs = neighbours.approximate_knn(tables.samples, 0.6)
-    exact = neighbours.pair_distances(
-        pairs.select(F.col("query_id").alias("a"), F.col("neighbour_id").alias("b")), tables.samples
-    )
-    both = pairs.join(
-        exact, (F.col("a") == F.col("query_id")) & (F.col("b") == F.col("neighbour_id"))
-    )
-    worst = both.select(F.max(F.abs(pairs["distance"] - exact["distance"]))).first()[0]
-    assert worst is None or worst < 1e-6

@@ -192,3 +192,70 @@ def test_series_extracts(tables):
     wide = series.pivot_cycles(tables.curve, ["run_id"], [0, 1, 2])
     long = series.unpivot_cycles(wide, ["run_id"])
     assert long.count() == tables.curve.filter("cycle < 3").count()
+
+
+def test_many_scenarios_repeat_the_few(spark):
+    """The first of 3000 scenarios draw and score as the 125 and 150 do; each comes out."""
+    from curveboard.plans.queries import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    for few, many in (("N1_start_point_scenario", "N1_start_point_3000"), ("N3_dataset_scenario", "N3_dataset_3000")):
+        part = {(r.scenario, r.k, r.strategy): r.total for r in QUERIES[few](spark, small).collect()}
+        rows = QUERIES[many](spark, small).collect()
+        whole = {(r.scenario, r.k, r.strategy): r.total for r in rows}
+        assert {r.scenario for r in rows} == set(range(3000))
+        for key, total in part.items():
+            assert whole[key] == pytest.approx(total, abs=1e-9)
+
+
+def test_scenarios_without_scores_come_out(spark):
+    from curveboard.operators import scenarios
+
+    scores = spark.createDataFrame(
+        [(d, s, x, float(d + s + len(x))) for d in range(3) for s in range(4) for x in ("a", "bb")],
+        "dataset int, start_point int, strategy string, value double",
+    )
+    asked = spark.createDataFrame([(0, 2), (1, 9), (2, 4)], "scenario int, k int")
+    out = {}
+    for r in scenarios.value_scenarios(scores, asked, "start_point").collect():
+        out.setdefault(r.scenario, []).append((r.strategy, r.total))
+    assert out[1] == [(None, None)] and all(len(out[i]) == 2 for i in (0, 2))
+
+
+def test_incidence_boards_equal_plain_joins(spark, monkeypatch):
+    """Sums, minima and exact quartiles of picked settings, with small blocks and bins."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from curveboard.operators import incidence
+
+    monkeypatch.setattr(incidence, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    rows = [
+        (int(d), int(p), f"s{x}", None if rng.random() < 0.1 else float(np.round(rng.lognormal(0, 3), 2)))
+        for d, p, x in zip(rng.integers(0, 4, 900), rng.integers(0, 7, 900), rng.integers(0, 3, 900))
+    ]
+    scores = spark.createDataFrame(rows, "dataset int, point int, strategy string, value double")
+    picks = [(s, int(p)) for s in range(23) for p in rng.choice(7, 1 + s % 5, replace=False)]
+    picked = spark.createDataFrame(picks, "scenario int, point int")
+    cells = scores.groupBy("point", "dataset", "strategy").agg(
+        F.sum("value").alias("s"), F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    probs = {"a": 0.25, "b": 0.5, "c": 0.9}
+    grouped, spread = incidence.boards(cells, scores, picked, ["point"], ["scenario"], probs, bins=16)
+    got = {(r.scenario, r.dataset, r.strategy): (r.s, r.n, r.lo, r.hi) for r in grouped.collect()}
+    quart = {(r.scenario, r.dataset): (r.a, r.b, r.c) for r in spread.collect()}
+    want, values = {}, {}
+    for s, p in picks:
+        for d, q, x, v in rows:
+            if q == p:
+                want.setdefault((s, d, x), []).append(v)
+                if v is not None:
+                    values.setdefault((s, d), []).append(v)
+    assert set(got) == set(want) and set(quart) == set(values)
+    for key, own in want.items():
+        own = [v for v in own if v is not None]
+        if own:
+            assert got[key] == pytest.approx((sum(own), len(own), min(own), max(own)))
+    for key, own in values.items():
+        assert quart[key] == pytest.approx(tuple(np.quantile(own, list(probs.values()))))
