@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from curveboard.functions.vectors import dot, vector_sum, with_unit
+from curveboard.operators import grouped
 from curveboard.operators.curves import time_lag
 from curveboard.operators.neighbours import knn, neighbour_count
 from curveboard.session import cut_lineage, shared_folder
@@ -72,35 +71,13 @@ def class_switches(predictions: DataFrame, cycles: int = 3) -> DataFrame:
     )
 
 
-def _each_dataset(samples: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One model per dataset; the scores of all datasets in one table.
-
-    Datasets are few and named by the collection, so their list is short; each model sees its
-    own rows only. ``score`` gets (dataset, sample_id, features, label) of one dataset.
-    """
-    rows = samples.select(
-        "dataset",
-        "sample_id",
-        array_to_vector("features").alias("features"),
-        F.col("label").cast("double").alias("label"),
-    )
-    names = [r[0] for r in rows.select("dataset").distinct().orderBy("dataset").collect()]
-    parts = [score(rows.filter(F.col("dataset").eqNullSafe(F.lit(n)))) for n in names]
-    if not parts:
-        return rows.select("dataset", "sample_id", F.lit(0.0).alias("value"))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def boundary_closeness(samples: DataFrame) -> DataFrame:
-    """Smallest absolute decision value of one-vs-rest linear SVMs (own semantics)."""
-    from pyspark.ml.classification import LinearSVC, OneVsRest
-
-    def score(rows: DataFrame) -> DataFrame:
-        model = OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), parallelism=8).fit(rows)
-        gap = F.array_min(F.transform(vector_to_array("rawPrediction"), lambda x: F.abs(x)))
-        return model.transform(rows).select("dataset", "sample_id", gap.alias("value"))
+    """Smallest absolute decision value of one-vs-rest linear machines (own semantics).
 
-    return normalised(_each_dataset(samples, score), 1000)
+    All datasets are fitted together, one job per step; see ``grouped.linear_machines``.
+    """
+    cut = grouped.blocks(samples)
+    return normalised(grouped.decision_gaps(cut, grouped.linear_machines(cut)), 1000)
 
 
 def region_density(samples: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
@@ -173,31 +150,16 @@ def other_class_knn(samples: DataFrame) -> DataFrame:
 def cluster_center_closeness(samples: DataFrame, seed: int = 1) -> DataFrame:
     """Distance to the nearest of k K-means centres, k half the square root of the size.
 
-    The centres are a table joined by cluster, not part of the plan.
+    All datasets are clustered together; the centres are rows of a table.
     """
-    from pyspark.ml.clustering import KMeans
-
-    spark = samples.sparkSession
-
-    def score(rows: DataFrame) -> DataFrame:
-        k = max(2, int(np.sqrt(rows.count()) / 2))
-        model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
-        centers = spark.createDataFrame(
-            [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-            "prediction int, __center array<double>",
-        )
-        gap = F.sqrt(
-            F.aggregate(
-                F.zip_with(vector_to_array("features"), "__center", lambda a, b: (a - b) * (a - b)),
-                F.lit(0.0),
-                lambda s, x: s + x,
-            )
-        )
-        placed = model.transform(rows).join(centers, "prediction")
-        return placed.select("dataset", "sample_id", gap.alias("value"))
-
+    cut = grouped.blocks(samples)
+    ks = _k_of(samples.filter("features is not null")).select(
+        "dataset", F.greatest(F.lit(2), F.col("__k")).alias("k")
+    )
+    gaps = grouped.to_centres(cut, grouped.kmeans(cut, ks, seed))
     scale = 100.0 * F.greatest(F.lit(2), F.col("__k"))
-    return normalised(_each_dataset(samples, score), scale, extra=_k_of(samples))
+    values = gaps.select("dataset", "sample_id", F.col("distance").alias("value"))
+    return normalised(values, scale, extra=_k_of(samples))
 
 
 def improves_accuracy(accuracy_curve: DataFrame, selected: DataFrame) -> DataFrame:
@@ -215,55 +177,17 @@ def improves_accuracy(accuracy_curve: DataFrame, selected: DataFrame) -> DataFra
 
 
 def average_uncertainty(
-    samples: DataFrame, seeds: int = 5, folds: int = 10, parallel: int = 8
+    samples: DataFrame, seeds: int = 5, folds: int = 10, steps: int = 10
 ) -> DataFrame:
-    """Summed top class probability on held-out folds (MLlib learners, own semantics).
+    """Summed top class probability on held-out folds (own semantics).
 
-    Seeds x folds x learners fits per dataset; several run at a time, as in MLlib's own cross
-    validation, on one stored table of folds. Each writes its scores to the shared folder.
+    Three learners (Gaussian Bayes, linear discriminant, logistic) for every seed and fold of every
+    dataset: the folds of a learner come from sums per fold, not from a fit each. Folds follow an MD5
+    digest of seed and id.
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.classification import (
-        LogisticRegression,
-        NaiveBayes,
-        RandomForestClassifier,
-    )
-
-    spark = samples.sparkSession
-    folder = f"{shared_folder(spark)}/folds-{uuid.uuid4().hex}"
-    learners = {
-        "logistic": LogisticRegression(maxIter=10, regParam=0.01),
-        "forest": RandomForestClassifier(numTrees=10, maxDepth=4, seed=1),
-        "bayes": NaiveBayes(modelType="gaussian"),
-    }
-
-    def fold_of(seed: int) -> Column:
-        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string")))
-        return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(folds))
-
-    def score(rows: DataFrame) -> DataFrame:
-        part = f"{folder}/{uuid.uuid4().hex}"
-        # a dataset's table of vectors is read by every fit
-        cut = cut_lineage(rows)
-
-        def fit(job: tuple[int, int, str]) -> None:
-            seed, fold, name = job
-            held = fold_of(seed) == fold
-            top = F.array_max(vector_to_array("probability")).alias("value")
-            scored = learners[name].copy().fit(cut.filter(~held)).transform(cut.filter(held))
-            scored.select("dataset", "sample_id", top).write.parquet(f"{part}/{seed}-{fold}-{name}")
-
-        jobs = [(s, f, n) for s in range(seeds) for f in range(folds) for n in learners]
-        with ThreadPool(parallel) as pool:
-            pool.map(inheritable_thread_target(spark)(fit), jobs)
-        return spark.read.option("recursiveFileLookup", True).parquet(part)
-
-    total = _each_dataset(samples, score)
-    return normalised(
-        total.groupBy("dataset", "sample_id").agg(F.sum("value").alias("value")), 100
-    )
+    cut = grouped.blocks(samples)
+    models = grouped.fold_models(cut, seeds, folds, steps)
+    return normalised(grouped.held_out_certainty(cut, models, seeds, folds), 100)
 
 
 def _grow_tree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

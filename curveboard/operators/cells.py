@@ -350,3 +350,57 @@ def neighbours(units: DataFrame, groups: list[str], scope: str, slack: float | N
     return both.select(*groups, "query_id", F.posexplode(others).alias("at", "h")).select(
         *groups, "query_id", "h.neighbour_id", "h.distance", (F.col("at") + 1).alias("rank")
     )
+
+
+def pairs_within(units: DataFrame, groups: list[str], cosine: float, size: Column | None = None,
+                 note: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """(groups, a, b, cosine), a < b: all pairs of unit vectors of a group at more than ``cosine``.
+
+    ``units``: groups, id, side, unit; a pair is one of different sides, or of sides that are null. Only
+    blocks that can hold such a pair, by the triangle inequality, are compared. ``note`` gets the
+    comparisons made.
+    """
+    rows = written(units.withColumn("row", F.monotonically_increasing_id()))
+    reach = math.acos(max(-1.0, min(1.0, cosine)))
+    placed, blocks = blocked(assigned(rows, groups, size), groups)
+    near = open_pairs(blocks.withColumn("reach", F.lit(reach)), groups, None).filter("a <= b")
+    left = placed.withColumnRenamed("block", "a").join(near, "a")
+    right = placed.withColumnRenamed("block", "b").join(near, "b").select("a", "b", "id", "side", "unit")
+    kind = units.schema["id"].dataType.simpleString()
+    mine = ", ".join(f"{g} {units.schema[g].dataType.simpleString()}" for g in groups)
+
+    def compare(q: pa.Table, c: pa.Table) -> pa.Table:
+        out = pa.schema([*(q.schema.field(g) for g in groups), ("low", q.schema.field("id").type), ("high", q.schema.field("id").type), ("cosine", pa.float64()), ("compared", pa.int64())])
+        if not q.num_rows or not c.num_rows:
+            return out.empty_table()
+        value = matrix(q["unit"]) @ matrix(c["unit"]).T
+        ids = [t["id"].to_numpy(zero_copy_only=False) for t in (q, c)]
+        sides = [t["side"].to_numpy(zero_copy_only=False).astype(float) for t in (q, c)]
+        apart = np.isnan(sides[0])[:, None] | (sides[0][:, None] != sides[1])
+        hit = (value > cosine) & apart & (ids[0][:, None] != ids[1])
+        if q["a"][0] == q["b"][0]:
+            # both sides of one block hold every pair twice
+            hit &= ids[0][:, None] < ids[1]
+        i, j = np.nonzero(hit)
+        a, b = ids[0][i], ids[1][j]
+        # the comparisons are noted on a row of their own, without ids
+        columns = [np.append(np.minimum(a, b), 0), np.append(np.maximum(a, b), 0), np.append(value[i, j], 0.0)]
+        first = len(i)
+        mask = np.append(np.zeros(first, bool), True)
+        return pa.table(
+            [
+                *(q[g].take(pa.array(np.append(i, 0))) for g in groups),
+                pa.array(columns[0], out.field("low").type, mask=mask),
+                pa.array(columns[1], out.field("high").type, mask=mask),
+                pa.array(columns[2], pa.float64(), mask=mask),
+                pa.array(np.append(np.zeros(first, np.int64), value.size)),
+            ],
+            schema=out,
+        )
+
+    left = left.select(*groups, "a", "b", "id", "side", "unit")
+    found = cogrouped(left, right, ["a", "b"], compare, f"{mine}, low {kind}, high {kind}, cosine double, compared long")
+    if note is not None:
+        found = written(found)
+        note(found.agg(F.sum("compared").alias("compared")))
+    return found.filter("low is not null").select(*groups, F.col("low").alias("a"), F.col("high").alias("b"), "cosine")

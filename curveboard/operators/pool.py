@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curveboard.functions.vectors import dot, vector_sum, with_unit
+from curveboard.operators import grouped
 from curveboard.operators.neighbours import knn, nearest
 from curveboard.operators.scenarios import draw, fraction
 from curveboard.session import cut_lineage
@@ -141,26 +142,13 @@ def k_center(pool: DataFrame, labelled: DataFrame, k: int, every: int = 8) -> Da
 
 def embedding_kmeans(pool: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """The sample nearest to each of k K-means centres."""
-    from pyspark.ml.clustering import KMeans
-
-    rows = pool.select("sample_id", array_to_vector("features").alias("features"))
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
-    centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    gap = F.sqrt(
-        F.aggregate(
-            F.zip_with(
-                vector_to_array("features"),
-                F.get(centers, F.col("prediction")),
-                lambda a, b: (a - b) * (a - b),
-            ),
-            F.lit(0.0),
-            lambda s, x: s + x,
-        )
-    )
-    scored = model.transform(rows).select("sample_id", "prediction", gap.alias("score"))
-    return scored.groupBy("prediction").agg(
-        F.min_by("sample_id", F.struct("score", "sample_id")).alias("sample_id"),
-        F.min("score").alias("score"),
+    rows = pool.select(F.lit(0).alias("dataset"), "sample_id", "features", F.lit(0.0).alias("label"))
+    cut = grouped.blocks(rows)
+    ks = cut.select("dataset").distinct().withColumn("k", F.lit(k))
+    scored = grouped.to_centres(cut, grouped.kmeans(cut, ks, seed))
+    return scored.groupBy("centre").agg(
+        F.min_by("sample_id", F.struct("distance", "sample_id")).alias("sample_id"),
+        F.min("distance").alias("score"),
     ).select("sample_id", "score")
 
 

@@ -6,16 +6,20 @@ Vectors of two settings are matched by a key (run, fingerprint, item), never by
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from curveboard.functions.slices import CHUNK, hash_position, percentiles, position, running
 from curveboard.functions.stats import (
@@ -39,48 +43,46 @@ def shared_ids(rows: DataFrame, of: str = "metric", key: str = "run_id") -> Data
 # --- Pearson ---------------------------------------------------------------
 
 
-def _moments(by: list[str], fields: list[str]):
+def _moments(by: list[str], schema: pa.Schema):
     """Per partition: co-moments of all setting pairs as matrix products, per board."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def group(x: np.ndarray, key: dict) -> pa.RecordBatch:
+        seen = ~np.isnan(x)
+        shift = np.where(seen, x, 0.0).mean(axis=0)
+        z = np.where(seen, x - shift, 0.0)
+        m = seen.astype(float)
+        n = m.T @ m
+        at = np.nonzero(n)
+        sx, sy = z.T @ m, m.T @ z
+        sxx, syy, sxy = (z * z).T @ m, m.T @ (z * z), z.T @ z
+        # undo the shift per pair: means and centred second moments
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mx, my = sx / n, sy / n
+            cxx, cyy, cxy = sxx - sx * mx, syy - sy * my, sxy - sx * my
+        mx, my = mx + shift[:, None], my + shift[None, :]
+        found = {"i": at[0], "j": at[1]}
+        found |= {"n": n[at], "mx": mx[at], "my": my[at], "cxx": cxx[at], "cyy": cyy[at], "cxy": cxy[at]}
+        columns = [pa.repeat(key[f.name], len(at[0])) if f.name in key else pa.array(found[f.name], f.type) for f in schema]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = batch.groupby(by, sort=False, dropna=False) if by else [((), batch)]
-            for key, group in groups:
-                width = int(group["width"].iloc[0])
-                x = np.full((len(group), width), np.nan)
-                for r, cells in enumerate(group["cells"]):
-                    for cell in cells:
-                        if cell["v"] is not None:
-                            x[r, cell["i"]] = cell["v"]
-                shift = np.nan_to_num(np.nanmean(np.where(np.isnan(x), 0.0, x), axis=0))
-                seen = ~np.isnan(x)
-                z = np.where(seen, x - shift, 0.0)
-                m = seen.astype(float)
-                n = m.T @ m
-                left, right = np.nonzero(n)
-                sx, sy = z.T @ m, m.T @ z
-                sxx, syy, sxy = (z * z).T @ m, m.T @ (z * z), z.T @ z
-                # undo the shift per pair: means and centred second moments
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    mx, my = sx / n, sy / n
-                    cxx, cyy, cxy = sxx - sx * mx, syy - sy * my, sxy - sx * my
-                mx, my = mx + shift[:, None], my + shift[None, :]
-                at = (left, right)
-                out = pd.DataFrame(
-                    {
-                        "i": left,
-                        "j": right,
-                        "n": n[at],
-                        "mx": mx[at],
-                        "my": my[at],
-                        "cxx": cxx[at],
-                        "cyy": cyy[at],
-                        "cxy": cxy[at],
-                    }
-                )
-                for name, part in zip(by, key if isinstance(key, tuple) else (key,)):
-                    out[name] = part
-                yield out[fields]
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            width = table["width"][0].as_py()
+            lists = table["cells"].combine_chunks()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            cells = lists.flatten()
+            x = np.full((len(lists), width), np.nan)
+            x[row, cells.field("i").to_numpy()] = cells.field("v").to_numpy(zero_copy_only=False)
+            if not by:
+                yield group(x, {})
+                continue
+            of = table.select(by).to_pandas().groupby(by, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(of, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                yield group(x[own], {b: table[b][int(own[0])] for b in by})
 
     return run
 
@@ -126,7 +128,7 @@ def pearson_matrix(
         + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]
         + [T.StructField(c, T.DoubleType()) for c in numbers]
     )
-    parts = vectors.mapInPandas(_moments(by, schema.names), schema)
+    parts = vectors.mapInArrow(_moments(by, to_arrow_schema(schema)), schema)
     n, mx, my = F.col("n"), F.col("mx"), F.col("my")
     merged = parts.groupBy(*by, "i", "j").agg(
         F.sum("n").alias("n"),
@@ -225,7 +227,12 @@ def curve_rank_correlation(
 
 
 def kendall(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Tie-aware Kendall tau-b of (x, y) per key, exact in n log n without item pairs.
+    """Tie-aware Kendall tau-b of (x, y) per key: (keys, n, tau). See ``pair_counts``."""
+    return pair_counts(pairs, keys, x, y).select(*keys, "n", _tau_b().alias("tau"))
+
+
+def pair_counts(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Discordant and tied item pairs of (x, y) per key, exact in n log n without forming them.
 
     For vectors with one entry per strategy or other short list. With items in x order
     and y as integer ranks, a discordant pair differs first at one bit of y: the
@@ -270,9 +277,14 @@ def kendall(pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -
             once("tx").alias("ties_x"),
             once("ty").alias("ties_y"),
             once("txy").alias("ties_both"),
+            *[
+                F.sum(F.when(F.col("level") == 0, (F.col(c) - 1) * factor(F.col(c)))).alias(f"{name}_{c}")
+                for c in ("tx", "ty")
+                for name, factor in (("triples", lambda t: t - 2), ("spread", lambda t: 2 * t + 5))
+            ],
         )
     )
-    return sums.select(*keys, "n", _tau_b().alias("tau"))
+    return sums
 
 
 def _bit_levels(top: str) -> Column:
@@ -373,6 +385,64 @@ def agreement_with(
     return kendall(pairs, of)
 
 
+#: Vectors of more items without ties, unless nearly sorted, take the normal approximation.
+EXACT_ITEMS = 33
+
+
+def inversion_table(spark, items: int = EXACT_ITEMS) -> DataFrame:
+    """(n, c, p): chance of at most c inversions among n items in random order, for n up to ``items``.
+
+    The counts follow the recurrence over n: inserting the n-th item adds 0 to n - 1 inversions.
+    """
+    counts, rows = [1], []
+    for n in range(1, items + 1):
+        if n > 1:
+            sums = np.concatenate(([0], np.cumsum(np.array(counts, dtype=object))))
+            width = n * (n - 1) // 2 + 1
+            counts = [sums[min(k + 1, len(counts))] - sums[max(k - n + 1, 0)] for k in range(width)]
+        upto, total = 0, math.factorial(n)
+        for c, count in enumerate(counts):
+            upto += int(count)
+            rows.append((n, c, upto / total))
+    return spark.createDataFrame(rows, "n long, c long, p double")
+
+
+def tau_significance(pairs: DataFrame, keys: Sequence[str], level: float = 0.05) -> DataFrame:
+    """(keys, n, tau, p, z, significant): two-sided test of tau-b against independence.
+
+    Without ties and with at most ``EXACT_ITEMS`` items, p is exact, from the distribution of inversions;
+    elsewhere p is null and z, the normal score with the variance corrected for ties, decides.
+    """
+    keys = list(keys)
+    counts = pair_counts(pairs, keys)
+    n, every = F.col("n").cast("double"), F.col("n") * (F.col("n") - 1) / 2
+    score = every - F.col("ties_x") - F.col("ties_y") + F.col("ties_both") - 2 * F.col("discord")
+    variance = (
+        (2 * every * (2 * n + 5) - F.col("spread_tx") - F.col("spread_ty")) / 18
+        + F.coalesce(F.try_divide(F.col("ties_x") * F.col("ties_y"), every), F.lit(0.0))
+        + F.coalesce(F.try_divide(F.col("triples_tx") * F.col("triples_ty"), 18 * every * (n - 2)), F.lit(0.0))
+    )
+    untied = (F.col("ties_x") == 0) & (F.col("ties_y") == 0)
+    fewer = F.least(F.col("discord"), (every - F.col("discord"))).cast("long")
+    out = counts.select(
+        *keys,
+        "n",
+        _tau_b().alias("tau"),
+        F.when(untied, fewer).alias("c"),
+        F.try_divide(score, F.sqrt(variance)).alias("z"),
+    )
+    table = inversion_table(pairs.sparkSession)
+    cut = F.lit(NormalDist().inv_cdf(1 - level / 2))
+    return out.join(table, ["n", "c"], "left").select(
+        *keys,
+        "n",
+        "tau",
+        F.least(F.lit(1.0), 2 * F.col("p")).alias("p"),
+        "z",
+        F.coalesce(F.least(F.lit(1.0), 2 * F.col("p")) < level, F.abs("z") > cut).alias("significant"),
+    )
+
+
 def significant_only(taus: DataFrame) -> DataFrame:
     """Keep tau only where it differs from 0 at 5 % (normal approximation)."""
     z = kendall_z(F.col("tau"), F.col("n"))

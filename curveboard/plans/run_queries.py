@@ -112,6 +112,50 @@ def _(t: Tables):
     return src.metric_lookup(stored, "click", 3, "accuracy").select("run_id", "cycle", "value")
 
 
+def _tree(t: Tables) -> str:
+    """A result tree written from the curves: by dataset as CSV, as Parquet, or as both.
+
+    Where both stand, the values of the Parquet files are off by 1000, so reading them shows.
+    """
+    root = f"{shared_folder(t.spark)}/tree-{uuid.uuid4().hex}"
+    rows = t.curve.select(
+        "strategy", "dataset", F.lit("accuracy").alias("metric"), "run_id", "cycle", "value"
+    ).filter("strategy <> 'view'")
+    turn = F.col("dataset") % 3
+    by = ["strategy", "dataset", "metric"]
+    off = rows.withColumn("value", F.when(turn == 2, F.col("value") + 1000).otherwise(F.col("value")))
+    rows.filter(turn != 1).write.partitionBy(*by).option("header", True).csv(root)
+    off.filter(turn != 0).write.mode("append").partitionBy(*by).parquet(root)
+    return root
+
+
+@query(
+    "S3_listed_tree",
+    sql(
+        """select distinct strategy, cast(dataset as varchar) as dataset, 'accuracy' as metric, f as format
+from curve join (values (0, 'csv'), (2, 'csv'), (1, 'parquet'), (2, 'parquet')) v(turn, f)
+  on turn = dataset % 3 where strategy <> 'view'""",
+        "curve",
+    ),
+)
+def _(t: Tables):
+    return src.listed_tree(t.spark, _tree(t)).select("strategy", "dataset", "metric", "format")
+
+
+@query(
+    "S4_lookup_with_fallback",
+    sql(
+        """select strategy, cast(dataset as varchar) as dataset, run_id, cast(cycle as bigint) as cycle,
+  round(value, 6) as value from curve where strategy <> 'view'""",
+        "curve",
+    ),
+)
+def _(t: Tables):
+    schema = T.StructType.fromDDL("run_id long, cycle long, value double")
+    rows = src.tree_rows(t.spark, _tree(t), schema, "accuracy")
+    return rows.select("strategy", "dataset", "run_id", "cycle", "value")
+
+
 @query(
     "S5_strategy_dataset_pairs",
     sql(

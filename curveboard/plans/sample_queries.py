@@ -989,6 +989,22 @@ def _(t: Tables):
     return out.select("run_id", F.col("seen").cast("timestamp_ntz").alias("seen"), "strategy")
 
 
+@query(
+    "ST1_ingest_late_copies",
+    sql("select run_id, dataset, strategy, status from runs", "runs"),
+)
+def _(t: Tables):
+    """Every run comes again in later batches, long after any watermark; the first row stays."""
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows = t.runs.select("run_id", "dataset", "strategy", "status")
+    for status in (None, "copy"):
+        given = rows if status is None else rows.withColumn("status", F.lit(status))
+        given.write.mode("append").parquet(f"{root}/in")
+        stream = ingest.run_stream(t.spark, f"{root}/in", rows.schema, 4)
+        ingest.write_new_runs(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return ingest.kept_runs(t.spark, f"{root}/out").select("run_id", "dataset", "strategy", "status")
+
+
 @query(
     "ST2_progress_counts",
     sql(

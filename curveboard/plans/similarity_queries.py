@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curveboard.operators import leaderboard as lb
+from curveboard.operators import redundancy as red
 from curveboard.operators import scenarios as sc
 from curveboard.operators import selections as sel
 from curveboard.operators import similarity as sim
@@ -340,6 +341,47 @@ def _(t: Tables):
     return sim.significant_only(taus).select("setting", "n", "tau")
 
 
+EXACT = """signs as (select i.x_name, sign(i.x - j.x) as sx, sign(i.y - j.y) as sy
+  from gp i join gp j on i.x_name = j.x_name and i.item < j.item),
+sizes as (select x_name, count(*) as n from gp group by 1),
+tied as (select x_name, sum(t * (t - 1) * (2 * t + 5)) filter (where side = 'x') as x1,
+    sum(t * (t - 1) * (2 * t + 5)) filter (where side = 'y') as y1,
+    sum(t * (t - 1) * (t - 2)) filter (where side = 'x') as x0,
+    sum(t * (t - 1) * (t - 2)) filter (where side = 'y') as y0
+  from (select x_name, 'x' as side, count(*) as t from gp group by x_name, x
+        union all select x_name, 'y', count(*) from gp group by x_name, y) group by 1),
+counted as (select x_name, n, count(*) as every, sum((sx * sy < 0)::int) as discord,
+    sum((sx = 0)::int) as tx, sum((sy = 0)::int) as ty, sum(sx * sy) as score
+  from signs join sizes using (x_name) group by 1, 2),
+inversions as (with recursive r(n, counts) as (select 1, [1::double] union all
+    select n + 1, list_transform(range(0, (n + 1) * n // 2 + 1),
+      lambda k: list_sum(counts[greatest(k - n, 0) + 1 : least(k, n * (n - 1) // 2) + 1])) from r where n < 33)
+  select n, c, list_sum(counts[1 : c + 1]) / list_sum(counts) as p
+  from (select n, counts, unnest(range(0, n * (n - 1) // 2 + 1)) as c from r)),
+tested as (select x_name, c.n, score / nullif(sqrt((every - tx) * 1.0 * (every - ty)), 0) as tau,
+    least(1.0, 2 * p) as p,
+    score / nullif(sqrt((2.0 * every * (2 * c.n + 5) - x1 - y1) / 18 + tx * ty * 1.0 / every
+      + coalesce(x0 * y0 / nullif(18.0 * every * (c.n - 2), 0), 0)), 0) as z
+  from counted c join tied using (x_name)
+  left join inversions v on v.n = c.n and tx = 0 and ty = 0 and v.c = least(discord, every - discord))"""
+
+
+@query(
+    "R13_exact_significance",
+    sql(
+        """select x_name as setting, n, round(tau, 6) as tau, round(p, 6) as p, round(z, 6) as z,
+  coalesce(p < 0.05, abs(z) > 1.959963984540054) as significant from tested""",
+        "runs",
+        extra=",\n".join([VALUES, VECTORS, GOLD, EXACT]),
+    ),
+)
+def _(t: Tables):
+    pairs = _vectors(t).select("setting", "strategy", F.col("total").alias("x")).join(
+        _gold(t).select("strategy", F.col("total").alias("y")), "strategy"
+    )
+    return sim.tau_significance(pairs, ["setting"])
+
+
 METRIC_BOARDS = """orders_of as (select *, row_number() over (partition by dataset, metric
   order by score, strategy) as place from (
     select dataset, strategy, metric, avg(value) as score from metric_scores group by 1, 2, 3)),
@@ -576,6 +618,29 @@ def _(t: Tables):
     return sim.eliminate_redundant(vectors, threshold=0.9)
 
 
+@query(
+    "R23_greedy_elimination",
+    sql(
+        """select fingerprint, list_contains((select kept from walk order by i desc limit 1), fingerprint) as kept
+from prints""",
+        "full_mean",
+        extra="""prints as materialized (select fingerprint, row_number() over (order by fingerprint) as i
+  from (select distinct fingerprint from full_mean)),
+near as materialized (select b, list(a) as smaller from (
+  select x.fingerprint as a, y.fingerprint as b, corr(x.value, y.value) as r
+  from full_mean x join full_mean y on x.strategy = y.strategy and x.fingerprint < y.fingerprint
+  group by 1, 2) where r > 0.9 and not isnan(r) group by b),
+walk as (with recursive w(i, kept) as (select 0::bigint, []::bigint[] union all
+  select w.i + 1, case when list_has_any(coalesce(n.smaller, []), w.kept) then w.kept
+    else list_append(w.kept, p.fingerprint) end
+  from w join prints p on p.i = w.i + 1 left join near n on n.b = p.fingerprint) select * from w)""",
+    ),
+)
+def _(t: Tables):
+    vectors = t.full_mean.select("fingerprint", "strategy", "value")
+    return red.independent(vectors, threshold=0.9).select("fingerprint", "kept")
+
+
 @query(
     "R23_first_elimination_round",
     sql(

@@ -102,6 +102,72 @@ def parse_metric_paths(files: DataFrame, metric: str | None = None) -> DataFrame
     return named.filter(F.col("metric") == metric) if metric else named
 
 
+#: Formats of a metric in the order in which they are tried.
+FORMATS = ("csv.xz", "csv", "parquet")
+#: Files that Spark writes: strategy=<s>/dataset=<d>/metric=<m>/part-*.<format>
+PART_PATH = r"strategy=([^/]+)/dataset=([^/]+)/metric=([^/]+)/[^/]+?\.(csv\.xz|csv|parquet)$"
+NAMED_PATH = r"([^/=]+)/([^/=]+)/([^/=]+?)(?:\.csv\.xz)?\.(csv\.xz|csv|parquet)$"
+
+
+def tree_places(files: DataFrame, path: str = "path") -> DataFrame:
+    """Add strategy, dataset, metric and format by the path, for named files and for Spark's own parts."""
+    column = F.col(path)
+    spark_like = column.rlike(PART_PATH)
+    part = [
+        F.when(spark_like, F.regexp_extract(column, PART_PATH, i)).otherwise(F.regexp_extract(column, NAMED_PATH, i))
+        for i in range(1, 5)
+    ]
+    placed = files.select("*", *[c.alias(n) for c, n in zip(part, ("strategy", "dataset", "metric", "format"))])
+    return placed.filter((F.col("metric") != "") & ~F.col("metric").rlike("_workloads?$"))
+
+
+def listed_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(strategy, dataset, metric, format, files, bytes) of a result tree, from Spark's file listing alone."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.{csv,xz,parquet}")
+        .load(root)
+        .select("path", "length")
+    )
+    return tree_places(files).groupBy("strategy", "dataset", "metric", "format").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
+    )
+
+
+def tree_rows(
+    spark: SparkSession, root: str, schema: T.StructType, metric: str | None = None
+) -> DataFrame:
+    """Rows of all metrics of a result tree: strategy, dataset, metric and the columns of ``schema``.
+
+    A metric that stands in several formats is read from the first of ``FORMATS`` only. The choice is
+    a small table from the listing; each format is one scan, whose rows keep the place that the path
+    of their file names. ``metric`` prunes the files that are read.
+    """
+    choice = listed_tree(spark, root)
+    rank = F.array_position(F.array(*[F.lit(f) for f in FORMATS]), F.col("format"))
+    best = choice.groupBy("strategy", "dataset", "metric").agg(F.min_by("format", rank).alias("format"))
+    if metric is not None:
+        best = best.filter(F.col("metric") == metric)
+
+    def given(suffix: str):
+        return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+
+    where = F.col("_metadata.file_path").alias("__path")
+    names = [f.name for f in schema]
+    csvs = given(".csv").schema(schema).option("header", True).csv(root).select(*names, where)
+    tables = given(".parquet").schema(schema).parquet(root).select(*names, where)
+    cells = read_xz_rows(spark, root).select(
+        *[F.col("cells").getItem(f.name).try_cast(f.dataType).alias(f.name) for f in schema],
+        F.col("path").alias("__path"),
+    )
+    rows = csvs.unionByName(tables).unionByName(cells)
+    # a named Parquet file of a converted metric ends in .csv.xz.parquet and is a Parquet file
+    placed = tree_places(rows, "__path").drop("__path")
+    found = placed.join(best, ["strategy", "dataset", "metric", "format"])
+    return found.select("strategy", "dataset", "metric", *names)
+
+
 def metric_lookup(curves: DataFrame, strategy, dataset, metric) -> DataFrame:
     """One metric of one (strategy, dataset): a partition filter on the curve table."""
     return curves.filter(
