@@ -21,6 +21,8 @@ NEAR = (4, 5)
 LEADERS = 4
 #: Bytes of text of one side of a block comparison, and tokens of one matrix product.
 BLOCK_TEXT, TOKEN_COLUMNS = 1 << 20, 4096
+#: Rows of one side of such a block; a task holds their products.
+BLOCK_ROWS = 2048
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +133,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "digest", "bands"],
             )
 
-    plain = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    plain = docs.select(F.col("doc_id").cast("long"), "text", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"))
     out = mapped(plain, run, "doc_id long, digest binary, bands array<long>")
     return out.withColumn("digest", F.when(F.col("bands").isNotNull(), F.col("digest")))
 
@@ -194,7 +196,7 @@ def blockwise(members: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): components that a link joins, from all members of some buckets.
 
     ``members``: key, rep, own (component), loose. Members of one bucket are compared in blocks
-    of bounded text, by products of token incidence matrices; a pair counts where at least one
+    of bounded text and rows, by products of token incidence matrices; a pair counts where at least one
     side is loose and the components differ. A token is a shingle with its occurrence number, so
     that common tokens are the shared shingles with multiplicity. Blocks return components, not
     pairs.
@@ -202,7 +204,8 @@ def blockwise(members: DataFrame, docs: DataFrame) -> DataFrame:
     texts = stored(texts_of(members.select(F.col("rep").alias("doc_id")), docs))
     rows = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
     size = F.sum(F.octet_length("text"))
-    parts = stored(rows.groupBy("key").agg(F.ceil(size / BLOCK_TEXT).cast("int").alias("parts")))
+    needed = F.greatest(F.ceil(size / BLOCK_TEXT), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS))
+    parts = stored(rows.groupBy("key").agg(needed.cast("int").alias("parts")))
     rows = rows.join(parts, "key")
     side = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int")
     rows = rows.withColumn("side", side).withColumn(

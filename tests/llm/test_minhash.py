@@ -105,3 +105,12 @@ def test_components_of_chains_in_any_order(spark, chain):
     edges = spark.createDataFrame(list(zip(chain, chain[1:], strict=False)), "a long, b long")
     out = {r.id: r.component for r in graph.components(edges).collect()}
     assert out == dict.fromkeys(chain, 1)
+
+
+def test_many_variants_of_a_short_notice(spark, monkeypatch):
+    """Texts that differ in the last words only share a band and are compared in blocks of bounded rows."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    texts = [f"all rights to this short notice are held by owner number {i} of {i % 7}" for i in range(150)]
+    texts += [t + " again and again" for t in texts[:40]]
+    out = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert out == brute(texts)
