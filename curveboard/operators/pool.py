@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from curveboard.functions.vectors import dot, vector_sum, with_unit
 from curveboard.operators import grouped
+from curveboard.operators.cells import matrix, written
 from curveboard.operators.neighbours import knn, nearest
 from curveboard.operators.scenarios import draw, fraction
 from curveboard.session import cut_lineage
@@ -140,6 +144,45 @@ def k_center(pool: DataFrame, labelled: DataFrame, k: int, every: int = 8) -> Da
     return spark.createDataFrame(chosen, "round int, sample_id long, distance double")
 
 
+def k_center_coreset(pool: DataFrame, labelled: DataFrame, k: int, most: int = 1 << 20) -> DataFrame:
+    """k centres by composable core sets: (round, sample_id, distance), in a fixed number of jobs.
+
+    Every block of the pool picks k rows greedily, given the distances to the labelled set; the greedy
+    choice is then made once more among the picks of all blocks. Rows of a block follow from the size of
+    the pool, so that blocks and picks are about alike in number; blocks have at most ``most`` rows. The
+    radius is at most four times that of the best k centres, the plain greedy one's at most twice. Equal
+    distances go to the smaller id.
+    """
+    rows = unlabelled(pool, labelled).filter("features is not null").select("sample_id", "features")
+    begin = nearest(rows, labelled).withColumnRenamed("distance", "gap")
+    rows = written(
+        rows.join(begin, "sample_id", "left").withColumn("gap", F.coalesce("gap", F.lit(float("inf"))))
+    )
+    n = rows.count()
+    parts = max(1, -(-n // max(1, min(most, int((n * max(k, 1)) ** 0.5) + 1))))
+    kind = rows.schema["sample_id"].dataType.simpleString()
+    schema = f"round int, sample_id {kind}, features array<double>, gap double, distance double"
+    out = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def greedy(table: pa.Table) -> pa.Table:
+        table = table.sort_by("sample_id").combine_chunks()
+        x, gap = matrix(table["features"]), table["gap"].to_numpy().copy()
+        chosen, far = [], []
+        for _ in range(min(k, len(x))):
+            i = int(gap.argmax())
+            chosen.append(i)
+            far.append(float(gap[i]))
+            gap = np.minimum(gap, np.sqrt(((x - x[i]) ** 2).sum(axis=1)))
+            gap[chosen] = -1.0
+        picked = table.select(["sample_id", "features", "gap"]).take(chosen)
+        columns = [pa.array(range(len(chosen))), *picked.columns, pa.array(far, pa.float64())]
+        return pa.table(columns, names=out.names).cast(out)
+
+    block = F.pmod(F.xxhash64("sample_id"), F.lit(parts))
+    picks = rows.groupBy(block.alias("block")).applyInArrow(greedy, schema)
+    return picks.groupBy(F.lit(0).alias("all")).applyInArrow(greedy, schema).select("round", "sample_id", "distance")
+
+
 def embedding_kmeans(pool: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """The sample nearest to each of k K-means centres."""
     rows = pool.select(F.lit(0).alias("dataset"), "sample_id", "features", F.lit(0.0).alias("label"))

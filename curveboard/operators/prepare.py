@@ -73,16 +73,22 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def encode_categoricals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Non-numeric columns become category codes; a missing value becomes -1."""
+    """Non-numeric columns become category codes; a missing value becomes -1.
+
+    Missing values are spread over keys that match nothing, so they do not meet in one task.
+    """
     codes = category_codes(df, columns)
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string"))
     for c in columns:
+        key = F.coalesce(F.col(c).cast("string"), spread)
         one = codes.filter(F.col("feature") == c).select(
             F.col("v").alias("__v"), F.col("code").cast("int").alias("__code")
         )
         df = (
-            df.join(one, F.col(c).cast("string") == F.col("__v"), "left")
+            df.withColumn("__key", key)
+            .join(one, F.col("__key") == F.col("__v"), "left")
             .withColumn(c, F.coalesce("__code", F.lit(-1)))
-            .drop("__v", "__code")
+            .drop("__key", "__v", "__code")
         )
     return df
 

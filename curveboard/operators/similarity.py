@@ -342,6 +342,26 @@ def _tau_from_ranks(ranked: DataFrame, keys: list[str], chunk: int) -> DataFrame
     )
 
 
+def kendall_long(
+    pairs: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", chunk: int = 65536
+) -> DataFrame:
+    """tau-b per key of long numeric vectors, of which one key may hold most rows: (keys, n, tau).
+
+    Equal pairs are counted before the shuffle; ranks are those of the distinct values, and running
+    counts are cut into chunks of x.
+    """
+    keys = list(keys)
+    rows = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    counted = rows.groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
+
+    def ranked(column: str, name: str) -> DataFrame:
+        distinct = counted.select(*keys, column).distinct()
+        return position(distinct, keys, F.floor(column), [column], name)
+
+    both = counted.join(ranked("x", "rx"), [*keys, "x"]).join(ranked("y", "ry"), [*keys, "y"])
+    return _tau_from_ranks(both.select(*keys, "rx", "ry", "c"), keys, chunk)
+
+
 def _mirrored(half: DataFrame, a: str, b: str) -> DataFrame:
     """Both directions of every unordered pair of a half matrix."""
     both = F.when(
@@ -432,14 +452,15 @@ def tau_significance(pairs: DataFrame, keys: Sequence[str], level: float = 0.05)
         F.try_divide(score, F.sqrt(variance)).alias("z"),
     )
     table = inversion_table(pairs.sparkSession)
+    p = F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), 2 * F.col("p")))
     cut = F.lit(NormalDist().inv_cdf(1 - level / 2))
     return out.join(table, ["n", "c"], "left").select(
         *keys,
         "n",
         "tau",
-        F.least(F.lit(1.0), 2 * F.col("p")).alias("p"),
+        p.alias("p"),
         "z",
-        F.coalesce(F.least(F.lit(1.0), 2 * F.col("p")) < level, F.abs("z") > cut).alias("significant"),
+        F.coalesce(p < level, F.abs("z") > cut).alias("significant"),
     )
 
 

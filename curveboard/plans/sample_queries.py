@@ -846,6 +846,13 @@ def _(t: Tables):
     return pl.k_center(rows, rows.join(first, "sample_id", "left_semi"), 10)
 
 
+@query("Q8_k_center_coreset")
+def _(t: Tables):
+    rows = t.samples.select("sample_id", "features")
+    first = t.samples.groupBy("label").agg(F.min("sample_id").alias("sample_id"))
+    return pl.k_center_coreset(rows, rows.join(first, "sample_id", "left_semi"), 10)
+
+
 @query(
     "Q8_nearest_labelled",
     sql(

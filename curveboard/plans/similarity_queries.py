@@ -284,7 +284,7 @@ def _(t: Tables):
         F.col("l_quantity").alias("x"),
         F.col("l_linenumber").alias("y"),
     )
-    return sim.kendall(rows, ["x_name"])
+    return sim.kendall_long(rows, ["x_name"])
 
 
 @query(

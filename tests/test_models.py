@@ -127,3 +127,58 @@ def test_scenarios_without_scores_come_out_unresolved(tables):
     out = scenarios.budget_scenarios(few, rows, limits, seed=1, attempts=1).collect()
     assert {r["scenario"] for r in out} == set(range(6))
     assert all((r["total"] is None) == (r["strategy"] is None) for r in out)
+
+
+def test_k_center_coreset_covers_the_pool(spark, monkeypatch):
+    """Radius within twice the plain greedy one, over many blocks, with ties and repeated points."""
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal(scale=0.3, size=(80, 3)) + 6 * rng.normal(size=3) for _ in range(6)])
+    points = np.concatenate([points, points[:40], np.round(points[:20])])
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "sample_id long, features array<double>")
+    labelled = rows.filter("sample_id < 3")
+
+    def radius(chosen):
+        centre = points[[0, 1, 2, *chosen]]
+        return np.sqrt(((points[:, None] - centre) ** 2).sum(axis=2)).min(axis=1).max()
+
+    plain = [r.sample_id for r in pool.k_center(rows, labelled, 8).orderBy("round").collect()]
+    for most in (1 << 20, 25):
+        out = pool.k_center_coreset(rows, labelled, 8, most).orderBy("round").collect()
+        chosen = [r.sample_id for r in out]
+        assert len(set(chosen)) == 8 and not set(chosen) & {0, 1, 2}
+        assert radius(chosen) <= 2 * radius(plain) + 1e-9
+        assert [r.distance for r in out] == sorted((r.distance for r in out), reverse=True)
+
+
+def test_exact_significance_of_tau(spark):
+    """p against all orders of few items; tabulated 5 % points of larger ones."""
+    import itertools
+    import math
+
+    from curveboard.operators import similarity
+
+    table = {(r.n, r.c): r.p for r in similarity.inversion_table(spark).collect()}
+    for n in range(1, 7):
+        counts = [sum(a > b for a, b in itertools.combinations(p, 2)) for p in itertools.permutations(range(n))]
+        for c in range(n * (n - 1) // 2 + 1):
+            assert table[n, c] == pytest.approx(sum(x <= c for x in counts) / math.factorial(n))
+    # fixed values: least con - dis with a two-sided chance of at most 5 %
+    for n, score in ((5, 10), (6, 13), (7, 15), (8, 18), (9, 20), (10, 23), (20, 62), (30, 111)):
+        least = next(s for s in range(n * (n - 1) // 2 % 2, 500, 2) if 2 * table[n, (n * (n - 1) // 2 - s) // 2] <= 0.05)
+        assert least == score
+    rows = [(0, i, float(i), float(i)) for i in range(8)] + [(1, i, float(i), float(i * 37 % 11)) for i in range(8)]
+    rows += [(2, i, float(i // 2), float(i)) for i in range(12)]
+    out = {r.k: r for r in similarity.tau_significance(spark.createDataFrame(rows, "k int, i int, x double, y double"), ["k"]).collect()}
+    assert out[0].p == pytest.approx(2 / math.factorial(8)) and out[0].significant
+    assert out[1].p > 0.05 and not out[1].significant
+    assert out[2].p is None and out[2].significant
+
+
+def test_long_tau_equals_the_short_one(spark):
+    from curveboard.operators import similarity
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(a), float(b)) for k, a, b in zip(rng.integers(0, 3, 900) ** 2, rng.integers(0, 9, 900), rng.integers(0, 30, 900) / 4)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    short = {r.k: r.tau for r in similarity.kendall(df, ["k"]).collect()}
+    assert {r.k: r.tau for r in similarity.kendall_long(df, ["k"], chunk=3).collect()} == pytest.approx(short)

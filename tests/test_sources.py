@@ -131,3 +131,54 @@ def test_watermarked_stream(spark, tmp_path):
     stream = ingest.first_per_run(ingest.run_stream(spark, source, rows.schema), "finished")
     ingest.write_runs(stream, sink, state).awaitTermination()
     assert spark.read.parquet(sink).count() == 10
+
+
+def test_late_copies_restarts_and_replays(spark, tmp_path):
+    """A copy long after its run, a second start of the stream, and a batch that runs twice."""
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = spark.createDataFrame([(i, "first") for i in range(30)], "run_id long, status string")
+    late = rows.withColumn("status", F.lit("late")).filter("run_id < 25")
+    rows.filter("run_id < 20").write.parquet(source)
+
+    def ingest_all():
+        stream = ingest.run_stream(spark, source, rows.schema, 1)
+        ingest.write_new_runs(stream, sink, state, buckets=4).awaitTermination()
+        return {r.run_id: r.status for r in ingest.kept_runs(spark, sink).collect()}
+
+    assert ingest_all() == {i: "first" for i in range(20)}
+    late.write.mode("append").parquet(source)
+    rows.filter("run_id >= 20").write.mode("append").parquet(source)
+    out = ingest_all()
+    assert set(out) == set(range(30))
+    assert all(out[i] == "first" for i in [*range(20), *range(25, 30)])
+    n = spark.read.parquet(sink).count()
+    assert n == 30
+    last = max(r.batch for r in spark.read.parquet(sink).select("batch").distinct().collect())
+    again = spark.read.parquet(sink).filter(F.col("batch") == last).select("run_id", "status").collect()
+    ingest.append_new(spark.createDataFrame(again, rows.schema), last, sink, buckets=4)
+    assert spark.read.parquet(sink).count() == 30
+
+
+def test_tree_of_named_files_and_formats(spark, tmp_path):
+    """Named files and Spark's own folders; of several formats the first counts, workloads do not."""
+    schema = T.StructType.fromDDL("run_id long, cycle long, value double")
+    folder = tmp_path / "RAND" / "iris"
+    folder.mkdir(parents=True)
+    text = "run_id,cycle,value\n1,0,{v}\n1,1,0.5\n"
+    (folder / "accuracy.csv.xz").write_bytes(lzma.compress(text.format(v=0.1).encode()))
+    (folder / "accuracy.csv").write_text(text.format(v=7))
+    (folder / "macro_f1.csv").write_text(text.format(v=0.3))
+    (folder / "05_done_workload.csv.xz").write_bytes(lzma.compress(b"run_id\n1\n"))
+    rows = spark.createDataFrame([(2, 0, 0.9, "MARGIN", "wine", "accuracy"), (1, 0, 9.0, "RAND", "iris", "macro_f1")], "run_id long, cycle long, value double, strategy string, dataset string, metric string")
+    rows.write.mode("append").partitionBy("strategy", "dataset", "metric").parquet(str(tmp_path))
+    listed = {tuple(r)[:4] for r in src.listed_tree(spark, str(tmp_path)).collect()}
+    assert listed == {
+        ("RAND", "iris", "accuracy", "csv.xz"), ("RAND", "iris", "accuracy", "csv"), ("RAND", "iris", "macro_f1", "csv"),
+        ("RAND", "iris", "macro_f1", "parquet"), ("MARGIN", "wine", "accuracy", "parquet"),
+    }
+    got = sorted(tuple(r) for r in src.tree_rows(spark, str(tmp_path), schema).collect())
+    assert got == [
+        ("MARGIN", "wine", "accuracy", 2, 0, 0.9), ("RAND", "iris", "accuracy", 1, 0, 0.1),
+        ("RAND", "iris", "accuracy", 1, 1, 0.5), ("RAND", "iris", "macro_f1", 1, 0, 0.3), ("RAND", "iris", "macro_f1", 1, 1, 0.5),
+    ]
+    assert src.tree_rows(spark, str(tmp_path), schema, "macro_f1").count() == 2
