@@ -28,7 +28,10 @@ HEADLINE = [
     "R8_multiset_jaccard",
     "R10_kendall_matrix",
     "R15_bootstrap_tau",
+    "R23_greedy_elimination",
     "N1_start_point_scenario",
+    "N1_start_point_3000",
+    "N3_dataset_3000",
     "W7_open_runs",
     "W20_prune_dense",
     "C4_duplicate_combinations",
@@ -39,7 +42,12 @@ HEADLINE = [
     "E12_knn",
     "K1_wrong_classifications",
     "K4_region_density",
+    "K3_boundary_closeness",
+    "K9_cluster_center_closeness",
+    "K11_average_uncertainty",
     "Q4_entropy",
+    "Q8_k_center_coreset",
+    "ST1_ingest_late_copies",
 ]
 
 

@@ -26,6 +26,10 @@ def stack_metrics(metrics: dict[str, DataFrame], runs: DataFrame) -> DataFrame:
     return with_runs(stacked, runs)
 
 
+#: Cycles that a wide table can have as columns.
+MOST_COLUMNS = 5000
+
+
 def unpivot_cycles(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Wide metric table to (ids..., ix, id_ix, value), nulls skipped."""
     cycles = [c for c in wide.columns if c not in ids]
@@ -43,11 +47,15 @@ def pivot_cycles(
 ) -> DataFrame:
     """Long curve to one column per cycle, for export.
 
-    Without ``cycles`` all cycles of the table become columns: one aggregate gives the last one.
+    Without ``cycles`` all cycles of the table become columns: one aggregate gives the last one. A
+    table of more than ``MOST_COLUMNS`` cycles is refused: it cannot be planned, and one wrong cycle
+    number is the likely reason.
     """
     if cycles is None:
         last = curve.agg(F.max("cycle")).first()[0]
         cycles = range(0 if last is None else int(last) + 1)
+    if len(cycles) > MOST_COLUMNS:
+        raise ValueError(f"{len(cycles)} cycles cannot become columns; name the cycles to export")
     return curve.groupBy(*ids).pivot("cycle", list(cycles)).agg(F.first("value"))
 
 

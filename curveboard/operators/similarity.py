@@ -30,6 +30,7 @@ from curveboard.functions.stats import (
     pearson_standard_error,
     pearson_t,
 )
+from curveboard.operators.cells import written
 from curveboard.session import cut_lineage, shared_folder
 
 
@@ -578,9 +579,11 @@ def jaccard_matrix(
     """Mean Jaccard of item sets between settings over their shared fingerprints.
 
     Items held by the same settings are counted together first, so pairs are formed
-    from a few distinct setting lists per fingerprint, not from items.
+    from a few distinct setting lists per fingerprint, not from items. The source is read
+    once: everything follows from its distinct (fingerprint, setting, item).
     """
     fingerprint = list(fingerprint)
+    rows = written(rows.select(*fingerprint, of, item).distinct())
     total = rows.select(of).distinct().agg(F.count(F.lit(1)))
     present = rows.select(*fingerprint, of).distinct()
     shared = (
@@ -648,8 +651,8 @@ def multiset_jaccard(selected: DataFrame) -> DataFrame:
     ``selected``: dataset, strategy, sample_id. The union of counts is the sum of both
     minus the intersection, so only common samples are ever matched.
     """
-    counts = selected.groupBy("dataset", "strategy", "sample_id").agg(
-        F.count(F.lit(1)).alias("c")
+    counts = written(
+        selected.groupBy("dataset", "strategy", "sample_id").agg(F.count(F.lit(1)).alias("c"))
     )
     held = counts.groupBy("dataset", "sample_id").agg(
         F.sort_array(F.collect_list(F.struct("strategy", "c"))).alias("__h")

@@ -182,3 +182,12 @@ def test_tree_of_named_files_and_formats(spark, tmp_path):
         ("RAND", "iris", "accuracy", 1, 1, 0.5), ("RAND", "iris", "macro_f1", 1, 0, 0.3), ("RAND", "iris", "macro_f1", 1, 1, 0.5),
     ]
     assert src.tree_rows(spark, str(tmp_path), schema, "macro_f1").count() == 2
+
+
+def test_wide_export_refuses_absurd_cycles(spark):
+    from curveboard.operators import series
+
+    curve = spark.createDataFrame([(1, 0, 0.5), (1, 1_000_000, 0.6)], "run_id long, cycle long, value double")
+    with pytest.raises(ValueError, match="cannot become columns"):
+        series.pivot_cycles(curve, ["run_id"])
+    assert series.pivot_cycles(curve, ["run_id"], [0]).columns == ["run_id", "0"]
