@@ -21,7 +21,9 @@ def descend(key: Column, weights: Sequence[float], rack: int, region: int, seed:
 
     A rack's draw is the least of its shards', a region's the least of its racks'. So a subtree
     wins in proportion to its weight, and when the weight of one shard grows, or a shard joins,
-    a row either stays or goes to that shard: no other subtree gains or trades rows.
+    a row either stays or goes to that shard: no other subtree gains or trades rows. The result is
+    that of rendezvous hashing over the leaves; draws by summed weights alone, without the leaves',
+    would also send rows to the other shards of the rack that grows, which the law ``key`` rules out.
     """
     racks = [range(i, min(i + rack, len(weights))) for i in range(0, len(weights), rack)]
     regions = [racks[i : i + region] for i in range(0, len(racks), region)]
