@@ -851,6 +851,8 @@ def eliminate_redundant(
     Every round appends its pairs to one table, from which the next one starts.
     """
     spark = vectors.sparkSession
+    # every round reads the vectors again
+    vectors = written(vectors)
     names = cut_lineage(vectors.select("fingerprint").distinct())
     kind = vectors.schema["fingerprint"].dataType.simpleString()
     schema = f"a {kind}, b {kind}, r double, gone boolean, round int"

@@ -838,7 +838,25 @@ def _(t: Tables):
     return pl.density_weighted(t.probabilities)
 
 
-@query("Q8_k_center")
+@query(
+    "Q8_k_center",
+    sql(
+        """select cast(i as integer) as round, sample_id, round(d, 6) as distance from (
+  select *, row_number() over (partition by i order by d desc, sample_id) as rn from greedy where i < 10)
+where rn = 1""",
+        "samples",
+        extra="""given as (select sample_id, features from samples where sample_id in
+  (select min(sample_id) from samples group by label)),
+greedy as (with recursive r(i, sample_id, features, d) as (
+  select 0, s.sample_id, any_value(s.features), min(list_distance(s.features, g.features))
+  from samples s cross join given g where s.sample_id not in (select sample_id from given) group by 2
+  union all
+  select i + 1, sample_id, features, least(d, list_distance(features, far)) from (
+    select *, first_value(sample_id) over w as chosen, first_value(features) over w as far
+    from r where i < 9 window w as (order by d desc, sample_id))
+  where sample_id <> chosen) select * from r)""",
+    ),
+)
 def _(t: Tables):
     rows = t.samples.select("sample_id", "features")
     # the smallest id of each class is the labelled set
