@@ -89,20 +89,16 @@ def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def sampled(docs: DataFrame, rows: int) -> DataFrame:
     """(doc_id, text, lang) of at most ``rows`` rows of each language, chosen by a hash of the id.
 
-    The ids are chosen first, so only their texts travel; an id given often is bounded after that.
-    Of a large language only ids of small hash are ranked, about four times as many as are wanted.
+    Of a large language only rows of small hash pass, about four times as many as are wanted, so no
+    other text is moved. The sizes of the languages, a number each, are one value of the plan.
     """
     span = 1 << 30
-
-    def first(df: DataFrame, *ties: str | Column) -> DataFrame:
-        order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", *ties)
-        return df.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= rows).drop("__place")
-
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
-    low = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(span)) < F.lit(4.0 * span * rows) / F.col("__n")
-    few = docs.select("lang", "doc_id").join(sizes, "lang").filter(low).select("lang", "doc_id").distinct()
-    ids = first(few)
-    return first(docs.join(ids, ["lang", "doc_id"]).select("doc_id", "text", "lang"), F.xxhash64("text"))
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    size = F.element_at(sizes.agg(F.map_from_entries(F.collect_list(F.struct("lang", "n")))).scalar(), F.col("lang"))
+    low = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(span)) < F.lit(4.0 * span * rows) / size
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", F.xxhash64("text"))
+    few = docs.select("doc_id", "text", "lang").filter(low)
+    return few.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= rows).drop("__place")
 
 
 def centroids(docs: DataFrame, idf: np.ndarray, clusters: int) -> DataFrame:

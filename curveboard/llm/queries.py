@@ -109,6 +109,28 @@ def op4_hyperplane_links(spark, sf_dir):
     return hyperplanes.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op4_hyperplane_links"] = """
+WITH v AS MATERIALIZED (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+),
+reach AS (
+    WITH RECURSIVE r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON l.a = r.b)
+    SELECT a, min(b) AS root FROM r GROUP BY a
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(root, e.vec_id)) AS component_id,
+       least(e.vec_id, coalesce(root, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN reach ON reach.a = e.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON c.a = e.vec_id
+"""
+
+
 @query
 def op5_hilbert_neighbours(spark, sf_dir):
     """The 10 nearest vectors of every hundredth vector."""

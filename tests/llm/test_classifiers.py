@@ -34,6 +34,17 @@ def test_severity_separates_toxic_texts(spark, labels):
     assert all(0 <= r.severity <= 2 and r.severity >= r.p_toxic - 1e-9 for r in out.values())
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """Fitted on four fifths of the labels of a table with hundreds of toxic rows, measured on the others."""
+    large = SMALL.replace("0.001", "0.1")
+    given = spark.read.parquet(f"{large}/labels.parquet")
+    held = (queries.crc_of("doc_id") % 5 == 0).alias("held")
+    out = toxicity.toxicity(spark.read.parquet(f"{large}/documents.parquet"), given.filter(~held))
+    both = out.join(given.withColumnRenamed("toxic", "label"), "doc_id").filter(held)
+    found = {r.label: (r.n, r.caught) for r in both.groupBy("label").agg(F.count("*").alias("n"), F.count_if("toxic").alias("caught")).collect()}
+    assert found[0][1] <= 0.02 * found[0][0] and found[1][1] >= 0.75 * found[1][0] and found[1][0] > 50
+
+
 def test_severity_grows_with_the_share_of_insults(spark):
     plain = [f"word{i} other{i % 7} text{i % 11} calm" for i in range(200)]
     rude = [f"word{i} " + "nasty vile " * (1 + 5 * (i % 2)) + "calm" for i in range(60)]
