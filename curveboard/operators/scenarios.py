@@ -108,12 +108,12 @@ def value_scenarios(
 ) -> DataFrame:
     """Boards on k random values of a dimension (start points, datasets).
 
-    ``fixed`` restricts the scores first; a scenario with null k takes all of them. A scenario
+    ``fixed`` restricts the scores, and so the values to draw, first; a scenario with null k takes all of them. A scenario
     without a score, or one that asks for more values than there are, comes out once with null
     strategy and total.
     """
     rows = scores if fixed is None else scores.filter(fixed)
-    picks = sample_values(scenarios.filter("k is not null"), scores, dimension, seed).drop("k")
+    picks = sample_values(scenarios.filter("k is not null"), rows, dimension, seed).drop("k")
     if fixed is not None:
         options = scores.agg(F.collect_set(dimension))
         everything = scenarios.filter("k is null").select(
