@@ -267,6 +267,9 @@ def compared(rows: DataFrame, blocks: DataFrame, pairs: DataFrame, scope: str, s
         ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         distance = 1.0 - x[at] @ matrix(c["unit"]).T
         work = distance.size
+        # what lies beyond the k best so far need not be handed on
+        far = np.where(np.isnan(reach[at]), np.inf, 1.0 - np.cos(reach[at]) + 1e-9)
+        distance[distance > far[:, None]] = np.inf
         if scope == "other":
             # null-safe codes of labels of both sides
             labels = np.concatenate([q["label"].to_numpy(zero_copy_only=False)[at], c["label"].to_numpy(zero_copy_only=False)])
