@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from curveboard.functions.slices import CHUNK, by_size, first_rows, framed, running, same_keys
+from curveboard.operators.cells import written
 from curveboard.schema import AGGREGATE_PREFIXES, NON_CURVE_PREFIXES, TIME_LAG_EXCLUDED
 
 RUN = ("run_id",)
@@ -346,10 +347,11 @@ def curve_aggregates(
 ) -> DataFrame:
     """Full, first 5, last 5, final, ramp-up and plateau means from one framed pass."""
 
+    # a row per run, read by both branches
+    cuts = written(cutoffs.select(*keys, "cutoff"))
+
     def means(rows: DataFrame, chunk: int | None) -> DataFrame:
-        spots = framed(rows, keys, chunk=chunk).join(
-            cutoffs.select(*keys, "cutoff"), list(keys), "left"
-        )
+        spots = framed(rows, keys, chunk=chunk).join(cuts, list(keys), "left")
         cut = F.coalesce(F.col("cutoff").cast("long"), F.floor((F.col("width") + 1) / 2))
         v = F.col("value")
         return spots.filter(v.isNotNull()).groupBy(*keys).agg(
