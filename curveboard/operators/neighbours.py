@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,8 @@ from curveboard.functions.vectors import cosine_distance, with_unit
 from curveboard.operators import cells
 
 BLOCK_ROWS, FEW_BLOCKS = 2048, 16
+#: Vectors of a bucket of ``many_pair_distances``.
+SQUARE_ROWS = 1 << 15
 
 
 def neighbour_count(n: Column) -> Column:
@@ -26,9 +30,16 @@ def neighbour_count(n: Column) -> Column:
     return F.floor(F.sqrt(n) / 2).cast("int")
 
 
-def pair_distances(pairs: DataFrame, samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Distance of the pairs that are asked for: (keys, a, b) -> + distance."""
+def pair_distances(
+    pairs: DataFrame, samples: DataFrame, keys: Sequence[str] = (), many: bool = False
+) -> DataFrame:
+    """Distance of the pairs that are asked for: (keys, a, b) -> + distance.
+
+    With ``many`` pairs per sample the vectors are not sent along with each pair.
+    """
     keys = list(keys)
+    if many:
+        return many_pair_distances(pairs, samples, keys)
     left = samples.select(
         *keys, F.col("sample_id").alias("a"), F.col("features").alias("__fa")
     )
@@ -45,6 +56,54 @@ def pair_distances(pairs: DataFrame, samples: DataFrame, keys: Sequence[str] = (
     )
 
 
+def many_pair_distances(pairs: DataFrame, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``pair_distances`` where a sample stands in many pairs: vectors are copied per square, not per pair.
+
+    Samples are dealt to about n / SQUARE_ROWS buckets by their id. The pairs of two buckets meet the
+    vectors of both, so the exchange holds each vector once per bucket and two ids per pair. Missing ids
+    match nothing; an id that stands in several samples gives a row for each.
+    """
+    keys = list(keys)
+    rows = samples.filter("sample_id is not null and features is not null").select(*keys, "sample_id", "features")
+    count = max(4, -(-rows.count() // SQUARE_ROWS))
+    units = with_unit(rows).drop("features")
+
+    def bucket(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(count)).cast("int")
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    own = bucket("sample_id")
+    sides = [
+        units.select(*keys, own.alias("__qa"), every.alias("__qb"), F.lit(0).alias("__side"), "sample_id", "unit"),
+        units.select(*keys, every.alias("__qa"), own.alias("__qb"), F.lit(1).alias("__side"), "sample_id", "unit"),
+    ]
+    square = [*keys, "__qa", "__qb"]
+    left = pairs.filter("a is not null and b is not null").withColumn("__qa", bucket("a")).withColumn("__qb", bucket("b"))
+    schema = pairs.withColumn("distance", F.lit(0.0)).schema
+    names = [f.name for f in schema]
+
+    def meet(p: pa.Table, v: pa.Table) -> pa.Table:
+        p, at, found = p.select(names[:-1]), np.arange(p.num_rows), []
+        for side, column in enumerate(("a", "b")):
+            own = v.filter(pc.equal(v["__side"], side)).sort_by("sample_id")
+            ids, wanted = own["sample_id"].to_numpy(), p[column].to_numpy()[at]
+            low, high = np.searchsorted(ids, wanted, "left"), np.searchsorted(ids, wanted, "right")
+            again = np.repeat(np.arange(len(at)), high - low)
+            found = [f[again] for f in found] + [np.repeat(low, high - low) + cells.within(high - low)]
+            at = at[again]
+            if side == 0:
+                x = cells.matrix(own["unit"])
+            else:
+                y = cells.matrix(own["unit"])
+        distance = np.zeros(len(at))
+        for low in range(0, len(at), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            distance[part] = 1.0 - np.einsum("ij,ij->i", x[found[0][part]], y[found[1][part]])
+        return pa.table([*p.take(pa.array(at)).columns, pa.array(distance)], names=names)
+
+    return cells.cogrouped(left, sides[0].unionByName(sides[1]), square, meet, schema)
+
+
 def mean_distance_to_all(samples: DataFrame, keys: Sequence[str] = ("dataset",)) -> DataFrame:
     """Row means of the distance matrix in linear time."""
     from curveboard.functions.vectors import dot, vector_sum

@@ -300,7 +300,7 @@ def _(t: Tables):
     """k neighbours for every sample at their true distances, and 0.9 of the true ones over all."""
     near = nb.approximate_knn(t.samples)
     pairs = near.select("dataset", F.col("query_id").alias("a"), F.col("neighbour_id").alias("b"), F.col("distance").alias("given"))
-    true = nb.pair_distances(pairs, t.samples, ["dataset"])
+    true = nb.pair_distances(pairs, t.samples, ["dataset"], many=True)
     exact = nb.knn(t.samples).select("dataset", "query_id", "neighbour_id", F.lit(1).alias("hit"))
     hits = near.join(exact, ["dataset", "query_id", "neighbour_id"], "left")
     share = hits.agg((F.count("hit") / F.count(F.lit(1))).alias("share")).select(F.col("share") >= 0.9)
