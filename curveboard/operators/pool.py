@@ -319,15 +319,21 @@ def graph_density(
 
 
 def pool_violations(
-    selected: DataFrame, train: DataFrame, batch: DataFrame, keys: Sequence[str] = ("run_id",)
+    selected: DataFrame,
+    train: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str] = ("run_id",),
+    train_keys: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows (keys, cycle, violation, n) where a run broke the selection contract.
 
     ``selected``: keys, cycle, sample_id; ``train``: keys, sample_id; ``batch``: keys,
     batch_size. A batch must hold distinct ids of the train set, none chosen before,
-    and exactly the batch size unless the pool runs out.
+    and exactly the batch size unless the pool runs out. ``train_keys`` names the columns of
+    ``selected`` that a train set belongs to, where many runs share one (default: ``keys``).
     """
     keys = list(keys)
+    of = keys if train_keys is None else list(train_keys)
     counts = selected.groupBy(*keys, "sample_id").agg(
         F.count(F.lit(1)).alias("times"), F.min("cycle").alias("first_cycle"),
         F.max("cycle").alias("cycle"),
@@ -336,7 +342,7 @@ def pool_violations(
         F.lit("selected twice").alias("violation"), F.count(F.lit(1)).alias("n")
     )
     outside = (
-        selected.join(train.select(*keys, "sample_id").distinct(), [*keys, "sample_id"], "left_anti")
+        selected.join(train.select(*of, "sample_id").distinct(), [*of, "sample_id"], "left_anti")
         .groupBy(*keys, "cycle")
         .agg(F.lit("not in train set").alias("violation"), F.count(F.lit(1)).alias("n"))
     )

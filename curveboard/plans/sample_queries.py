@@ -963,11 +963,12 @@ def _(t: Tables):
 def _(t: Tables):
     rows = t.picks.select("run_id", "bucket", "cycle", "sample_id", "label")
     again = rows.filter("label = 0").withColumn("cycle", F.col("cycle") + 1)
-    selected = rows.unionByName(again).select("run_id", "cycle", "sample_id")
+    selected = rows.unionByName(again).select("run_id", "bucket", "cycle", "sample_id")
     sets = rows.select("run_id", "bucket").distinct()
-    train = sets.join(t.train.select("bucket", "sample_id"), "bucket").select("run_id", "sample_id")
+    train = t.train.select("bucket", "sample_id")
     batch = sets.select("run_id").withColumn("batch_size", F.lit(10))
-    return pl.pool_violations(selected, train, batch)
+    # runs of a bucket share its train set, which is not copied for each of them
+    return pl.pool_violations(selected, train, batch, train_keys=["bucket"])
 
 
 # --- streams ----------------------------------------------------------------
