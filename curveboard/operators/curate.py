@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +11,9 @@ from curveboard.functions.lists import round_list
 from curveboard.functions.slices import first_rows, same_keys
 from curveboard.schema import DIMS, QUERY_TIME_LIMIT
 
+#: Metric rows that meet in one task.
+ID_ROWS = 1 << 20
+
 
 def reduce_to_runs(
     rows: DataFrame, dense: DataFrame, keys: Sequence[str] = ("run_id",), order_by=()
@@ -22,16 +24,23 @@ def reduce_to_runs(
 
 
 def id_coverage(ids: DataFrame, status_tables: dict[str, DataFrame]) -> DataFrame:
-    """(which, run_id): metric ids that a status table does not hold."""
-    wanted = ids.select("run_id").distinct()
-    return reduce(
-        lambda a, b: a.unionByName(b),
-        [
-            wanted.join(t.select("run_id").distinct(), "run_id", "left_anti").select(
-                F.lit(which).alias("which"), "run_id"
-            )
-            for which, t in status_tables.items()
-        ],
+    """(which, run_id): metric ids that a status table does not hold.
+
+    All tables meet in one aggregate by id, in parts of about ``ID_ROWS`` metric rows at any size.
+    """
+    names = list(status_tables)
+    marked = ids.select("run_id", F.lit(-1).alias("__table"))
+    for n, name in enumerate(names):
+        marked = marked.unionByName(status_tables[name].select("run_id", F.lit(n).alias("__table")))
+    parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // ID_ROWS))
+    held = marked.repartition(parts, "run_id").groupBy("run_id").agg(
+        F.max(F.col("__table") < 0).alias("__wanted"),
+        *[F.max(F.col("__table") == n).alias(f"__{n}") for n in range(len(names))],
+    )
+    # a missing id is in no table
+    lacking = [F.when(F.col("run_id").isNull() | ~F.col(f"__{n}"), F.lit(name)) for n, name in enumerate(names)]
+    return held.filter("__wanted").select(
+        F.explode(F.array_compact(F.array(*lacking))).alias("which"), "run_id"
     )
 
 
