@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import lzma
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,21 +44,34 @@ def _(t: Tables):
 def _xz_files(t: Tables, broken: bool = False) -> DataFrame:
     """The run table as xz-compressed CSV files of up to a thousand runs each."""
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        text = "run_id,learner\n" + "".join(
-            f"{i},{s}\n" for i, s in zip(rows["run_id"], rows["learner"])
-        )
-        content = lzma.compress(text.encode())
-        if broken and int(key[1]) % 5 == 0:
-            content = content[: len(content) // 2]
-        path = f"/results/{key[0]}/{key[1]}/part-{key[2]}.csv.xz"
-        return pd.DataFrame({"path": [path], "content": [content]})
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            contents = []
+            for text, cut in zip(files["text"], files["cut"]):
+                raw = text.encode()
+                # a dictionary of the text's size: the default one costs more than short texts themselves
+                size = min(8 << 20, max(4096, 1 << len(raw).bit_length()))
+                content = lzma.compress(raw, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6, "dict_size": size}])
+                contents.append(content[: len(content) // 2] if cut else content)
+            yield pd.DataFrame({"path": files["path"], "content": contents})
+
+    def named(column: str, missing: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit(missing))
 
     rows = t.runs.select("strategy", "dataset", "run_id", "learner")
     part = F.floor(F.col("run_id") / 1000).alias("part")
-    return rows.groupBy("strategy", "dataset", part).applyInPandas(
-        pack, "path string, content binary"
+    line = F.concat(named("run_id", "nan"), F.lit(","), named("learner", "None"), F.lit("\n"))
+    packed = rows.groupBy("strategy", "dataset", part).agg(F.collect_list(line).alias("lines"))
+    path = F.concat(
+        F.lit("/results/"), named("strategy", "None"), F.lit("/"), named("dataset", "nan"),
+        F.lit("/part-"), named("part", "nan"), F.lit(".csv.xz"),
+    )
+    texts = packed.select(
+        path.alias("path"),
+        F.concat(F.lit("run_id,learner\n"), F.array_join("lines", "")).alias("text"),
+        (F.lit(broken) & F.coalesce(F.col("dataset") % 5 == 0, F.lit(False))).alias("cut"),
     )
+    return texts.mapInPandas(pack, "path string, content binary")
 
 
 @query("S2_xz_csv", sql("select run_id, learner from runs", "runs"))

@@ -45,17 +45,20 @@ def read_table(
 
 
 def _xz_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # rows of short files share a frame
+    paths: list[str] = []
+    rows: list[dict[str, str | None]] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             with lzma.open(io.BytesIO(content), "rt", newline="") as text:
-                rows: list[dict[str, str | None]] = []
                 for row in csv.DictReader(text):
+                    paths.append(path)
                     rows.append({k: (v or None) for k, v in row.items() if k})
                     if len(rows) == 4096:
-                        yield pd.DataFrame({"path": path, "cells": rows})
-                        rows = []
-                if rows:
-                    yield pd.DataFrame({"path": path, "cells": rows})
+                        yield pd.DataFrame({"path": paths, "cells": rows})
+                        paths, rows = [], []
+    if rows:
+        yield pd.DataFrame({"path": paths, "cells": rows})
 
 
 def read_xz_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -191,3 +191,61 @@ def test_wide_export_refuses_absurd_cycles(spark):
     with pytest.raises(ValueError, match="cannot become columns"):
         series.pivot_cycles(curve, ["run_id"])
     assert series.pivot_cycles(curve, ["run_id"], [0]).columns == ["run_id", "0"]
+
+
+def test_short_files_share_a_frame():
+    """Many files of two rows come out as one frame, not one each."""
+    import lzma
+
+    import pandas as pd
+
+    from curveboard.sources.tables import _xz_rows
+
+    content = [lzma.compress(f"run_id,learner\n{i},a\n{i},\n".encode()) for i in range(50)]
+    out = list(_xz_rows(iter([pd.DataFrame({"path": [f"p{i}" for i in range(50)], "content": content})])))
+    assert len(out) == 1 and len(out[0]) == 100
+    assert out[0]["path"].tolist() == [f"p{i // 2}" for i in range(100)]
+    assert out[0]["cells"][3] == {"run_id": "1", "learner": None}
+
+
+def test_corrupt_files_of_a_broken_tree(spark, tmp_path):
+    """Every file of a run table is packed whole or cut, without a Python call for each group."""
+    from curveboard.plans import run_queries
+
+    class Given:
+        runs = spark.createDataFrame(
+            [("s", d, 1000 * d + i, "x") for d in range(6) for i in range(3)],
+            "strategy string, dataset int, run_id long, learner string",
+        )
+
+    for broken in (False, True):
+        files = run_queries._xz_files(Given, broken)
+        assert "FlatMapGroups" not in files._jdf.queryExecution().toString()
+        bad = {r.path for r in run_queries.src.probe_files(files).filter("error is not null").collect()}
+        assert bad == ({"/results/s/0/part-0.csv.xz", "/results/s/5/part-5.csv.xz"} if broken else set())
+    cells = run_queries.src.decode_xz(run_queries._xz_files(Given)).collect()
+    assert sorted(int(c.cells["run_id"]) for c in cells) == [1000 * d + i for d in range(6) for i in range(3)]
+
+
+def test_id_coverage_is_one_aggregate(spark):
+    """No join per status table; a missing id is in no table."""
+    from curveboard.operators import curate
+
+    ids = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "run_id long")
+    tables = {"done": ids.filter("run_id = 1"), "open": spark.createDataFrame([(2,), (9,), (None,)], "run_id long")}
+    out = curate.id_coverage(ids, tables)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    want = [("done", None), ("done", 2), ("done", 3), ("open", None), ("open", 1), ("open", 3)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_train_sets_shared_by_runs(spark):
+    """Selections of many runs are checked against the train set of their bucket."""
+    from curveboard.operators import pool
+
+    picks = [(1, 0, 0, 5), (1, 0, 1, 6), (2, 1, 0, 5), (2, 1, 1, 8), (3, None, 0, 5)]
+    selected = spark.createDataFrame(picks, "run_id int, bucket int, cycle int, sample_id int")
+    train = spark.createDataFrame([(0, 5), (0, 6), (0, 6), (1, 8)], "bucket int, sample_id int")
+    batch = selected.select("run_id").distinct().withColumn("batch_size", F.lit(1))
+    out = pool.pool_violations(selected, train, batch, train_keys=["bucket"]).collect()
+    assert sorted(map(tuple, out)) == [(2, 0, "not in train set", 1), (3, 0, "not in train set", 1)]
