@@ -9,12 +9,15 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from hashlib import md5
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +33,7 @@ from curveboard.functions.stats import (
     pearson_standard_error,
     pearson_t,
 )
-from curveboard.operators.cells import written
+from curveboard.operators.cells import cogrouped, written
 from curveboard.session import cut_lineage, shared_folder
 
 
@@ -791,16 +794,18 @@ def column_pair(
 def pair_correlations(
     pairs: DataFrame, vectors: DataFrame, item: str = "strategy", value: str = "value"
 ) -> DataFrame:
-    """Pearson r and t of the listed fingerprint pairs (a, b) over common items."""
+    """Pearson r and t of the listed fingerprint pairs (a, b) over common items; null where values do not vary."""
     left = vectors.select(F.col("fingerprint").alias("a"), item, F.col(value).alias("va"))
     right = vectors.select(F.col("fingerprint").alias("b"), item, F.col(value).alias("vb"))
     both = (F.col("va").isNotNull()) & (F.col("vb").isNotNull())
+    # corr divides by zero there, an error in ANSI mode
+    r = F.try_divide(F.covar_pop("va", "vb"), F.sqrt(F.var_pop("va") * F.var_pop("vb")))
     out = (
         pairs.join(left, "a")
         .join(right, ["b", item])
         .filter(both)
         .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.corr("va", "vb").alias("r"))
+        .agg(F.count(F.lit(1)).alias("n"), r.alias("r"))
     )
     out = out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
     return out.withColumn("t", pearson_t(F.col("r"), F.col("n")))
@@ -838,37 +843,55 @@ def neighbour_pairs(prints: DataFrame, seed: int | None = None) -> DataFrame:
     )
 
 
+#: Most fingerprints, and values of theirs, whose rounds of elimination run inside one task.
+LAST_ROWS, LAST_VALUES = 1 << 17, 1 << 21
+
+
 def eliminate_redundant(
-    vectors: DataFrame, threshold: float = 0.95, rounds: int = 51, patience: int = 10, seed: int = 0
+    vectors: DataFrame, threshold: float = 0.95, rounds: int = 51, patience: int = 10, seed: int = 0,
+    last_rows: int | None = None,
 ) -> DataFrame:
     """Drop fingerprints that repeat a neighbour's strategy vector: (fingerprint, round, converged).
 
     Each round pairs the remaining fingerprints and drops the second of every pair with
-    r above the threshold. A round without progress reshuffles. Pairs known to be
-    different are not computed again. ``round`` is null for the kept ones. ``rounds`` rounds are
-    run at least, and more until ``patience`` rounds in a row drop nothing; fewer only if no
-    two fingerprints are left or all pairs of the remaining are known to differ (``converged``).
-    Every round appends its pairs to one table, from which the next one starts.
+    r above the threshold. A round without progress reshuffles. ``round`` is null for the kept ones.
+    ``rounds`` rounds are run at least, and more until ``patience`` rounds in a row drop nothing; fewer
+    only if no two fingerprints are left or all pairs of the remaining are known to differ (``converged``).
+
+    The number of rounds grows with the logarithm of the fingerprints: a reshuffle drops about the share
+    of pairs above the threshold. While more than ``last_rows`` remain (LAST_ROWS, fewer if they hold
+    more than LAST_VALUES values), a round is a job over all of them; the rounds of the bounded rest run
+    inside one task, where a round costs no job.
     """
     spark = vectors.sparkSession
     # every round reads the vectors again
     vectors = written(vectors)
-    names = cut_lineage(vectors.select("fingerprint").distinct())
+    left = names = written(vectors.select("fingerprint").distinct())
+    size, cells = names.count(), vectors.count()
+    most = min(LAST_ROWS, LAST_VALUES * size // max(cells, 1)) if last_rows is None else last_rows
     kind = vectors.schema["fingerprint"].dataType.simpleString()
     schema = f"a {kind}, b {kind}, r double, gone boolean, round int"
     folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
-    done = spark.createDataFrame([], schema)
-    size, shuffle, idle, round_no, converged = names.count(), None, 0, 0, False
-    while size > 1 and (round_no < rounds or idle < patience):
-        left = names.join(done.filter("gone").select(F.col("b").alias("fingerprint")), "fingerprint", "left_anti")
-        known = done.filter("not gone").select("a", "b")
-        if idle:
-            held = known.join(left.withColumnRenamed("fingerprint", "a"), "a", "left_semi")
-            held = held.join(left.withColumnRenamed("fingerprint", "b"), "b", "left_semi")
-            tested = held.select(F.least("a", "b"), F.greatest("a", "b")).distinct().count()
-            converged = tested == size * (size - 1) // 2
+
+    def tested(first: int, last: int) -> DataFrame:
+        paths = [f"{folder}/{i}" for i in range(first, last)]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+    def among(pairs: DataFrame) -> DataFrame:
+        """Known pairs of fingerprints that remain."""
+        held = pairs.filter("not gone").join(left.withColumnRenamed("fingerprint", "a"), "a", "left_semi")
+        held = held.join(left.withColumnRenamed("fingerprint", "b"), "b", "left_semi")
+        return held.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    shuffle, since, idle, round_no, converged = None, 0, 0, 0, False
+    while size > max(most, 1) and (round_no < rounds or idle < patience):
+        # a round gives a fingerprint one partner
+        if idle and size - 1 <= round_no:
+            converged = among(tested(0, round_no)).count() == size * (size - 1) // 2
             if converged:
                 break
+        # another order hardly repeats a pair
+        known = tested(since, round_no).filter("not gone").select("a", "b")
         pairs = neighbour_pairs(left, shuffle).join(known, ["a", "b"], "left_anti")
         found = pair_correlations(pairs, vectors).select(
             "a",
@@ -878,15 +901,150 @@ def eliminate_redundant(
             F.lit(round_no).alias("round"),
         )
         found.write.parquet(f"{folder}/{round_no}")
-        done = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
-        lost = done.filter((F.col("round") == round_no) & F.col("gone")).count()
-        if not lost:
-            shuffle = seed + round_no
+        gone = tested(round_no, round_no + 1).filter("gone").select(F.col("b").alias("fingerprint"))
+        lost = gone.count()
+        if lost:
+            left = written(left.join(gone, "fingerprint", "left_anti"))
+        else:
+            shuffle, since = seed + round_no, round_no + 1
         idle = 0 if lost else idle + 1
         size, round_no = size - lost, round_no + 1
-    dropped = done.filter("gone").select(F.col("b").alias("fingerprint"), "round")
-    return (
-        names.join(dropped, "fingerprint", "left")
-        .select("fingerprint", "round")
-        .withColumn("converged", F.lit(converged or size < 2 or idle >= patience))
+    ended = converged or size < 2 or (round_no >= rounds and idle >= patience)
+    early = tested(0, round_no).filter("gone").select(F.col("b").alias("fingerprint"), "round")
+    if ended:
+        return names.join(early, "fingerprint", "left").select("fingerprint", "round", F.lit(True).alias("converged"))
+    state = _Rounds(threshold, rounds, patience, seed, shuffle, idle, round_no)
+    late = written(_last_rounds(left, vectors, among(tested(0, round_no)), state))
+    end = late.agg(F.min("converged")).scalar()
+    return late.select("fingerprint", "round", "converged").unionByName(early.withColumn("converged", end))
+
+
+@dataclass(frozen=True)
+class _Rounds:
+    """Where the rounds of an elimination stand."""
+
+    threshold: float
+    rounds: int
+    patience: int
+    seed: int
+    shuffle: int | None
+    idle: int
+    round_no: int
+
+
+def _last_rounds(left: DataFrame, vectors: DataFrame, known: DataFrame, state: _Rounds) -> DataFrame:
+    """The rounds of ``eliminate_redundant`` from ``state`` on, for a bounded number of fingerprints."""
+    cell = F.struct(F.col("strategy").alias("i"), F.col("value").cast("double").alias("v"))
+    lists = (
+        vectors.filter("strategy is not null and value is not null")
+        .groupBy("fingerprint")
+        .agg(F.sort_array(F.collect_list(cell)).alias("c"))
+    )
+    rows = left.join(lists, "fingerprint", "left").select(
+        F.lit(0).alias("all"),
+        "fingerprint",
+        F.col("fingerprint").cast("string").alias("name"),
+        F.col("c.i").alias("items"),
+        F.col("c.v").alias("values"),
     )
+    kind = left.schema["fingerprint"].dataType.simpleString()
+
+    def run(own: pa.Table, pairs: pa.Table) -> pa.Table:
+        own = own.take(pc.array_sort_indices(own["fingerprint"].combine_chunks(), null_placement="at_start"))
+        out, converged = _rounds_of(own, pairs, state)
+        rounds = pa.array(out, pa.int32(), mask=out < 0)
+        return pa.table({"fingerprint": own["fingerprint"], "round": rounds, "converged": pa.array(np.full(len(out), converged))})
+
+    return cogrouped(
+        rows, known.withColumn("all", F.lit(0)), ["all"], run, f"fingerprint {kind}, round int, converged boolean"
+    )
+
+
+def _rounds_of(own: pa.Table, pairs: pa.Table, state: _Rounds) -> tuple[np.ndarray, bool]:
+    """Round in which each row is dropped (-1: kept), and whether the rounds ended by themselves."""
+    n = own.num_rows
+    ids, names = own["fingerprint"].to_pylist(), own["name"].to_pylist()
+    correlation = _row_correlation(own)
+    number = {v: i for i, v in enumerate(ids)}
+    alive, out = np.ones(n, bool), np.full(n, -1)
+    missing = np.array([v is None for v in ids], bool)
+    pair = [np.array([number[v] for v in pairs[c].to_pylist()], np.int64) for c in ("a", "b")]
+    # pairs known to differ, as numbers: all, and those of the present order
+    known, fresh = np.minimum(*pair) * n + np.maximum(*pair), []
+    shuffle, idle, round_no, limit = state.shuffle, state.idle, state.round_no, 1 << 20
+
+    def placed() -> np.ndarray:
+        left = np.flatnonzero(alive)
+        if shuffle is None:
+            return left
+        text = [str(shuffle) if names[i] is None else f"{shuffle}|{names[i]}" for i in left]
+        return left[np.argsort(np.array([md5(t.encode()).hexdigest() for t in text], "S32"), kind="stable")]
+
+    def merged() -> np.ndarray:
+        codes = np.unique(np.concatenate([known, *fresh]))
+        return codes[alive[codes // n] & alive[codes % n]]
+
+    order = placed()
+    while len(order) > 1 and (round_no < state.rounds or idle < state.patience):
+        if idle and len(order) - 1 <= round_no:
+            known, fresh = merged(), []
+            if len(known) == len(order) * (len(order) - 1) // 2:
+                return out, True
+        half = len(order) // 2
+        a, b = order[: 2 * half : 2], order[1 : 2 * half : 2]
+        r, met = correlation(a, b)
+        met &= ~missing[a] & ~missing[b]
+        gone = met & (r > state.threshold)
+        same = met & ~gone
+        fresh.append(np.minimum(a, b)[same] * n + np.maximum(a, b)[same])
+        if sum(map(len, fresh)) > limit:
+            known, fresh = merged(), []
+            limit = max(limit, 2 * len(known))
+        lost = b[gone]
+        alive[lost], out[lost] = False, round_no
+        if len(lost):
+            order, idle = order[alive[order]], 0
+        else:
+            shuffle, idle = state.seed + round_no, idle + 1
+            order = placed()
+        round_no += 1
+    return out, len(order) < 2 or idle >= state.patience
+
+
+def _row_correlation(own: pa.Table):
+    """Function of row numbers a, b: Pearson r over common items, and where there is a common item."""
+    lists = own["items"].combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
+    row, ends = np.repeat(np.arange(own.num_rows), sizes), np.cumsum(sizes)
+    coded = lists.flatten().dictionary_encode()
+    item = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    value = own["values"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    x = np.zeros((own.num_rows, max(len(coded.dictionary), 1)))
+    has = np.zeros(x.shape, bool)
+    x[row, item], has[row, item] = value, True
+    # rows with several values of an item meet value by value
+    several = has.sum(axis=1) < sizes
+
+    def r_of(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+        n, first = both.sum(axis=1), both.argmax(axis=1)
+        at = np.arange(len(both))
+
+        def centred(v: np.ndarray) -> np.ndarray:
+            # from the first value, so that equal values give exactly zero
+            v = np.where(both, v - v[at, first][:, None], 0.0)
+            return np.where(both, v - (v.sum(axis=1) / n)[:, None], 0.0)
+
+        x, y = centred(x), centred(y)
+        return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+    def correlation(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            both = has[a] & has[b]
+            r = r_of(x[a], x[b], both)
+            for i in np.flatnonzero((several[a] | several[b]) & both.any(axis=1)):
+                p, q = (slice(ends[k] - sizes[k], ends[k]) for k in (a[i], b[i]))
+                j, k = np.nonzero(item[p][:, None] == item[q])
+                r[i] = r_of(value[p][j][None], value[q][k][None], np.ones((1, len(j)), bool))[0]
+        return r, both.any(axis=1)
+
+    return correlation

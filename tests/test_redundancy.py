@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curveboard.operators import redundancy
+from curveboard.operators import redundancy, similarity
 
 
 def made(spark, n=220, items=6, seed=3):
@@ -63,3 +63,18 @@ def test_chains_and_no_links(spark):
     out = {r.fingerprint: (r.kept, r.because) for r in redundancy.greedy(nodes, edges).collect()}
     assert out == {i: (i % 2 == 0, None if i % 2 == 0 else i - 1) for i in range(12)}
     assert redundancy.greedy(nodes, edges.filter("a < 0")).filter("kept").count() == 12
+
+
+def test_rounds_in_one_task_equal_rounds_as_jobs(spark):
+    """Also where fingerprints lack items, repeat an item, do not vary or are null; rounds cost no jobs."""
+    _, vectors = made(spark, n=40)
+    more = [(3, "s1", 0.5), (4, "s0", None), (None, "s0", 1.0), (None, "s1", 2.0), (50, None, 1.0), (51, "s2", 1.0)]
+    vectors = vectors.union(spark.createDataFrame(more, vectors.schema))
+    spark.sparkContext.setJobGroup("elimination", "")
+    one = similarity.eliminate_redundant(vectors, 0.9, rounds=12, patience=2, seed=5).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("elimination")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 40
+    many = similarity.eliminate_redundant(vectors, 0.9, rounds=12, patience=2, seed=5, last_rows=30).collect()
+    assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == 43
+    assert any(r["round"] is not None for r in one) and all(r["round"] is None for r in one if r["fingerprint"] in (None, 7, 50, 51))
