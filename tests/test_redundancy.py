@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curveboard.operators import redundancy, similarity
+from curveboard.operators import cells, redundancy, similarity
 
 
 def made(spark, n=220, items=6, seed=3):
@@ -78,3 +78,25 @@ def test_rounds_in_one_task_equal_rounds_as_jobs(spark):
     many = similarity.eliminate_redundant(vectors, 0.9, rounds=12, patience=2, seed=5, last_rows=30).collect()
     assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) == 43
     assert any(r["round"] is not None for r in one) and all(r["round"] is None for r in one if r["fingerprint"] in (None, 7, 50, 51))
+
+
+def test_parts_find_few_of_all_pairs(spark, monkeypatch):
+    """Many profiles around a few: later ones meet the kept ones only, with the result of the plain rule."""
+    monkeypatch.setattr(redundancy, "FIRST_ROWS", 64)
+    asked, within = [], redundancy.pairs_within
+    monkeypatch.setattr(redundancy, "pairs_within", lambda *a: asked.append(found := cells.written(within(*a))) or found)
+    x, vectors = made(spark, n=400)
+    vectors = vectors.union(spark.createDataFrame([(None, "s0", 1.0), (None, "s1", 3.0)], vectors.schema))
+    out = redundancy.independent(vectors, 0.9).collect()
+    kept, because = plain(x, 0.9)
+    assert sorted(r.fingerprint for r in out if r.kept and r.fingerprint is not None) == kept and len(out) == 401
+    assert {r.fingerprint for r in out if not r.kept} == set(because)
+    r = np.ma.corrcoef(np.ma.masked_invalid(x))
+    assert len(asked) > 1 and sum(a.count() for a in asked) < 0.6 * ((r > 0.9).sum() - 400) / 2
+
+
+def test_blocks_around_one_centre_reach_each_other(spark):
+    """Rows far from a centre are near rows of another block whose nearest rows are nearer to that centre."""
+    a = spark.createDataFrame([(0, 1, [1.0, 0.0], 0.0, 0.6), (0, 2, [1.0, 0.0], 0.5, 0.9)], "g int, block long, centre array<double>, least double, most double")
+    near = cells.open_pairs(a.withColumn("reach", F.lit(0.05)), ["g"], None).collect()
+    assert {(r.a, r.b) for r in near} == {(1, 1), (1, 2), (2, 1), (2, 2)}
