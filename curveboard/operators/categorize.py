@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from curveboard.functions.vectors import dot, vector_sum, with_unit
 from curveboard.operators import grouped
+from curveboard.operators.cells import written
 from curveboard.operators.curves import time_lag
 from curveboard.operators.neighbours import knn, neighbour_count
 from curveboard.session import cut_lineage, shared_folder
@@ -92,7 +93,8 @@ def region_density(samples: DataFrame, neighbours: DataFrame | None = None) -> D
 def melting_pot(samples: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
     """Concentration of classes among the k nearest neighbours."""
     near = knn(samples) if neighbours is None else neighbours
-    labels = samples.select("dataset", F.col("sample_id").alias("neighbour_id"), "label")
+    # two short columns, written so that the join sees their size and need not move the pairs
+    labels = written(samples.select("dataset", F.col("sample_id").alias("neighbour_id"), "label"))
     votes = (
         near.join(labels, ["dataset", "neighbour_id"])
         .groupBy("dataset", "query_id", "label")
