@@ -207,7 +207,8 @@ def _block_knn(samples: DataFrame, wanted: Column, scope: str, key: str, block_r
 def _units(samples: DataFrame, k: Column | int | None, scope: str, key: str) -> tuple[DataFrame, list[str]]:
     """(groups, sample_id, label, unit, k) of samples with features, and the groups to search in."""
     sizes = samples.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    ks = sizes.select(key, _wanted(k).alias("k"))
+    # its size is known to the join, which else moves a dataset into one task
+    ks = cells.written(sizes.select(key, _wanted(k).alias("k")))
     # labels only matter where they bar or bind; a missing one is a label like any other
     label = F.lit("") if scope == "all" else F.coalesce(F.col("label").cast("string"), F.lit("\0"))
     rows = samples.filter("features is not null").select(key, "sample_id", label.alias("label"), "features")
